@@ -136,22 +136,21 @@ def upsert_last_write(spark, sf):
 
 @query(
     "partial_update",
-    """WITH f AS (SELECT l_orderkey, arg_max(CASE WHEN l_returnflag <> 'N' THEN l_linestatus END, l_linenumber) AS st,
-      arg_max(CASE WHEN l_quantity > 40 THEN l_quantity END, l_linenumber) AS q FROM lineitem WHERE l_tax > 0.04 GROUP BY l_orderkey)
-    SELECT o_orderkey, coalesce(st, o_orderstatus) AS o_orderstatus, coalesce(q, o_totalprice) AS o_totalprice
-    FROM orders LEFT JOIN f ON l_orderkey = o_orderkey""",
+    """WITH f AS (SELECT o_custkey, arg_max(CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END, o_orderkey) AS seg,
+      arg_max(CASE WHEN o_totalprice > 300000 THEN o_totalprice END, o_orderkey) AS bal FROM orders GROUP BY o_custkey)
+    SELECT c_custkey, coalesce(seg, c_mktsegment) AS c_mktsegment, coalesce(bal, c_acctbal) AS c_acctbal
+    FROM customer LEFT JOIN f ON o_custkey = c_custkey""",
 )
 def partial_update(spark, sf):
-    """Order rows take status and price from their lines where a line gives one."""
-    lines = table(spark, sf, "lineitem").filter("l_tax > 0.04")
-    changes = lines.select(
-        F.col("l_orderkey").alias("o_orderkey"),
-        F.when(F.col("l_returnflag") != "N", F.col("l_linestatus")).alias("o_orderstatus"),
-        F.when(F.col("l_quantity") > 40, F.col("l_quantity")).alias("o_totalprice"),
-        F.col("l_linenumber").alias("seq"),
+    """Customer rows take segment and balance from their orders where an order gives one."""
+    changes = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("c_custkey"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("c_mktsegment"),
+        F.when(F.col("o_totalprice") > 300000, F.col("o_totalprice")).alias("c_acctbal"),
+        F.col("o_orderkey").alias("seq"),
     )
-    base = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return merge.partial_update(base, changes, ["o_orderkey"], "seq")
+    base = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return merge.partial_update(base, changes, ["c_custkey"], "seq")
 
 
 @query(
