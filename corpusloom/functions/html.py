@@ -6,6 +6,7 @@ deepens the matcher's stack.
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -39,7 +40,8 @@ def _character(entity: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Named and numeric character references decoded; unknown ones stay."""
-    names = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+    # one foldable expression instead of a literal per entry keeps plans small
+    names = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
 
     def plain(entity: Column) -> Column:
         named = F.try_element_at(names, F.regexp_replace(entity, "[&;]", ""))
@@ -100,29 +102,31 @@ def html_hrefs(html: Column) -> Column:
     return F.array_distinct(F.transform(linked, lambda tag: F.trim(attribute(tag, "href"))))
 
 
-_BLOCKS = "p|div|article|section|header|footer|nav|main|aside|ul|ol|dl|dt|dd|table|form|pre|title"
+_BLOCKS = "h[1-6]|blockquote|p|div|article|section|header|footer|nav|main|aside|ul|ol|dl|dt|dd|table|form|pre|title"
 _LAYOUT = [
     (r"(?is)<head\b[^>]*>.*?</head\s*>", ""),
-    (r"\s+", " "),
-    *[(rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)],
-    (r"(?i)</h[1-6]\s*>", "\n\n"),
+    (r"\s{2,}|[\t\n\r\f]", " "),
+    (r"(?i)<h([1-6])\b[^>]*>", "\n\n\u0001$1 "),
     (r"(?i)</?(?:b|strong)(?:\s[^>]*)?>", "**"),
     (r"(?i)</?(?:i|em|u)(?:\s[^>]*)?>", "_"),
     (r"(?i)<br\b[^>]*>", "  \n"),
     (r"(?i)<hr\b[^>]*>", "\n\n* * *\n\n"),
     (r"(?i)<li\b[^>]*>", "\n  * "),
     (r"(?i)<blockquote\b[^>]*>", "\n\n> "),
-    (r"(?i)</blockquote\s*>", "\n\n"),
     (r"(?i)<tr\b[^>]*>", "\n"),
     (r"(?i)</t[dh]\s*>", " | "),
     (rf"(?i)</?(?:{_BLOCKS})(?:\s[^>]*)?>", "\n\n"),
     (r"<[/!?a-zA-Z][^>]*>", ""),
 ]
+# Heading levels pass through the tag rules as a sign and a digit.
+_HEADINGS = {f"\u0001{level}": "#" * level for level in range(1, 7)}
 
 
 def _text(shown: Column) -> Column:
     for pattern, new in _LAYOUT:
         shown = F.regexp_replace(shown, pattern, new)
+    for sign, marks in _HEADINGS.items():
+        shown = F.replace(shown, F.lit(sign), F.lit(marks))
     text = F.regexp_replace(unescape(shown), r"\n(?:[ \t]*+\n)++", "\n\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import html, text as tx, urls
@@ -34,7 +36,7 @@ def sql_unescape(column: str) -> str:
 SHOWN = sql_rules("html", [(html._UNSEEN, "")])
 SQL_TITLE = sql_unescape(f"regexp_extract({SHOWN}, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)")
 SQL_TEXT = sql_rules(
-    sql_unescape(sql_rules(SHOWN, html._LAYOUT)), [(r"\n(?:[ \t]*\n)+", "\n\n"), (r"^[ \n]+|[ \n]+$", "")]
+    sql_unescape(sql_rules(SHOWN, [*html._LAYOUT, *((re.escape(k), v) for k, v in html._HEADINGS.items())])), [(r"\n(?:[ \t]*\n)+", "\n\n"), (r"^[ \n]+|[ \n]+$", "")]
 )
 
 

@@ -29,7 +29,7 @@ def run_to_files(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_updates(stream: DataFrame, name: str) -> DataFrame:
+def run_updates(stream: DataFrame, name: str, mode: str = "update") -> DataFrame:
     """Drain an update stream; each batch overwrites its own folder, later batches win."""
     spark = stream.sparkSession
     path = work_path(spark, name)
@@ -37,7 +37,7 @@ def run_updates(stream: DataFrame, name: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    job = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state")
+    job = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state")
     job.foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/rows")
 
@@ -87,17 +87,19 @@ def stream_counters(spark, sf):
     return last.select("user_id", "event_type", "value")
 
 
-@query("stream_expiring_counters", "SELECT event_type AS key, count(*) AS value FROM events GROUP BY event_type")
+@query(
+    "stream_expiring_counters",
+    """WITH e AS (SELECT user_id AS key, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS new FROM events),
+    l AS (SELECT key, ts, sum(new) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS life FROM e)
+    SELECT key, min(ts) AS started, max(ts) + INTERVAL 8 HOUR AS expire_at, count(*) AS value FROM l GROUP BY key, life""",
+)
 def stream_expiring_counters(spark, sf):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, keyed.STATE_STORE)
-    try:
-        deltas = stream_of(spark, sf, "events").select(F.col("event_type").alias("key"), F.lit(1).cast("long").alias("delta"))
-        rows = run_updates(keyed.stream_expiring_counters(deltas, 3_600_000), "expiring")
-    finally:
-        spark.conf.set(name, before)
-    return rows.groupBy("key").agg(F.max_by("value", "batch").alias("value"))
+    """Events per user, counted anew after eight idle hours."""
+    events = stream_of(spark, sf, "events")
+    deltas = events.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("delta"))
+    rows = run_updates(keyed.stream_expiring_counters(deltas, "8 hours"), "expiring", "complete")
+    last = rows.agg(F.max("batch")).scalar()
+    return rows.filter(F.col("batch") == last).drop("batch")
 
 
 @query("stream_route", kq.ROUTED)

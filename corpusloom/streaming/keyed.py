@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusloom.functions import strings
 from corpusloom.operators import merge, pubsub
@@ -25,39 +23,15 @@ def stream_counters(deltas: DataFrame, keys: Sequence[str], delta: str = "delta"
     return merge.counters(deltas, keys, delta)
 
 
-class ExpiringCounter(StatefulProcessor):
-    """A counter per key whose state lapses after a time without a change."""
+def stream_expiring_counters(deltas: DataFrame, ttl: str, ts: str = "ts", delta: str = "delta") -> DataFrame:
+    """Counters of ``(key, ts, delta)`` that lapse once a key was idle for ``ttl``; the next change starts from 0.
 
-    def __init__(self, ttl_ms: int) -> None:
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", T.StructType([T.StructField("value", T.LongType())]), self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        value = self.total.get()[0] if self.total.exists() else 0
-        for batch in rows:
-            value += int(batch["delta"].sum())
-        self.total.update((value,))
-        yield pd.DataFrame({"key": [key[0]], "value": [value]})
-
-    def close(self) -> None:
-        pass
-
-
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def stream_expiring_counters(deltas: DataFrame, ttl_ms: int) -> DataFrame:
-    """Counters ``(key, value)`` of ``(key, delta)`` that restart once a key was idle for ``ttl_ms``.
-
-    The session needs ``spark.sql.streaming.stateStore.providerClass`` set to ``STATE_STORE``.
+    A session window is a key's life.  State is dropped when the watermark
+    passes its end.  Write it in append mode (lives that ended) or complete mode.
     """
-    return deltas.groupBy("key").transformWithStateInPandas(
-        ExpiringCounter(ttl_ms),
-        outputStructType="key string, value long",
-        outputMode="Update",
-        timeMode="ProcessingTime",
+    lives = deltas.withWatermark(ts, ttl).groupBy("key", F.session_window(ts, ttl).alias("_life"))
+    return lives.agg(F.sum(delta).alias("value")).select(
+        "key", F.col("_life.start").alias("started"), F.col("_life.end").alias("expire_at"), "value"
     )
 
 
