@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.binding import let
+
 # Stop words, English then Chinese.
 STOP_WORDS = (
     "a an and are as at be but by for if in into is it no not of on or such that the their then "
@@ -77,18 +79,23 @@ def positioned_terms(text: Column, stop_words: Iterable[str] = STOP_WORDS, dicti
 def term_counts(found: Column) -> Column:
     """``array<struct<term, tf>>`` of an array of terms, made inside the row.
 
-    Equal terms are neighbours after sorting, so one pattern with a back
-    reference cuts the joined text into runs; the work stays linear.
+    Equal terms are neighbours after sorting: a run starts where a term differs
+    from the one before, and ends where the next run starts.
     """
-    joined = F.array_join(F.array_sort(found), " ")
-    runs = F.regexp_extract_all(joined, F.lit(r"([^ ]+)(?![^ ])(?: \1(?![^ ]))*+"), F.lit(0))
-    return F.transform(
-        runs,
-        lambda run: F.struct(
-            F.substring_index(run, " ", 1).alias("term"),
-            (F.length(run) - F.length(F.replace(run, F.lit(" "), F.lit(""))) + 1).alias("tf"),
-        ),
-    )
+
+    def runs(ordered: Column) -> Column:
+        starts = F.transform(ordered, lambda t, i: F.when((i == 0) | (F.get(ordered, i - 1) != t), i))
+
+        def count(begin: Column) -> Column:
+            end = F.concat(F.slice(begin, 2, F.size(begin)), F.array(F.size(ordered)))
+            return F.zip_with(
+                begin, end, lambda i, j: F.struct(F.get(ordered, i).alias("term"), (j - i).alias("tf"))
+            )
+
+        return let(F.filter(starts, lambda i: i.isNotNull()), count)
+
+    # an empty array leaves one run without a term
+    return F.filter(let(F.sort_array(found), runs), lambda run: run["term"].isNotNull())
 
 
 def _replace(text: Column, *rules: tuple[str, str]) -> Column:

@@ -58,28 +58,44 @@ def field_terms(docs: DataFrame, id_col: str, fields: Sequence[str], stop_words=
 def build_index(
     docs: DataFrame, fields: Sequence[str], id_col: str = "_id", stop_words=tx.STOP_WORDS, dictionary=()
 ) -> Index:
-    """Postings and field statistics.
+    """Postings and statistics as lazy tables; ``write_index`` stores them for many searches.
 
     Term counts of a document are made inside its row, so postings need no shuffle.
     """
     rows = field_terms(docs, id_col, fields, stop_words, dictionary)
-    stats = rows.groupBy("field").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("avg_length")
-    )
-    counted = rows.select("_id", "field", F.size("terms").alias("length"), F.explode(tx.term_counts(F.col("terms"))).alias("_t"))
-    postings = counted.select("_id", "field", "_t.term", "_t.tf", "length")
-    return Index(postings, stats, doc_freq(postings))
+    lengths = rows.select("_id", "field", F.size("terms").alias("length"), "terms")
+    vectors = lengths.select("_id", "field", "length", tx.term_counts(F.col("terms")).alias("counts"))
+    postings = _postings(vectors)
+    return Index(postings, _field_stats(lengths), doc_freq(postings))
+
+
+def write_index(
+    docs: DataFrame, fields: Sequence[str], path: str, id_col: str = "_id", partitions: int = 200, **analyzer
+) -> None:
+    """Store an index clustered by term: a query then reads few row groups.
+
+    The texts are analyzed once, into one row of term counts per document and
+    field; postings, document frequencies and statistics are made from those.
+    """
+    spark = docs.sparkSession
+    rows = field_terms(docs, id_col, fields, **analyzer)
+    counted = rows.select("_id", "field", F.size("terms").alias("length"), tx.term_counts(F.col("terms")).alias("counts"))
+    counted.write.mode("overwrite").parquet(f"{path}/vectors")
+    vectors = spark.read.parquet(f"{path}/vectors")
+    _field_stats(vectors).write.mode("overwrite").parquet(f"{path}/stats")
+    by_term = _postings(vectors).repartitionByRange(partitions, "term", "_id")
+    by_term.sortWithinPartitions("term", "field", "_id").write.mode("overwrite").parquet(f"{path}/postings")
+    freq = doc_freq(spark.read.parquet(f"{path}/postings")).repartitionByRange(max(1, partitions // 10), "term")
+    freq.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/freq")
+
 
+def _field_stats(vectors: DataFrame) -> DataFrame:
+    return vectors.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
 
-def write_index(index: Index, path: str, partitions: int = 200) -> None:
-    """Store an index clustered by term: a query then reads few row groups."""
-    by_term = index.postings.repartitionByRange(partitions, "term", "_id").sortWithinPartitions("term", "field", "_id")
-    by_term.write.mode("overwrite").parquet(f"{path}/postings")
-    stored = index.postings.sparkSession.read.parquet(f"{path}/postings")
-    doc_freq(stored).repartitionByRange(max(1, partitions // 10), "term").sortWithinPartitions("term").write.mode(
-        "overwrite"
-    ).parquet(f"{path}/freq")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+def _postings(vectors: DataFrame) -> DataFrame:
+    rows = vectors.select("_id", "field", "length", F.explode("counts").alias("_t"))
+    return rows.select("_id", "field", "_t.term", "_t.tf", "length")
 
 
 def read_index(spark, path: str) -> Index:
@@ -149,23 +165,24 @@ def scan_search(
     rows = docs.select(F.col(id_col).alias("_id"), found.alias("_terms")).select(
         "_id", F.size("_terms").alias("_len"), *[occurrences(w).alias(f"_tf{i}") for i, w in enumerate(wanted)]
     )
+    # The narrow rows pass one exchange that both uses below share, so texts are read and analyzed once.
+    rows = rows.repartition("_id")
     facts = rows.agg(
         F.struct(
-            F.count(F.lit(1)).alias("n"),
+            F.count("_id").alias("n"),
             F.avg("_len").alias("avg"),
             *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))],
         ).alias("s")
     ).scalar()
-    score = sum(
-        (
-            term_weight(F.col(f"_tf{i}"), F.col("_len"), facts[f"df{i}"], facts["n"], facts["avg"], k1, b)
-            for i in range(1, len(wanted))
-        ),
-        term_weight(F.col("_tf0"), F.col("_len"), facts["df0"], facts["n"], facts["avg"], k1, b),
-    )
-    any_hit = sum((F.col(f"_tf{i}") for i in range(1, len(wanted))), F.col("_tf0")) > 0
-    hits = rows.filter(any_hit).select("_id", F.round(score, 6).alias("score"))
-    return hits.orderBy(F.col("score").desc(), "_id").offset(offset).limit(size)
+    weights = [
+        term_weight(F.col(f"_tf{i}"), F.col("_len"), facts[f"df{i}"], facts["n"], facts["avg"], k1, b)
+        for i in range(len(wanted))
+    ]
+    found_any = sum([F.col(f"_tf{i}") for i in range(1, len(wanted))], F.col("_tf0")) > 0
+    scored = rows.select("_id", F.round(sum(weights[1:], weights[0]), 6).alias("score"), found_any.alias("_hit"))
+    # Documents without a term sort last and go after the limit; a filter before it would split the exchange.
+    top = scored.orderBy(F.col("_hit").desc(), F.col("score").desc(), "_id").offset(offset).limit(size)
+    return top.filter("_hit").drop("_hit")
 
 
 def query_terms(queries: DataFrame, qid: str = "qid", query: str = "query") -> DataFrame:
@@ -338,40 +355,26 @@ def child_counts(parents: DataFrame, children: DataFrame, parent_key: str, child
 
 
 def matrix_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, variance, skewness, kurtosis per field and covariance, correlation per pair.
+    """Count, mean, variance, skewness, kurtosis of a field and covariance, correlation with another.
 
-    One aggregate over one scan; the result has a row per ordered pair of fields.
+    One row per pair of fields in alphabetical order.  Each row is taken once
+    per pair and folded in the map tasks, which keeps the aggregate small.
     """
-    whole = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     pairs = [(a, b) for a in columns for b in columns if a <= b]
-    facts = [F.count(F.lit(1)).alias("n")]
-    for c in columns:
-        facts += [
-            F.avg(c).alias(f"mean_{c}"),
-            F.var_samp(c).alias(f"var_{c}"),
-            F.skewness(c).alias(f"skew_{c}"),
-            F.kurtosis(c).alias(f"kurt_{c}"),
-        ]
-    for a, b in pairs:
-        facts += [F.covar_samp(a, b).alias(f"cov_{a}_{b}"), F.corr(a, b).alias(f"corr_{a}_{b}")]
-    row = whole.agg(*facts)
-    out = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("field"),
-                F.lit(b).alias("other"),
-                F.col("n").alias("count"),
-                F.col(f"mean_{a}").alias("mean"),
-                F.col(f"var_{a}").alias("variance"),
-                F.col(f"skew_{a}").alias("skewness"),
-                F.col(f"kurt_{a}").alias("kurtosis"),
-                F.col(f"cov_{a}_{b}").alias("covariance"),
-                F.col(f"corr_{a}_{b}").alias("correlation"),
-            )
-            for a, b in pairs
-        ]
+    whole = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    each = F.array(
+        *[F.struct(F.lit(a).alias("field"), F.lit(b).alias("other"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs]
+    )
+    rows = whole.select(F.explode(each).alias("_p")).select("_p.*")
+    return rows.groupBy("field", "other").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.avg("x").alias("mean"),
+        F.var_samp("x").alias("variance"),
+        F.skewness("x").alias("skewness"),
+        F.kurtosis("x").alias("kurtosis"),
+        F.covar_samp("x", "y").alias("covariance"),
+        F.corr("x", "y").alias("correlation"),
     )
-    return row.select(F.explode(out).alias("_p")).select("_p.*")
 
 
 def multi_index(tables: Mapping[str, DataFrame]) -> DataFrame:

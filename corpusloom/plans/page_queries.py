@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from corpusloom.functions import html, text as tx, urls
 from corpusloom.operators import extract
 from corpusloom.plans.registry import query, quoted, table
+from corpusloom.sources.tables import spread
 
 
 def pages(spark, sf):
-    return table(spark, sf, "pages")
+    return spread(table(spark, sf, "pages"))
 
 
 def _re2(pattern: str) -> str:
@@ -171,7 +172,7 @@ _PLAIN = sql_unescape(sql_rules(_STYLED, tx._STYLE))
 
 def styled(spark, sf):
     """Documents as Markdown: marks around each document's own values and text."""
-    return table(spark, sf, "documents").select("doc_id", F.expr(_STYLED.replace("chr(10)", "char(10)")).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.expr(_STYLED.replace("chr(10)", "char(10)")).alias("text"))
 
 
 @query("clean_style", f"SELECT doc_id, {_PLAIN} AS text FROM documents")

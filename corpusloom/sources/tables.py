@@ -40,3 +40,12 @@ def scan_all(spark: SparkSession, name: str, clause: Column | None = None) -> Da
     """Every document of a named table that satisfies an optional clause."""
     table = spark.table(name)
     return table if clause is None else table.filter(clause)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A stored table over all cores, even if it lies in fewer pieces.
+
+    Only a table of fewer pieces than cores is shuffled; a large one stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
