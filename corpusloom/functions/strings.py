@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,11 +51,16 @@ def bit_at(value: Column, offset: int) -> Column:
 
 def _wrapped(raw: Column, width: int, signed: bool) -> Column:
     """A raw unsigned value of ``width`` bits as decimal(38), read as signed if asked."""
-    span = 2**width
-    inside = F.pmod(raw, F.lit(span).cast("decimal(38,0)"))
+    span = _number(2**width)
+    inside = F.pmod(raw, span)
     if not signed:
         return inside
-    return F.when(inside >= span // 2, inside - span).otherwise(inside)
+    return F.when(inside >= _number(2 ** (width - 1)), inside - span).otherwise(inside)
+
+
+def _number(value: int) -> Column:
+    """An exact number beyond 64 bits."""
+    return F.lit(Decimal(value)).cast("decimal(38,0)")
 
 
 def field_get(value: Column, width: int, offset: int, signed: bool = False) -> Column:
@@ -81,10 +88,10 @@ def field_add(field: Column, width: int, delta: Column | int, overflow: str = "w
     if overflow == "wrap":
         return _wrapped(total, width, signed).cast("long")
     if overflow == "sat":
-        bounded = F.least(F.greatest(total, F.lit(low).cast("decimal(38,0)")), F.lit(high).cast("decimal(38,0)"))
+        bounded = F.least(F.greatest(total, _number(low)), _number(high))
         return bounded.cast("long")
     if overflow == "fail":
-        return F.when(total.between(low, high), total).cast("long")
+        return F.when(total.between(_number(low), _number(high)), total).cast("long")
     raise ValueError(f"overflow must be wrap, sat or fail, not {overflow!r}")
 
 

@@ -28,7 +28,7 @@ def _cut_points(df: DataFrame, columns: Sequence[str], rows: int, buckets: int)
     """A sorted literal array of at most ``buckets`` cut points."""
     wanted = buckets * SAMPLES_PER_BUCKET
     share = min(1.0, wanted / max(rows, 1))
-    threshold = int((share * 2.0 - 1.0) * (2**63 - 1))
+    threshold = min(int((share * 2.0 - 1.0) * 2**63), 2**63 - 1)
     point = F.struct(*columns)
     sampled = df.select(*columns).filter(F.xxhash64(*columns) <= F.lit(threshold)).distinct()
     every = sampled.agg(F.array_sort(F.collect_list(point)).alias("points"))

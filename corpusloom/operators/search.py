@@ -102,6 +102,18 @@ def read_index(spark, path: str) -> Index:
     return Index(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "stats", "freq")])
 
 
+def term_documents(docs: DataFrame, id_col: str, fields: Sequence[str], stop_words=tx.STOP_WORDS, dictionary=()) -> DataFrame:
+    """Documents per term and field straight from the texts, each term once per document."""
+    rows = field_terms(docs, id_col, fields, stop_words, dictionary)
+    return doc_freq(rows.select("field", F.explode(F.array_distinct("terms")).alias("term")))
+
+
+def field_stats(docs: DataFrame, id_col: str, fields: Sequence[str], stop_words=tx.STOP_WORDS, dictionary=()) -> DataFrame:
+    """Number of documents and mean length in terms of each field."""
+    rows = field_terms(docs, id_col, fields, stop_words, dictionary)
+    return _field_stats(rows.select("field", F.size("terms").alias("length")))
+
+
 def doc_freq(postings: DataFrame) -> DataFrame:
     """Documents per term and field; a posting is unique per (document, field, term)."""
     return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))

@@ -108,7 +108,7 @@ def msearch_topk(spark, sf):
     FROM (SELECT doc_id, unnest({sql_terms('text')}) AS term FROM documents) GROUP BY term""",
 )
 def doc_freq(spark, sf):
-    return document_index(spark, sf).freq
+    return search.term_documents(documents(spark, sf), "doc_id", ["text"])
 
 
 @query(
@@ -117,7 +117,7 @@ def doc_freq(spark, sf):
     SELECT field, n_docs, round(avg_length, 6) AS avg_length FROM stats""",
 )
 def field_stats(spark, sf):
-    return document_index(spark, sf, "text", "lang").stats.withColumn("avg_length", F.round("avg_length", 6))
+    return search.field_stats(documents(spark, sf), "doc_id", ["text", "lang"]).withColumn("avg_length", F.round("avg_length", 6))
 
 
 @query(

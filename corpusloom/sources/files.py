@@ -25,14 +25,8 @@ def _with_origin(df: DataFrame, origin: str | None) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, origin: str | None = None, schema: T.StructType = INGEST) -> DataFrame:
     """All ``*.jsonl`` files of a folder; a line that does not parse is kept in ``_corrupt_record``."""
-    rows = (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("pathGlobFilter", "*.jsonl")
-        .json(path)
-    )
-    return _with_origin(rows, origin)
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path)
+    return parse_lines(lines.filter(F.trim("value") != ""), origin, schema, "value")
 
 
 def parse_lines(lines: DataFrame, origin: str | None = None, schema: T.StructType = INGEST, line: str = "line") -> DataFrame:
@@ -46,7 +40,7 @@ def good_rows(rows: DataFrame) -> DataFrame:
 
 
 def bad_lines(rows: DataFrame) -> DataFrame:
-    """Lines to report; the reader needs one other column in the same query."""
+    """Lines to report."""
     return rows.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), "origin")
 
 
@@ -92,8 +86,7 @@ def read_html_tree(spark: SparkSession, path: str, origin: str = "zh") -> DataFr
     pages = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*{html,htm}")
-        .option("wholetext", True)
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
     )
     items = extract_items(pages, url="path")
