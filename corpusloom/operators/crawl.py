@@ -15,13 +15,13 @@ def filter_unseen(requests: DataFrame, seen: DataFrame | None = None, fp: str =
 
     ``seq`` names the arrival order.  Without it any one request of a fingerprint stays.
     """
-    if seen is not None:
-        requests = requests.join(seen.select(fp), fp, "left_anti")
+    # Folded first: copies of one request end in the map tasks and never meet the seen-set.
     if seq is None:
-        return requests.dropDuplicates([fp])
-    row = F.struct(*requests.columns)
-    first = requests.groupBy(fp).agg(F.min_by(row, F.col(seq)).alias("_row"))
-    return first.select("_row.*")
+        first = requests.dropDuplicates([fp])
+    else:
+        row = F.struct(*requests.columns)
+        first = requests.groupBy(fp).agg(F.min_by(row, F.col(seq)).alias("_row")).select("_row.*")
+    return first if seen is None else first.join(seen.select(fp), fp, "left_anti")
 
 
 def next_batch(frontier: DataFrame, n: int = 200, mode: str = "priority", seq: str = "seq", seed: int = 0) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators.ranking import top_per_key
+from corpusloom.session import checkpoint_root
 
 SALTS = 16
 
@@ -205,17 +206,16 @@ def query_terms(queries: DataFrame, qid: str = "qid", query: str = "query") -> D
 def msearch(index: Index, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Top ``k`` documents of every query, in one pass: ``(qid, rank, _id, score)``.
 
-    A frequent term is spread over salts: the (small) query side is repeated per
-    salt and the postings are not.
+    Queries take frequencies and statistics first, so the postings go through
+    one join.  A frequent term is spread over salts there: the query side is
+    repeated per salt, the postings are not.
     """
-    asked = query_terms(queries)
-    vocabulary = asked.select("term").distinct()
-    postings = index.postings.join(vocabulary, "term", "left_semi")
-    freq = index.freq.join(vocabulary, "term", "left_semi")
-    weights = _scored(postings, freq, index.stats, k1, b, None)
-    salted = weights.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    asked = query_terms(queries).join(index.freq, "term").join(F.broadcast(index.stats), "field")
     spread = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    scores = salted.join(spread, ["term", "_salt"]).groupBy("qid", "_id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    salted = index.postings.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    weight = term_weight(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("avg_length"), k1, b)
+    hits = salted.join(spread, ["field", "term", "_salt"]).select("qid", "_id", weight.alias("weight"))
+    scores = hits.groupBy("qid", "_id").agg(F.round(F.sum("weight"), 6).alias("score"))
     return top_per_key(scores, ["qid"], [F.col("score").desc(), F.col("_id")], k, rank="rank")
 
 
@@ -298,8 +298,10 @@ def percolate(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", field
     )
     asked = query_terms(queries)
     vocabulary = asked.select("term").distinct()
-    doc_terms = doc_terms.join(vocabulary, "term", "left_semi")
-    freq = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # The narrow rows are used three times; stored once, the texts are analyzed once.
+    checkpoint_root(docs.sparkSession)
+    doc_terms = doc_terms.join(vocabulary, "term", "left_semi").checkpoint()
+    freq = doc_terms.groupBy("term").agg(F.count("doc_id").alias("df"))
     per_query = (
         asked.join(freq, "term", "left")
         .groupBy("qid")
