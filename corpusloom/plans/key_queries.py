@@ -127,7 +127,11 @@ def key_set_absent(spark, sf):
     return keys.set_values(segments(spark, sf), _orders_as_writes(spark, sf), "nx")
 
 
-@query("key_set_all_or_none", f"SELECT key, value FROM {_KV}")
+@query(
+    "key_set_all_or_none",
+    f"""SELECT key, value FROM {_KV} UNION ALL SELECT key, arg_max(value, seq) FROM {_WRITES}
+    WHERE NOT EXISTS (SELECT 1 FROM {_WRITES} w JOIN {_KV} k USING (key)) GROUP BY key""",
+)
 def key_set_all_or_none(spark, sf):
     return keys.set_values(segments(spark, sf), _orders_as_writes(spark, sf), "all_nx")
 

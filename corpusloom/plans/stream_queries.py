@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text as tx, urls
-from corpusloom.operators.extract import extract_items
+from corpusloom.functions import html, text as tx, urls
 from corpusloom.plans import key_queries as kq
 from corpusloom.plans import page_queries as pq
 from corpusloom.plans.registry import query, table
@@ -44,7 +43,8 @@ def run_updates(stream: DataFrame, name: str, mode: str = "update") -> DataFrame
 
 def _ingested(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     path = work_path(spark, "ingest")
-    items = extract_items(stream_of(spark, sf, "pages"))
+    pages = stream_of(spark, sf, "pages")
+    items = pages.select("url", F.col("page_id").alias("seq"), html.item(F.col("html")).alias("_i")).select("url", "seq", "_i.*")
     job = ingest.stream_ingest(items, f"{path}/raw", f"{path}/plain", f"{path}/sites", f"{path}/state")
     job.awaitTermination()
     return ingest.current(spark, f"{path}/raw"), ingest.current(spark, f"{path}/plain")
@@ -54,7 +54,11 @@ _FP = pq.sql_fingerprint("url")
 _PLAIN = pq.sql_unescape(pq.sql_rules(f"({pq.SQL_TEXT})", tx._STYLE))
 
 
-@query("stream_ingest_raw", f"SELECT {_FP} AS _id, md5(min(content)) AS content, min(title) AS title, 'zh' AS origin FROM (SELECT url, {pq.SQL_TITLE} AS title, {pq.SQL_TEXT} AS content FROM pages) GROUP BY 1")
+# Of pages with one fingerprint the last one stays.
+_LAST = f"(SELECT url, page_id, html FROM (SELECT *, row_number() OVER (PARTITION BY {_FP} ORDER BY page_id DESC) AS r FROM pages) WHERE r = 1)"
+
+
+@query("stream_ingest_raw", f"SELECT {_FP} AS _id, md5({pq.SQL_TEXT}) AS content, {pq.SQL_TITLE} AS title, 'zh' AS origin FROM {_LAST}")
 def stream_ingest_raw(spark, sf):
     raw, _ = _ingested(spark, sf)
     return raw.select("_id", F.md5("content").alias("content"), "title", "origin")
@@ -63,7 +67,7 @@ def stream_ingest_raw(spark, sf):
 @query(
     "stream_ingest_plain",
     f"""WITH s AS (SELECT site, row_number() OVER (ORDER BY site) AS site_code FROM (SELECT DISTINCT {pq.SQL_SITE} AS site FROM pages))
-    SELECT {_FP} AS _id, md5({_PLAIN}) AS content, site_code FROM pages JOIN s ON s.site = {pq.SQL_SITE}""",
+    SELECT {_FP} AS _id, md5({_PLAIN}) AS content, site_code FROM {_LAST} JOIN s ON s.site = {pq.SQL_SITE}""",
 )
 def stream_ingest_plain(spark, sf):
     _, plain = _ingested(spark, sf)
