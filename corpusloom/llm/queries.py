@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import minhash
+from corpusloom.llm import lines, minhash, mixing
 from corpusloom.llm.work import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +49,28 @@ from documents d left join sizes using (doc_id) left join least on least.x = d.d
 @query(_NEAR_SQL)
 def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, folder), percent=85)
+
+
+_LINES_SQL = """
+with parts as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+lines as (
+  select doc_id, generate_subscripts(l, 1) as i, unnest(l) as line from parts),
+keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+firsts as (select key, min(doc_id) as first from keyed where length(key) >= 10 group by key)
+select doc_id, count(*)::bigint as n_lines, (count(*) filter (first < doc_id))::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (first is null or first >= doc_id), '')) as kept_sha256
+from keyed left join firsts using (key) group by doc_id
+"""
+
+
+@query(_LINES_SQL)
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.dedup_lines(documents(spark, folder))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query()
+def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.curriculum(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken", "source", "times")
