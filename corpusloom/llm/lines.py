@@ -79,7 +79,7 @@ def keep_bitmaps(docs: DataFrame, least: int = LEAST) -> DataFrame:
     where bit i of ``bits`` says that line ``60 * word + i`` stays; a word that is absent keeps all its lines.
     """
     rows = store(line_rows(docs, least), "line-hashes")
-    drops = F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("place") % BITS)).alias("_drops")
+    drops = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place") % BITS)).alias("_drops")
     words = (
         _later(rows)
         .withColumn("word", F.floor(F.col("place") / BITS).cast("int"))
