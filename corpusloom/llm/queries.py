@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import lines, minhash, mixing
+from corpusloom.llm import lines, minhash, mixing, packing
 from corpusloom.llm.work import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,16 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.curriculum(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken", "source", "times")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces with a digest in place of their ids."""
+    import public_tokenizers
+
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+@query()
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(documents(spark, folder))
