@@ -38,7 +38,7 @@ def _cut_points(df: DataFrame, columns: Sequence[str], rows: int, buckets: int)
     return F.from_json(F.lit(kept.first()["cuts"]), schema)
 
 
-def _bucket_of(point: Column, cuts: Column, size_hint: int) -> Column:
+def bucket_of(point: Column, cuts: Column, size_hint: int) -> Column:
     """How many cut points are <= the row, found by halving steps."""
     steps = F.array(*[F.lit(2**e) for e in range(size_hint.bit_length(), -1, -1)])
     size = F.size(cuts)
@@ -77,7 +77,7 @@ def with_rank(
 
     columns = keys + [name for name in order if name not in keys]
     cuts = _cut_points(df, columns, rows, buckets)
-    tagged = df.withColumn("_bucket", _bucket_of(F.struct(*columns), cuts, 2 * buckets))
+    tagged = df.withColumn("_bucket", bucket_of(F.struct(*columns), cuts, 2 * buckets))
     # At most (number of keys + number of buckets) rows remain here.
     depth = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     inside = Window.partitionBy(*keys)
