@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import langid, lines, minhash, mixing, packing
+from corpusloom.llm import cws, langid, lines, minhash, mixing, packing
 from corpusloom.llm.work import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op3_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(documents(spark, folder)).select("doc_id", "held_out", "lang_pred", "score", "shares")
+
+
+@query()
+def op5_weighted_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return cws.fingerprints(documents(spark, folder))
