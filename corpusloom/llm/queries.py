@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import cws, langid, lines, minhash, mixing, packing
+from corpusloom.llm import cws, langid, lines, minhash, mixing, packing, pii
 from corpusloom.llm.work import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op3_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op5_weighted_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return cws.fingerprints(documents(spark, folder))
+
+
+@query()
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(documents(spark, folder)).drop("base")
