@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import cws, langid, lines, minhash, mixing, packing, pii
+from corpusloom.llm import cws, hamming, langid, lines, minhash, mixing, packing, pii
 from corpusloom.llm.work import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,21 @@ def op5_weighted_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(documents(spark, folder)).drop("base")
+
+
+_CODES_SQL = """
+with q as (select * from embeddings where vec_id % 20 = 0),
+pairs as (
+  select q.vec_id as query_id, e.vec_id as id,
+    list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: case when (p[1] > 0) <> (p[2] > 0) then 1 else 0 end)) as d
+  from q join embeddings e on e.vec_id <> q.vec_id)
+select query_id, row_number() over (partition by query_id order by d, id)::int as rank, id, d::int as distance
+from pairs qualify row_number() over (partition by query_id order by d, id) <= 10
+"""
+
+
+@query(_CODES_SQL)
+def op7_hamming_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest sign codes of every vector whose id is divisible by 20, among all vectors."""
+    codes = hamming.codes(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id", "embedding")
+    return hamming.nearest(codes, codes.filter("id % 20 = 0"), k=10)
