@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import cws, hamming, langid, lines, minhash, mixing, packing, pii
+from corpusloom.llm import cws, hamming, langid, licenses, lines, minhash, mixing, packing, pii
 from corpusloom.llm.work import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,8 @@ def op7_hamming_search(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 nearest sign codes of every vector whose id is divisible by 20, among all vectors."""
     codes = hamming.codes(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id", "embedding")
     return hamming.nearest(codes, codes.filter("id % 20 = 0"), k=10)
+
+
+@query()
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, folder))
