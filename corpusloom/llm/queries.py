@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import cws, hamming, langid, licenses, lines, minhash, mixing, packing, pii
+from corpusloom.llm import cws, hamming, langid, licenses, lines, minhash, mixing, packing, pii, warc
 from corpusloom.llm.work import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,9 @@ def op7_hamming_search(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(documents(spark, folder))
+
+
+@query()
+def op10_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata and conversion records of all pages, written in full."""
+    return warc.derive(warc.responses_of_pages(spark.read.parquet(f"{folder}/pages.parquet")))
