@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,53 +32,120 @@ from corpusloom.llm.work import store
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 200_000
+CACHE_PARTS = 1_000_000
 MAX_ROUNDS = 500
 CLASSES = 8
 LITTLE = 0.05  # share of the unplaced volume; a round that places less opens sequences
 
 
+_CLASS = np.full(256, 4, np.uint8)  # not ASCII, and control characters
+_CLASS[33:127] = 3
+_CLASS[48:58] = 2
+_CLASS[65:91] = _CLASS[97:123] = 1
+_APOSTROPHE = ord("'")
+
+
+def _safe_parts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Bytes before which a word of this tokenizer kind may be cut: between ASCII letters, digits and marks.
+
+    Letters, digits and runs of marks are tokens of their own, but for a contraction with an apostrophe; a word that has
+    one stays whole.  Nothing is cut next to other characters, which may combine or count as marks.
+    """
+    kind = _CLASS[data]
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (kind[1:] != kind[:-1]) & (kind[1:] < 4) & (kind[:-1] < 4)
+    marks = np.flatnonzero(data == _APOSTROPHE)
+    if len(marks) and first.any():
+        word = np.cumsum(first) - 1
+        whole = np.zeros(int(word[-1]) + 2, bool)
+        whole[word[marks]] = True
+        cut &= ~whole[word]
+    return cut
+
+
 class WordTokenizer:
-    """Ids of texts from ids of their words; the tokenizer must never merge over ASCII white space.
+    """Ids of texts from the ids of their words' parts, for a tokenizer that lower-cases, drops white space, and takes
+    runs of letters, single digits and runs of marks as its words.
 
-    Words are told apart by a 64-bit hash; the ids of seen words are kept, up to ``CACHE_WORDS`` words per worker.
+    Parts are told apart by a 64-bit hash of their lower-case bytes.  The ids of seen parts are kept in sorted arrays, up
+    to ``CACHE_PARTS`` of them per worker.  A text that spells one of the tokenizer's special tokens is encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, np.ndarray] = {}
-
-    def _ids_of(self, keys: np.ndarray, spans: list[tuple[int, int]], data: np.ndarray) -> list[np.ndarray]:
-        missing = [i for i, k in enumerate(keys.tolist()) if k not in self.known]
-        if missing:
-            if len(self.known) + len(missing) > CACHE_WORDS:
-                self.known = {}
-                missing = range(len(keys))
-            words = [data[slice(*spans[i])].tobytes().decode() for i in missing]
-            for i, got in zip(missing, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-                self.known[int(keys[i])] = np.array(got.ids, np.uint32)
-        return [self.known[k] for k in keys.tolist()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.heads, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, starts: np.ndarray, stops: np.ndarray, data: np.ndarray) -> None:
+        """Add the ids of new parts; ``keys`` are sorted and not known."""
+        if len(self.keys) + len(keys) > CACHE_PARTS:
+            raise OverflowError
+        ids: list[int] = []
+        sizes = np.zeros(len(keys), np.int64)
+        for at in range(0, len(keys), 8192):
+            spans = zip(starts[at : at + 8192].tolist(), stops[at : at + 8192].tolist())
+            words = [data[a:b].tobytes() for a, b in spans]
+            # the same bytes in another case may be ordinary text, and texts with special tokens are encoded whole
+            words = [(w.upper() if any(t in w for t in self.special) else w).decode() for w in words]
+            for k, got in enumerate(self.tokenizer.encode_batch_fast(words, add_special_tokens=False), at):
+                sizes[k] = len(got.ids)
+                ids += got.ids
+        places = np.searchsorted(self.keys, keys)
+        self.heads = np.insert(self.heads, places, np.cumsum(sizes) - sizes + len(self.flat))
+        self.sizes = np.insert(self.sizes, places, sizes)
+        self.keys = np.insert(self.keys, places, keys)
+        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, without an end id; a null text has none."""
         data, ends = text_bytes(column)
-        for _, counts, hashes, starts, stops in word_hashes(data, ends, fold=False):
+        raw = data.tobytes()
+        special = any(t in raw for t in self.special)
+        for at, counts, hashes, starts, stops in word_hashes(data, ends, parts=_safe_parts):
             keys, first, places = np.unique(hashes, return_index=True, return_inverse=True)
-            spans = list(zip(starts[first].tolist(), stops[first].tolist()))
-            parts = self._ids_of(keys, spans, data)
-            sizes = np.array([len(p) for p in parts], np.int64)
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-            heads = np.cumsum(sizes) - sizes
-            lengths = sizes[places]
-            stop = np.cumsum(lengths)
+            known = np.searchsorted(self.keys, keys)
+            known[known == len(self.keys)] = 0
+            missing = self.keys[known] != keys if len(self.keys) else np.ones(len(keys), bool)
+            if missing.any():
+                try:
+                    self._learn(keys[missing], starts[first[missing]], stops[first[missing]], data)
+                except OverflowError:
+                    self._forget()
+                    self._learn(keys, starts[first], stops[first], data) if len(keys) <= CACHE_PARTS else None
+            if len(keys) > CACHE_PARTS:  # one text with more different parts than are kept
+                for low, high in zip(ends[at : at + len(counts)].tolist(), ends[at + 1 : at + len(counts) + 1].tolist()):
+                    yield self._whole(raw[low:high])
+                continue
+            known = np.searchsorted(self.keys, keys)[places]
+            sizes = self.sizes[known]
+            stop = np.cumsum(sizes)
             total = int(stop[-1]) if len(stop) else 0
-            ids = flat[np.repeat(heads[places] - (stop - lengths), lengths) + np.arange(total)]
-            bounds = np.concatenate([[0], np.cumsum(counts)])
-            edges = np.concatenate([[0], stop])[bounds]
-            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                yield ids[low:high]
+            ids = self.flat[np.repeat(self.heads[known] - (stop - sizes), sizes) + np.arange(total)]
+            edges = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(counts)])]
+            for k, (low, high) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist()), at):
+                own = raw[ends[k] : ends[k + 1]] if special else b""
+                yield self._whole(own) if special and any(t in own for t in self.special) else ids[low:high]
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+
+
+_ENCODERS: dict[str, WordTokenizer] = {}
+
+
+def _encoder(path: str) -> WordTokenizer:
+    """One tokenizer per worker process, so that tasks share what it has learned."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordTokenizer(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -88,7 +156,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokenizer(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in batches:
             rows, number, start, length, ids = [], [], [], [], []
             for row, found in enumerate(encoder.encode(batch.column("text"))):

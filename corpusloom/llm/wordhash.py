@@ -8,11 +8,12 @@ the longest text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+Parts = Callable[[np.ndarray, np.ndarray], np.ndarray]
 BLOCK = 1 << 18
 WIDTH = 5
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -67,18 +68,23 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, ends - ends[0]
 
 
-def _block_words(data: np.ndarray, cuts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of one block; ``cuts``: positions at which a new text starts."""
+def _block_words(
+    data: np.ndarray, cuts: np.ndarray, table: np.ndarray, parts: Parts | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of one block; ``cuts``: positions at which a new text starts.
+
+    ``parts`` cuts words further: from the bytes and the words' first bytes it tells at which bytes a part starts.
+    """
     n = len(data)
     word = ~_SPACE[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = cuts[cuts < n]
     first[inner] = word[inner]
+    if parts is not None:
+        first |= word & parts(data, first)
     last = word.copy()
-    last[:-1] &= ~word[1:]
-    inner = inner[inner > 0] - 1
-    last[inner] = word[inner]
+    last[:-1] &= ~word[1:] | first[1:]
     starts = np.flatnonzero(first)
     ends = np.flatnonzero(last) + 1
     with np.errstate(over="ignore"):
@@ -88,7 +94,7 @@ def _block_words(data: np.ndarray, cuts: np.ndarray, table: np.ndarray) -> tuple
 
 
 def word_hashes(
-    data: np.ndarray, ends: np.ndarray, fold: bool = True
+    data: np.ndarray, ends: np.ndarray, fold: bool = True, parts: Parts | None = None
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of texts: the first text's number, word counts per text, and hash, start and end of every word."""
     table = _FOLDED if fold else _PLAIN
@@ -97,11 +103,11 @@ def word_hashes(
         stop = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, "right")) - 1)
         low, high = int(ends[at]), int(ends[stop])
         if high - low <= BLOCK:
-            hashes, starts, stops = _block_words(data[low:high], ends[at:stop] - low, table)
+            hashes, starts, stops = _block_words(data[low:high], ends[at:stop] - low, table, parts)
             counts = np.diff(np.searchsorted(starts, ends[at : stop + 1] - low))
             yield at, counts, hashes, starts + low, stops + low
         else:
-            found = [_block_words(data[a:b], np.zeros(0, np.int64), table) + (a,) for a, b in _pieces(data, low, high)]
+            found = [_block_words(data[a:b], np.zeros(0, np.int64), table, parts) + (a,) for a, b in _pieces(data, low, high)]
             hashes = np.concatenate([f[0] for f in found])
             yield (
                 at,
