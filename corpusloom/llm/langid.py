@@ -206,6 +206,28 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
     )
 
 
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose main language is known: not ``und``, and with a share of at least ``least``.
+
+    Columns and texts stay as they are; the model is learned from the labelled rows of ``docs`` that are not held out.
+    If no language can be learned, every text with a letter stays.
+    """
+    names, logp = train(docs.filter(~held_out(F.col("doc_id"))))
+    lettered = docs.filter(F.col("text").cast("string").rlike(LETTER))
+    if not names:
+        return lettered
+    model = docs.sparkSession.sparkContext.broadcast(logp)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = np.zeros(batch.num_rows, bool)
+            for first, stop, bucket, owner in _trigrams(batch.column("text").cast(pa.string())):
+                known[first:stop] = mixture(bucket, owner - first, stop - first, model.value).max(axis=1) >= least
+            yield batch.filter(pa.array(known))
+
+    return lettered.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """``predict`` on all of ``docs`` (doc_id, text, lang) with what its labelled rows teach that are not held out,
     and the column ``held_out``.  An empty table gives an empty table; other columns are ignored."""
