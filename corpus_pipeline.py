@@ -1,26 +1,57 @@
-"""A training corpus in steps: each stage takes and returns a table of documents, the last one packed sequences.
+"""A training corpus in steps: each stage takes a table of documents and gives one, the last one gives packed pieces.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
-Parquet and read again as the next stage's docs.
+Parquet and read again as the next stage's docs.  Every stage works on all rows that its predecessor kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import minhash
+from corpusloom.llm import langid, lines, minhash, mixing
+from corpusloom.llm.queries import packed
 from corpusloom.llm.work import documents, store
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without a language that has 30 percent of them, go."""
+    return langid.keep_identified(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document has go; a document stays, with what is left of its text."""
+    kept = lines.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    return kept.select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id."""
     gone = minhash.near_duplicates(docs, percent=85).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents in training order, each as often as its source's target asks for."""
+    return mixing.mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens with their sequence and place."""
+    return packed(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mix", source_mix),
+    ("packing", packing),
+]
 
-#: Language identification, packing and hash order have no SQL twin; the stages are tested one by one.
+#: Language models, hash order and packing have no SQL twin; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
