@@ -1,7 +1,9 @@
 """HTML columns: title, meta values, links and text, all as built-in expressions.
 
 Quantified groups are possessive, so that a long page neither backtracks nor
-deepens the matcher's stack.
+deepens the matcher's stack, and no pattern reads on to the end of the page and
+then fails: an unclosed comment, script or head goes to the end, and a tag ends
+before the next ``<`` outside its quoted values.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.binding import let
 
-_UNSEEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*+(?:>.*?(?:</\1\s*+>|\z)|\z)"
+_INSIDE = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
+_ATTRIBUTE = r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'<>]++))?+"""
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
 
 _NAMED = {**{name: chr(point) for name, point in name2codepoint.items()}, "apos": "'"}
@@ -58,13 +61,19 @@ def unescape(text: Column) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Decoded value of an attribute of one start tag, '' if it has none."""
-    value = F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    """Decoded value of the first attribute of that name of one start tag, '' if it has none.
+
+    The tag is cut into its attributes in order, so a name inside a quoted value is no attribute.
+    """
+    body = F.regexp_replace(tag, r"^<[a-zA-Z][^\s/>]*+", "")
+    names = F.regexp_extract_all(F.lower(body), F.lit(_ATTRIBUTE), F.lit(1))
+    values = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(2))
+    value = let(values, lambda v: F.coalesce(F.get(v, F.array_position(names, F.lit(name)).cast("int") - 1), F.lit("")))
     return unescape(F.regexp_replace(value, "^[\"']|[\"']$", ""))
 
 
 def _title(shown: Column) -> Column:
-    inner = F.regexp_extract(shown, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    inner = F.regexp_extract(shown, r"(?is)<title\b[^<>]*+>(.*?)(?:</title\s*+>|\z)", 1)
     return F.coalesce(unescape(inner), F.lit(""))
 
 
@@ -104,31 +113,50 @@ def html_hrefs(html: Column) -> Column:
 
 _BLOCKS = "h[1-6]|blockquote|p|div|article|section|header|footer|nav|main|aside|ul|ol|dl|dt|dd|table|form|pre|title"
 _LAYOUT = [
-    (r"(?is)<head\b[^>]*>.*?</head\s*>", ""),
+    (r"(?is)<head\b[^>]*+(?:>.*?(?:</head\s*+>|(?=<body\b)|\z)|\z)", ""),
     (r"\s{2,}|[\t\n\r\f]", " "),
-    (r"(?i)<h([1-6])\b[^>]*>", "\n\n\u0001$1 "),
-    (r"(?i)</?(?:b|strong)(?:\s[^>]*)?>", "**"),
-    (r"(?i)</?(?:i|em|u)(?:\s[^>]*)?>", "_"),
-    (r"(?i)<br\b[^>]*>", "  \n"),
-    (r"(?i)<hr\b[^>]*>", "\n\n* * *\n\n"),
-    (r"(?i)<li\b[^>]*>", "\n  * "),
-    (r"(?i)<blockquote\b[^>]*>", "\n\n> "),
-    (r"(?i)<tr\b[^>]*>", "\n"),
-    (r"(?i)</t[dh]\s*>", " | "),
-    (rf"(?i)</?(?:{_BLOCKS})(?:\s[^>]*)?>", "\n\n"),
-    (r"<[/!?a-zA-Z][^>]*>", ""),
+    (r"(?i)<h([1-6])\b[^<>]*+>", "\n\n\u0001$1 "),
+    (r"(?i)</?(?:b|strong)(?:\s[^<>]*+)?+>", "**"),
+    (r"(?i)</?(?:i|em|u)(?:\s[^<>]*+)?+>", "_"),
+    (r"(?i)<br\b[^<>]*+>", "  \n"),
+    (r"(?i)<hr\b[^<>]*+>", "\n\n* * *\n\n"),
+    (r"(?i)<li\b[^<>]*+>", "\n  * "),
+    (r"(?i)<blockquote\b[^<>]*+>", "\n\n> "),
+    (r"(?i)<tr\b[^<>]*+>", "\n"),
+    (r"(?i)</t[dh]\s*+>", " | "),
+    (rf"(?i)</?(?:{_BLOCKS})(?:\s[^<>]*+)?+>", "\n\n"),
+    (r"<[/!?a-zA-Z][^<>]*+>", ""),
 ]
 # Heading levels pass through the tag rules as a sign and a digit.
 _HEADINGS = {f"\u0001{level}": "#" * level for level in range(1, 7)}
 
 
+# White space of preformatted text passes through the rules as other signs.
+_PRE_SPACE, _PRE_SIGNS = "\n\t ", "\u0002\u0003\u0004"
+
+
+def _hold_pre(shown: Column) -> Column:
+    """Preformatted parts with signs for their white space; an unclosed one goes to the end."""
+    end = r"(?is)</pre\s*+>"
+
+    def part(piece: Column, i: Column) -> Column:
+        inner = F.get(F.split(piece, end, 2), F.lit(0))
+        held = F.concat(F.translate(F.regexp_replace(inner, "\r\n?", "\n"), _PRE_SPACE, _PRE_SIGNS), F.substr(piece, F.length(inner) + 1))
+        return F.when(i == 0, piece).otherwise(F.concat(F.lit("<pre>"), held))
+
+    pieces = F.transform(F.split(shown, r"(?i)<pre\b[^<>]*+>", -1), part)
+    return F.when(F.lower(shown).contains("<pre"), F.array_join(pieces, "")).otherwise(shown)
+
+
 def _text(shown: Column) -> Column:
+    shown = _hold_pre(shown)
     for pattern, new in _LAYOUT:
         shown = F.regexp_replace(shown, pattern, new)
     for sign, marks in _HEADINGS.items():
         shown = F.replace(shown, F.lit(sign), F.lit(marks))
     text = F.regexp_replace(unescape(shown), r"\n(?:[ \t]*+\n)++", "\n\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    text = F.btrim(text, F.lit(" \n"))
+    return F.when(text.contains(_PRE_SIGNS[0]) | text.contains(_PRE_SIGNS[2]) | text.contains(_PRE_SIGNS[1]), F.translate(text, _PRE_SIGNS, _PRE_SPACE)).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:

@@ -104,21 +104,24 @@ def _replace(text: Column, *rules: tuple[str, str]) -> Column:
     return text
 
 
-# Markdown marks and tags out, their text kept; an image leaves nothing.
+# Markdown marks and tags out, their text kept; an image leaves nothing.  Every rule is linear: a label has no bracket
+# inside, a target only paired ones, and repeated groups are possessive, which the matcher runs without recursion.
+_TARGET = r"\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)"
+_LINK = rf"!?\[[^\[\]]*+\]{_TARGET}"
 _STYLE = (
-    (r"(?m)^[ \t]*(?:```|~~~).*$", ""),
-    (r"!\[[^\]]*\]\([^)]*\)", ""),
-    (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-    (r"(?m)^[ \t]*(?:[-*_][ \t]*){3,}$", ""),
-    (r"(?m)^[ \t]{0,3}#{1,6}[ \t]+(.*?)[ \t]*#*[ \t]*$", "$1"),
-    (r"(?m)^[ \t]*>[ \t]?", ""),
-    (r"(?m)^[ \t]*(?:[-*+]|[0-9]+\.)[ \t]+", ""),
-    (r"\*\*([^*\n]+)\*\*", "$1"),
-    (r"__([^_\n]+)__", "$1"),
-    (r"\*([^*\s][^*\n]*)\*", "$1"),
-    (r"\b_([^_\n]+)_\b", "$1"),
-    (r"`([^`]*)`", "$1"),
-    (r"<[/!a-zA-Z][^>]*>", ""),
+    (r"(?m)^[ \t]*+(?:```|~~~).*$", ""),
+    (rf"!\[[^\[\]]*+\]{_TARGET}", ""),
+    (rf"\[([^\[\]]*+)\]{_TARGET}", "$1"),
+    (r"(?m)^[ \t]*+(?:[-*_][ \t]*+){3,}+$", ""),
+    (r"(?m)^[ \t]{0,3}#{1,6}[ \t]++((?:[^ \t#\n]++|[ \t#]++(?=[^ \t#\n]))*+)[ \t#]*+$", "$1"),
+    (r"(?m)^[ \t]*+>[ \t]?", ""),
+    (r"(?m)^[ \t]*+(?:[-*+]|[0-9]++\.)[ \t]++", ""),
+    (r"\*\*([^*\n]++)\*\*", "$1"),
+    (r"__([^_\n]++)__", "$1"),
+    (r"\*([^*\s][^*\n]*+)\*", "$1"),
+    (r"\b_([^_\n]++)_\b", "$1"),
+    (r"`([^`]*+)`", "$1"),
+    (r"<[/!a-zA-Z][^<>]*+>", ""),
 )
 
 
@@ -131,7 +134,7 @@ def remove_style(text: Column) -> Column:
 
 def remove_style_fully(text: Column) -> Column:
     """As ``remove_style``, but links and images go wholly and newline runs become one."""
-    without_links = F.regexp_replace(text, r"(?s)!?\[.*?\]\(.*?\)", "")
+    without_links = F.regexp_replace(text, _LINK, "")
     return F.regexp_replace(remove_style(without_links), r"\n+", "\n")
 
 

@@ -16,15 +16,10 @@ def pages(spark, sf):
     return spread(table(spark, sf, "pages"))
 
 
-def _re2(pattern: str) -> str:
-    """The pattern without possessive marks, which DuckDB does not know and does not need."""
-    return pattern.replace("*+", "*").replace("++", "+")
-
-
 def sql_rules(column: str, rules) -> str:
     for pattern, new in rules:
         made = "E" + quoted(new.replace("\\", "\\\\").replace("$1", r"\\1").replace("\n", r"\n"))
-        column = f"regexp_replace({column}, {quoted(_re2(pattern))}, {made}, 'g')"
+        column = f"regexp_replace({column}, {quoted(pattern)}, {made}, 'g')"
     return column
 
 
@@ -34,11 +29,25 @@ def sql_unescape(column: str) -> str:
     return column
 
 
-SHOWN = sql_rules("html", [(html._UNSEEN, "")])
-SQL_TITLE = sql_unescape(f"regexp_extract({SHOWN}, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)")
-SQL_TEXT = sql_rules(
-    sql_unescape(sql_rules(SHOWN, [*html._LAYOUT, *((re.escape(k), v) for k, v in html._HEADINGS.items())])), [(r"\n(?:[ \t]*\n)+", "\n\n"), (r"^[ \n]+|[ \n]+$", "")]
-)
+# The twins have rules of their own, in the words of the page maker: they know the tags that the test pages use, all
+# of them closed and without attributes that hold a sign of a tag.
+SHOWN = sql_rules("html", [("(?s)<!--.*?-->", ""), ("(?s)<script[^>]*>.*?</script>", ""), ("(?s)<style[^>]*>.*?</style>", "")])
+SQL_TITLE = sql_unescape(f"regexp_extract({SHOWN}, '(?s)<title>(.*?)</title>', 1)")
+_PAGE_RULES = [
+    ("(?s)^.*</head>", ""),
+    (r"\s+", " "),
+    ("</?(b|strong)>", "**"),
+    ("</?(i|em|u)>", "_"),
+    ("<br ?/?>", "  \n"),
+    ("<li[^>]*>", "\n  * "),
+    *((f"<h{n}[^>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)),
+    ("<blockquote[^>]*>", "\n\n> "),
+    ("<tr[^>]*>", "\n"),
+    ("</t[dh]>", " | "),
+    ("</?(p|div|article|section|header|footer|nav|main|aside|ul|ol|table|blockquote|h[1-6])( [^>]*)?>", "\n\n"),
+    ("<[^>]+>", ""),
+]
+SQL_TEXT = sql_rules(sql_unescape(sql_rules(SHOWN, _PAGE_RULES)), [("\n([ \t]*\n)+", "\n\n"), ("^[ \n]+|[ \n]+$", "")])
 
 
 def sql_safe(column: str) -> str:
@@ -142,6 +151,27 @@ def same_site_links(spark, sf):
     return extract.same_site_links(pages(spark, sf)).select("url", "link")
 
 
+@query(
+    "page_links_quoted",
+    """SELECT page_id, unnest([split_part(url, '?', 1) || '#"' || page_id, 'next=' || page_id, 'bare' || page_id]) AS link FROM pages""",
+)
+def page_links_quoted(spark, sf):
+    """Links of tags whose other attributes hold the words of a link in their quoted values, and of one unquoted."""
+    number = F.col("page_id").cast("string")
+    tags = F.concat(
+        F.lit("<a title=\"see href=wrong\" data-href='no' HREF = '"),
+        F.split_part("url", F.lit("?"), F.lit(1)),
+        F.lit("#&quot;"),
+        number,
+        F.lit("'>x</a><a class='href=\"no\"' href=\"next="),
+        number,
+        F.lit("\">y</a><a href=bare"),
+        number,
+        F.lit(" title='>'>z</a><!-- <a href='gone'> --><script>'<a href=gone>'"),
+    )
+    return pages(spark, sf).select("page_id", F.explode(html.html_hrefs(tags)).alias("link"))
+
+
 @query(
     "document_ids",
     f"""WITH d AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url END AS url,
@@ -167,7 +197,22 @@ def document_ids(spark, sf):
 
 
 _STYLED = "'## ' || source || ' _head_' || chr(10) || '* see [the **label**](http://x.y/' || doc_id || ') ![alt](i.png)' || chr(10) || chr(10) || chr(10) || '> `code` <b>bold</b> &amp; ' || text"
-_PLAIN = sql_unescape(sql_rules(_STYLED, tx._STYLE))
+# The twin's rules name the marks that stand around the documents and those that their texts may have.
+_MARK_RULES = [
+    (r"!\[alt\]\(i\.png\)", ""),
+    (r"\[([^\[\]]*)\]\([^()]*\)", "$1"),
+    (r"(?m)^[ \t]*([-*_][ \t]*){3,}$", ""),
+    (r"(?m)^ {0,3}#{1,6}[ \t]+(.*?)[ \t#]*$", "$1"),
+    (r"(?m)^[ \t]*>[ \t]?", ""),
+    (r"(?m)^[ \t]*([-*+]|[0-9]+\.)[ \t]+", ""),
+    (r"\*\*([^*\n]+)\*\*", "$1"),
+    (r"__([^_\n]+)__", "$1"),
+    (r"\*([^*\s][^*\n]*)\*", "$1"),
+    (r"\b_([^_\n]+)_\b", "$1"),
+    ("`([^`]*)`", "$1"),
+    ("</?[a-z][^<>]*>", ""),
+]
+_PLAIN = sql_unescape(sql_rules(_STYLED, _MARK_RULES))
 
 
 def styled(spark, sf):
@@ -180,7 +225,7 @@ def clean_style(spark, sf):
     return styled(spark, sf).select("doc_id", tx.remove_style(F.col("text")).alias("text"))
 
 
-_FULLY = sql_unescape(sql_rules(sql_rules(_STYLED, [(r"(?s)!?\[.*?\]\(.*?\)", "")]), tx._STYLE))
+_FULLY = sql_unescape(sql_rules(sql_rules(_STYLED, [(r"!?\[[^\[\]]*\]\([^()]*\)", "")]), _MARK_RULES))
 
 
 @query("clean_style_fully", f"SELECT doc_id, regexp_replace({_FULLY}, '\\n+', chr(10), 'g') AS text FROM documents")
@@ -188,6 +233,25 @@ def clean_style_fully(spark, sf):
     return styled(spark, sf).select("doc_id", tx.remove_style_fully(F.col("text")).alias("text"))
 
 
+@query(
+    "clean_style_junk",
+    """SELECT doc_id, repeat('[a ', 300) || chr(10) || chr(10) || repeat('<!- a ', 300) || text || chr(10) || 'end' AS text
+    FROM (SELECT doc_id, source AS text FROM documents)""",
+)
+def clean_style_junk(spark, sf):
+    """Runs of opened marks that are never closed stay; a rule of very many signs goes."""
+    junk = F.concat(
+        F.repeat(F.lit("[a "), 300),
+        F.lit("\n"),
+        F.repeat(F.lit("- "), 5000),
+        F.lit("\n"),
+        F.repeat(F.lit("<!- a "), 300),
+        F.col("source"),
+        F.lit("\n## end ##"),
+    )
+    return table(spark, sf, "documents").select("doc_id", tx.remove_style(junk).alias("text"))
+
+
 @query(
     "map_lines",
     "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l: '> ' || lower(trim(l, ' '))), chr(10)) AS text FROM documents",

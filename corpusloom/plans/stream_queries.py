@@ -51,7 +51,7 @@ def _ingested(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 _FP = pq.sql_fingerprint("url")
-_PLAIN = pq.sql_unescape(pq.sql_rules(f"({pq.SQL_TEXT})", tx._STYLE))
+_PLAIN = pq.sql_unescape(pq.sql_rules(f"({pq.SQL_TEXT})", pq._MARK_RULES))
 
 
 # Of pages with one fingerprint the last one stays.

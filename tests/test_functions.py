@@ -6,6 +6,7 @@ import hashlib
 import html as stdhtml
 import random
 import re
+import time
 from fnmatch import fnmatchcase
 from urllib.parse import urljoin
 
@@ -219,3 +220,30 @@ def test_geo_literals(spark):
     assert row[1] == "ezs42e44yx0"
     assert row[2] is None
     assert abs(row[3] - palermo[0]) < 1e-5 and abs(row[4] - palermo[1]) < 1e-5
+
+
+JUNK = ["-", "- ", "[a ", "![a ", "[a](", "# ", "#", "`", "**a", "_", "<a ", "\t", " ", "&", "~~~"]
+
+
+@pytest.mark.parametrize("unit", JUNK)
+def test_style_rules_are_linear(spark, unit):
+    long = F.concat(F.repeat(F.lit(unit), 1_000_000 // len(unit)), F.lit("x"))
+    row = spark.range(1).select(F.length(tx.remove_style(long)).alias("a"), F.length(tx.remove_style_fully(long)).alias("b"))
+    start = time.time()
+    assert row.first() is not None
+    assert time.time() - start < 20
+
+
+@pytest.mark.parametrize("unit", ["<!-- a ", "<script>a ", "<script ", '<a href="x>', "<a ", "<h1 ", "<head>", "<title>", "<pre>", " ", "<", "&"])
+def test_page_rules_are_linear(spark, unit):
+    long = F.concat(F.repeat(F.lit(unit), 1_000_000 // len(unit)), F.lit("x"))
+    start = time.time()
+    found = spark.range(1).select(html.item(long).alias("i"), html.html_hrefs(long).alias("h")).first()
+    assert found is not None and time.time() - start < 20
+
+
+def test_page_parts_of_odd_markup(spark):
+    page = """<head><title>t</title></head><body><a title="see href=x" href="y">k</a><pre>a
+  b</pre><p>c<script>var a=1; if (a<b) {}"""
+    row = spark.range(1).select(html.html_to_text(F.lit(page)).alias("t"), html.html_hrefs(F.lit(page)).alias("h")).first()
+    assert row["h"] == ["y"] and row["t"] == "k\n\na\n  b\n\nc"
