@@ -83,15 +83,17 @@ def fingerprint(signature: Column) -> Column:
 
 
 def with_next_text(docs: DataFrame, ranges: int) -> DataFrame:
-    """(range, place, extra, doc_id, text, next_text): documents by descending doc_id, each with the next one's text,
+    """(range, place, extra, id_order, text, next_text): documents by descending doc_id, each with the next one's text,
     the last one with the first one's.
 
     Documents are cut into ranges of the id; the first document of a range is in the range before it once more, as an
-    ``extra`` row at the end.  Equal ids are ordered by a hash of their texts, a null id comes last.
+    ``extra`` row at the end.  Equal ids are ordered by a hash of their texts; a null id comes last, and the least
+    long counts as null.
     """
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order.alias("_order"), text.alias("text"))
+    # the id is carried as its order alone, so that all that is derived from the ordered rows reads one exchange
+    rows = docs.select(order.alias("_order"), text.alias("text"))
     shares = [i / ranges for i in range(1, ranges)] or [0.5]
     cuts = docs.agg(F.percentile_approx(order, shares, 100 * len(shares)).alias("cuts")).first()["cuts"] or []
     cuts = sorted(set(cuts))
@@ -117,10 +119,15 @@ def with_next_text(docs: DataFrame, ranges: int) -> DataFrame:
             F.struct(F.get(target_list, F.col("_range")).alias("range"), F.lit(True).alias("extra")),
         ),
     ).otherwise(F.array(F.struct(F.col("_range").alias("range"), F.lit(False).alias("extra"))))
-    placed = rows.select("doc_id", "_order", "text", F.inline(places))
+    placed = rows.select("_order", "text", F.inline(places))
     by = Window.partitionBy("range").orderBy("extra", F.desc("_order"), F.xxhash64("text"))
     return placed.select(
-        "range", F.row_number().over(by).alias("place"), "extra", "doc_id", "text", F.lead("text").over(by).alias("next_text")
+        "range",
+        F.row_number().over(by).alias("place"),
+        "extra",
+        F.col("_order").alias("id_order"),
+        "text",
+        F.lead("text").over(by).alias("next_text"),
     )
 
 
@@ -140,8 +147,9 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = with_next_text(docs, ranges).withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
+    doc_id = F.when(F.col("id_order") != -(2**63), F.col("id_order")).alias("doc_id")
     facts = ordered.filter("not extra").select(
-        "range", "place", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")
+        "range", "place", doc_id, F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")
     )
     versions = F.array(
         F.struct(F.lit(0).alias("version"), F.col("text").alias("body")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("body"))
