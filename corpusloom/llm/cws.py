@@ -83,7 +83,7 @@ def fingerprint(signature: Column) -> Column:
 
 
 def with_next_text(docs: DataFrame, ranges: int) -> DataFrame:
-    """(range, place, extra, id_order, text, next_text): documents by descending doc_id, each with the next one's text,
+    """(range, place, extra, _order, text, next_text): documents by descending doc_id, each with the next one's text,
     the last one with the first one's.
 
     Documents are cut into ranges of the id; the first document of a range is in the range before it once more, as an
@@ -125,7 +125,7 @@ def with_next_text(docs: DataFrame, ranges: int) -> DataFrame:
         "range",
         F.row_number().over(by).alias("place"),
         "extra",
-        F.col("_order").alias("id_order"),
+        "_order",
         "text",
         F.lead("text").over(by).alias("next_text"),
     )
@@ -147,7 +147,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = with_next_text(docs, ranges).withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
-    doc_id = F.when(F.col("id_order") != -(2**63), F.col("id_order")).alias("doc_id")
+    doc_id = F.when(F.col("_order") != -(2**63), F.col("_order")).alias("doc_id")
     facts = ordered.filter("not extra").select(
         "range", "place", doc_id, F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")
     )

@@ -75,6 +75,8 @@ class PageText:
                 if target is not None:
                     self.links.append(target.strip())
             if name == "pre":
+                if closing and pre and self._line:
+                    self._break(kept=True)
                 pre = max(0, pre + (-1 if closing else 1))
             if name in _PARAGRAPHS:
                 self._break()
