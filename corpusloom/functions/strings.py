@@ -95,8 +95,23 @@ def field_add(field: Column, width: int, delta: Column | int, overflow: str = "w
     raise ValueError(f"overflow must be wrap, sat or fail, not {overflow!r}")
 
 
-def field_set(value: Column, width: int, offset: int, number: Column) -> Column:
-    """The bytes with the ``width`` bits at ``offset`` replaced by ``number`` (wrapped)."""
+def field_offset(index: int, width: int) -> int:
+    """Bit offset of the ``index``-th field of a row of fields of equal width."""
+    return index * width
+
+
+def field_set(
+    value: Column, width: int, offset: int, number: Column, overflow: str = "wrap", signed: bool = False
+) -> Column:
+    """The bytes with the ``width`` bits at ``offset`` replaced by ``number``.
+
+    A number beyond the range wraps, saturates, or with ``fail`` leaves the bytes
+    as they are.
+    """
+    if overflow != "wrap":
+        fitting = field_add(F.lit(0).cast("long"), width, number, overflow, signed)
+        made = field_set(value, width, offset, fitting)
+        return F.when(fitting.isNull(), _bytes(F.coalesce(value, F.lit("")))).otherwise(made)
     first, last = offset // 8, (offset + width - 1) // 8
     count = last - first + 1
     spare = 8 * count - (offset - 8 * first) - width

@@ -22,14 +22,14 @@ STOP_WORDS = (
 CJK = "一-龥"
 # Letters and digits of Latin, Greek and Cyrillic; a run of them is one term.
 WORD = "0-9a-zA-ZÀ-ÖØ-öø-ɏͰ-ϿЀ-ӿ"
-MAX_DICTIONARY = 5000
 
 
 def token_pattern(dictionary: Iterable[str] = ()) -> str:
-    """Word runs, then dictionary words (longest first), then single CJK characters."""
+    """Word runs, then dictionary words (longest first), then single CJK characters.
+
+    A pattern suits a handful of words; ``operators.search.dictionary_terms`` takes them as a table of any size.
+    """
     words = sorted({w.lower() for w in dictionary if w}, key=lambda w: (-len(w), w))
-    if len(words) > MAX_DICTIONARY:
-        raise ValueError(f"a dictionary pattern takes at most {MAX_DICTIONARY} words, got {len(words)}")
     by_first: dict[str, list[str]] = defaultdict(list)
     for word in words:
         by_first[word[0]].append(re.escape(word[1:]))
@@ -76,6 +76,30 @@ def positioned_terms(text: Column, stop_words: Iterable[str] = STOP_WORDS, dicti
     return locate(text)
 
 
+def terms_at(text: Column, starts: Column) -> Column:
+    """Terms of a text in order, dictionary words at the places ``array<struct<at, n>>``, from 0, where they start."""
+    other = re.compile(f"[{WORD}]+|[{CJK}]")
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series, known: pd.Series) -> pd.Series:
+        def terms_of_one(body: str, found) -> list[str]:
+            size_at = {f["at"]: f["n"] for f in found} if found is not None else {}
+            out, at = [], 0
+            while at < len(body):
+                size = size_at.get(at)
+                if size is None:
+                    match = other.match(body, at)
+                    size = match.end() - at if match else 0
+                if size:
+                    out.append(body[at : at + size])
+                at += size or 1
+            return out
+
+        return pd.Series([terms_of_one(t or "", f) for t, f in zip(texts, known)])
+
+    return cut(text, starts)
+
+
 def term_counts(found: Column) -> Column:
     """``array<struct<term, tf>>`` of an array of terms, made inside the row.
 

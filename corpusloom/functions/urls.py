@@ -26,9 +26,6 @@ SUFFIXES = (
     "com.ph gov.ph edu.ph com.sa gov.sa com.eg gov.eg"
 ).split()
 
-# Fixed value: url of a document that has neither url nor code.
-DEFAULT_URL = "http://med.wanfangdata.com.cn/"
-
 # Characters that a path keeps as they are, besides letters and digits.
 _PATH_SAFE = "-._~:/?#[]@!$&'()*+,;=%"
 
@@ -142,7 +139,7 @@ def document_id(url: Column, code: Column, title: Column, keywords: Column) -> C
     return F.coalesce(F.when(url.isNotNull(), url_fingerprint(url)), code, digest)
 
 
-def document_url(url: Column, code: Column, default: str = DEFAULT_URL) -> Column:
+def document_url(url: Column, code: Column, default: str) -> Column:
     """The url; a document with neither url nor code gets the default."""
     return F.when(url.isNull() & code.isNull(), F.lit(default)).otherwise(url)
 

@@ -1,45 +1,26 @@
 """Exact positions inside a key without sorting a whole key in one task.
 
 ``row_number() over (partition by key order by ...)`` puts every row of a key
-into one task.  A key may hold a third of a table, so ``with_rank`` cuts the
-(key, order) range into buckets of about equal depth first, numbers the rows
-inside each bucket, and adds the number of rows in the earlier buckets of the
-same key.  The cut points come from a small hash sample and only decide the
-balance: any cut points give the same ranks.
+into one task.  A key may hold a third of a table, so ``with_rank`` sorts the
+table by (key, order) over range partitions, numbers the rows of a partition,
+and adds the number of rows of the same key in earlier partitions.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
-SAMPLES_PER_BUCKET = 32
-GROUP_LIMIT = 1000  # Spark prunes row_number() <= k before the shuffle up to this k
-SALTS = 1024
 
+from corpusloom.session import checkpoint_root
 
-def _cut_points(df: DataFrame, columns: Sequence[str], rows: int, buckets: int) -> Column:
-    """A sorted literal array of at most ``buckets`` cut points."""
-    wanted = buckets * SAMPLES_PER_BUCKET
-    share = min(1.0, wanted / max(rows, 1))
-    threshold = min(int((share * 2.0 - 1.0) * 2**63), 2**63 - 1)
-    point = F.struct(*columns)
-    sampled = df.select(*columns).filter(F.xxhash64(*columns) <= F.lit(threshold)).distinct()
-    every = sampled.agg(F.array_sort(F.collect_list(point)).alias("points"))
-    step = F.greatest(F.lit(1), F.floor(F.size("points") / F.lit(buckets)).cast("int"))
-    kept = every.select(F.to_json(F.filter("points", lambda _, i: i % step == step - 1)).alias("cuts"))
-    schema = T.ArrayType(T.StructType([df.schema[name] for name in columns]))
-    return F.from_json(F.lit(kept.first()["cuts"]), schema)
+GROUP_LIMIT = 1000  # Spark prunes row_number() <= k before the shuffle up to this k
+_ROW_BITS = 33  # of monotonically_increasing_id(): the row's number in its partition
 
 
 def bucket_of(point: Column, cuts: Column, size_hint: int) -> Column:
-    """How many cut points are <= the row, found by halving steps."""
+    """How many of the sorted ``cuts`` are <= the point, found by halving steps."""
     steps = F.array(*[F.lit(2**e) for e in range(size_hint.bit_length(), -1, -1)])
     size = F.size(cuts)
 
@@ -54,49 +35,42 @@ def bucket_of(point: Column, cuts: Column, size_hint: int) -> Column:
 def with_rank(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
+    order: Sequence[str | Column],
     rank: str = "rank",
     size: str = "size",
     buckets: int | None = None,
 ) -> DataFrame:
     """Add the zero-based ``rank`` of each row in its key and the key's ``size``.
 
-    ``(keys, order)`` should be unique.  Order is ascending; a descending rank
-    is ``size - 1 - rank``.
+    ``(keys, order)`` should be unique.  Order is ascending for names; a
+    descending rank is ``size - 1 - rank``.  ``buckets`` is the number of range
+    partitions, the session's number of shuffle partitions if absent.
+
+    The sorted rows are checkpointed at once, so that positions and counts come
+    from one and the same run of the input, repeatable or not.  What is counted
+    has one row per key and range partition that it reaches into.
     """
     keys, order = list(keys), list(order)
-    rows = 0
-    if buckets is None or buckets > 1:
-        rows = df.count()
-        buckets = buckets or min(MAX_BUCKETS, math.ceil(rows / ROWS_PER_BUCKET))
-    if buckets <= 1:
-        inside = Window.partitionBy(*keys)
-        return df.withColumn(rank, (F.row_number().over(inside.orderBy(*order)) - 1).cast("long")).withColumn(
-            size, F.count(F.lit(1)).over(inside)
-        )
-
-    columns = keys + [name for name in order if name not in keys]
-    cuts = _cut_points(df, columns, rows, buckets)
-    tagged = df.withColumn("_bucket", bucket_of(F.struct(*columns), cuts, 2 * buckets))
-    # At most (number of keys + number of buckets) rows remain here.
-    depth = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    inside = Window.partitionBy(*keys)
-    before = F.sum("_n").over(inside.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = depth.select(
+    checkpoint_root(df.sparkSession)
+    by = [*keys, *[name for name in order if name not in keys or isinstance(name, Column)]]
+    ranged = df.repartitionByRange(buckets, *by) if buckets else df.repartitionByRange(*by)
+    placed = ranged.sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part = F.call_function("shiftright", F.col("_at"), F.lit(_ROW_BITS)).cast("int")
+    placed = placed.withColumn("_part", part)
+    counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    # without keys the counts, one row per partition, are one group
+    inside = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = F.sum("_n").over(inside.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_bucket").alias("_b"),
-        F.coalesce(before, F.lit(0)).alias("_before"),
+        F.col("_part").alias("_b"),
+        (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"),
         F.sum("_n").over(inside).alias(size),
     )
-    local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1
-    same = F.col("_bucket") == F.col("_b")
+    same = F.col("_part") == F.col("_b")
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    return (
-        tagged.withColumn("_local", local)
-        .join(offsets, same)
-        .select(*df.columns, (F.col("_before") + F.col("_local")).cast("long").alias(rank), size)
-    )
+    return placed.join(offsets, same).select(*df.columns, (F.col("_at") + F.col("_shift")).cast("long").alias(rank), size)
 
 
 def top_per_key(
@@ -104,21 +78,16 @@ def top_per_key(
 ) -> DataFrame:
     """The first ``k`` rows of each key, with the one-based ``rank`` if named.
 
-    For k up to Spark's group limit, every map task drops all but k rows per key
-    before the shuffle.  A larger k goes through salted pre-selection: k rows per
-    (key, salt) first, then k of those.
+    Up to Spark's group limit, every map task drops all but k rows per key
+    before the shuffle.  A larger k may be most of a key, and is cut from ranks.
     """
     name = rank or "_rank"
     if k > GROUP_LIMIT:
-        salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
-            .withColumn("_pre", F.row_number().over(salted))
-            .filter(F.col("_pre") <= k)
-            .drop("_salt", "_pre")
-        )
-    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    kept = ranked.filter(F.col(name) <= k)
+        ranked = with_rank(df, keys, order, "_pos", "_size").filter(F.col("_pos") < k)
+        kept = ranked.withColumn(name, (F.col("_pos") + 1).cast("int")).drop("_pos", "_size")
+    else:
+        ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        kept = ranked.filter(F.col(name) <= k)
     return kept if rank else kept.drop(name)
 
 

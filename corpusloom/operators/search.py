@@ -56,6 +56,43 @@ def field_terms(docs: DataFrame, id_col: str, fields: Sequence[str], stop_words=
     return docs.select(F.col(id_col).alias("_id"), F.explode(pairs).alias("_f")).select("_id", "_f.field", "_f.terms")
 
 
+def dictionary_terms(
+    docs: DataFrame, id_col: str, field: str, dictionary: DataFrame, stop_words: DataFrame | None = None
+) -> DataFrame:
+    """``(id, terms)`` by a dictionary table ``(word)`` of any size; stop words may be a table ``(word)`` too.
+
+    At every place of a text the longest dictionary word counts, else a run of
+    word characters, else a single CJK character.  Pieces of the text as long as
+    dictionary words meet the table in one equality join; only the places where
+    one starts come back to the text, whose rows are told apart by ``id_col``.
+    """
+    words = dictionary.select(F.lower("word").alias("word")).filter("word <> ''").distinct()
+    # one row per length of a word
+    lengths = sorted(r[0] for r in words.select(F.char_length("word")).distinct().collect())
+    text = docs.select(F.col(id_col), F.lower(F.coalesce(F.col(field), F.lit(""))).alias("_text")).filter(F.col(id_col).isNotNull())
+    places = F.sequence(F.lit(1), F.char_length("_text"))
+    sizes = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+    pieces = (
+        text.filter("_text <> ''")
+        .select(id_col, "_text", F.explode(places).alias("_at"))
+        .select(id_col, "_at", F.substr("_text", F.col("_at"), F.lit(max(lengths, default=1))).alias("_piece"))
+        .select(id_col, "_at", "_piece", F.explode(sizes).alias("_n"))
+        .filter(F.col("_n") <= F.char_length("_piece"))
+        .select(id_col, "_at", "_n", F.substr("_piece", F.lit(1), F.col("_n")).alias("word"))
+    )
+    longest = pieces.join(words, "word").groupBy(id_col, "_at").agg(F.max("_n").alias("n"))
+    starts = longest.groupBy(id_col).agg(F.collect_list(F.struct((F.col("_at") - 1).alias("at"), "n")).alias("_starts"))
+    terms = text.join(starts, id_col, "left").select(id_col, tx.terms_at(F.col("_text"), F.col("_starts")).alias("terms"))
+    if stop_words is None:
+        return terms
+    rows = terms.select(id_col, F.posexplode("terms").alias("_i", "word"))
+    kept = rows.join(stop_words.select(F.lower("word").alias("word")).distinct(), "word", "left_anti")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_i", "word"))), lambda x: x["word"])
+    some = kept.groupBy(id_col).agg(ordered.alias("terms"))
+    none = F.array().cast("array<string>")
+    return terms.select(id_col).join(some, id_col, "left").select(id_col, F.coalesce("terms", none).alias("terms"))
+
+
 def build_index(
     docs: DataFrame, fields: Sequence[str], id_col: str = "_id", stop_words=tx.STOP_WORDS, dictionary=()
 ) -> Index:
@@ -71,10 +108,13 @@ def build_index(
 
 
 def write_index(
-    docs: DataFrame, fields: Sequence[str], path: str, id_col: str = "_id", partitions: int = 200, **analyzer
+    docs: DataFrame, fields: Sequence[str], path: str, id_col: str = "_id", partitions: int | None = None, **analyzer
 ) -> None:
     """Store an index clustered by term: a query then reads few row groups.
 
+    Without ``partitions`` the size decides: range partitions are merged or split
+    by adaptive execution to its advisory size.
+
     The texts are analyzed once, into one row of term counts per document and
     field; postings, document frequencies and statistics are made from those.
     """
@@ -84,9 +124,10 @@ def write_index(
     counted.write.mode("overwrite").parquet(f"{path}/vectors")
     vectors = spark.read.parquet(f"{path}/vectors")
     _field_stats(vectors).write.mode("overwrite").parquet(f"{path}/stats")
-    by_term = _postings(vectors).repartitionByRange(partitions, "term", "_id")
+    rows = _postings(vectors)
+    by_term = rows.repartitionByRange(partitions, "term", "_id") if partitions else rows.repartitionByRange("term", "_id")
     by_term.sortWithinPartitions("term", "field", "_id").write.mode("overwrite").parquet(f"{path}/postings")
-    freq = doc_freq(spark.read.parquet(f"{path}/postings")).repartitionByRange(max(1, partitions // 10), "term")
+    freq = doc_freq(spark.read.parquet(f"{path}/postings")).repartitionByRange("term")
     freq.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/freq")
 
 
@@ -126,6 +167,11 @@ def term_weight(tf: Column, length: Column, df: Column, n_docs: Column, avg_leng
     return idf * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * length / avg_length))
 
 
+def _exact(score: str) -> Column:
+    """The score as it is ordered: to twelve places, so that the order of a sum's terms does not decide."""
+    return F.round(score, 12)
+
+
 def _scored(
     postings: DataFrame, freq: DataFrame, stats: DataFrame, k1: float, b: float, boosts: Mapping[str, float] | None
 ) -> DataFrame:
@@ -155,8 +201,9 @@ def search(
     if fields is not None:
         asked = asked & F.col("field").isin(list(fields))
     weights = _scored(index.postings.filter(asked), index.freq.filter(asked), index.stats, k1, b, boosts)
-    scores = weights.groupBy("_id").agg(F.round(F.sum("weight"), 6).alias("score"))
-    return scores.orderBy(F.col("score").desc(), "_id").offset(offset).limit(size)
+    scores = weights.groupBy("_id").agg(F.sum("weight").alias("score"))
+    top = scores.orderBy(_exact("score").desc(), "_id").offset(offset).limit(size)
+    return top.withColumn("score", F.round("score", 6))
 
 
 def scan_search(
@@ -192,10 +239,10 @@ def scan_search(
         for i in range(len(wanted))
     ]
     found_any = sum([F.col(f"_tf{i}") for i in range(1, len(wanted))], F.col("_tf0")) > 0
-    scored = rows.select("_id", F.round(sum(weights[1:], weights[0]), 6).alias("score"), found_any.alias("_hit"))
+    scored = rows.select("_id", sum(weights[1:], weights[0]).alias("score"), found_any.alias("_hit"))
     # Documents without a term sort last and go after the limit; a filter before it would split the exchange.
-    top = scored.orderBy(F.col("_hit").desc(), F.col("score").desc(), "_id").offset(offset).limit(size)
-    return top.filter("_hit").drop("_hit")
+    top = scored.orderBy(F.col("_hit").desc(), _exact("score").desc(), "_id").offset(offset).limit(size)
+    return top.filter("_hit").drop("_hit").withColumn("score", F.round("score", 6))
 
 
 def query_terms(queries: DataFrame, qid: str = "qid", query: str = "query") -> DataFrame:
@@ -208,15 +255,17 @@ def msearch(index: Index, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
 
     Queries take frequencies and statistics first, so the postings go through
     one join.  A frequent term is spread over salts there: the query side is
-    repeated per salt, the postings are not.
+    repeated per salt, the postings are not.  A document belongs to one salt, so
+    its sum forms there in part before the shuffle.
     """
     asked = query_terms(queries).join(index.freq, "term").join(F.broadcast(index.stats), "field")
     spread = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = index.postings.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
     weight = term_weight(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("avg_length"), k1, b)
     hits = salted.join(spread, ["field", "term", "_salt"]).select("qid", "_id", weight.alias("weight"))
-    scores = hits.groupBy("qid", "_id").agg(F.round(F.sum("weight"), 6).alias("score"))
-    return top_per_key(scores, ["qid"], [F.col("score").desc(), F.col("_id")], k, rank="rank")
+    scores = hits.groupBy("qid", "_id").agg(F.sum("weight").alias("score"))
+    top = top_per_key(scores, ["qid"], [_exact("score").desc(), F.col("_id")], k, rank="rank")
+    return top.withColumn("score", F.round("score", 6))
 
 
 def match(docs: DataFrame, field: str, query: str, operator: str = "or") -> DataFrame:
@@ -371,24 +420,34 @@ def child_counts(parents: DataFrame, children: DataFrame, parent_key: str, child
 def matrix_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, variance, skewness, kurtosis of a field and covariance, correlation with another.
 
-    One row per pair of fields in alphabetical order.  Each row is taken once
-    per pair and folded in the map tasks, which keeps the aggregate small.
+    One row per pair of fields in alphabetical order.  All pairs are aggregates
+    over whole rows, folded in the map tasks; only their one row is taken apart.
     """
     pairs = [(a, b) for a in columns for b in columns if a <= b]
     whole = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    each = F.array(
-        *[F.struct(F.lit(a).alias("field"), F.lit(b).alias("other"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs]
-    )
-    rows = whole.select(F.explode(each).alias("_p")).select("_p.*")
-    return rows.groupBy("field", "other").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("x").alias("mean"),
-        F.var_samp("x").alias("variance"),
-        F.skewness("x").alias("skewness"),
-        F.kurtosis("x").alias("kurtosis"),
-        F.covar_samp("x", "y").alias("covariance"),
-        F.corr("x", "y").alias("correlation"),
+    single = {"mean": F.avg, "variance": F.var_samp, "skewness": F.skewness, "kurtosis": F.kurtosis}
+    moments = [f(c).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in single.items()]
+    both = [
+        part
+        for i, (a, b) in enumerate(pairs)
+        for part in (F.covar_samp(a, b).alias(f"covariance_{i}"), F.corr(a, b).alias(f"correlation_{i}"))
+    ]
+    one = whole.agg(F.count(F.lit(1)).alias("count"), *moments, *both)
+    place = {c: i for i, c in enumerate(columns)}
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(a).alias("field"),
+                F.lit(b).alias("other"),
+                "count",
+                *[F.col(f"{n}_{place[a]}").alias(n) for n in single],
+                F.col(f"covariance_{i}").alias("covariance"),
+                F.col(f"correlation_{i}").alias("correlation"),
+            )
+            for i, (a, b) in enumerate(pairs)
+        ]
     )
+    return one.filter("count > 0").select(F.inline(rows))
 
 
 def multi_index(tables: Mapping[str, DataFrame]) -> DataFrame:

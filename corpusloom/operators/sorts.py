@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranking import with_rank
+
 
 def sort_by(
     items: DataFrame,
@@ -31,6 +33,10 @@ def sort_by(
     rows = items
     if order is not None:
         rows, columns = order
+        if offset and (count is None or count < 0):
+            # all rows behind the offset: cut by rank, as an offset alone would take every row through one place
+            rows = with_rank(rows, [], columns, "_pos", "_all").filter(F.col("_pos") >= offset).drop("_pos", "_all")
+            offset = 0
         rows = rows.orderBy(*columns)
     if offset:
         rows = rows.offset(offset)

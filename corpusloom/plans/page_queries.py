@@ -7,11 +7,14 @@ import re
 from pyspark.sql import functions as F
 
 from corpusloom.functions import html, text as tx, urls
-from corpusloom.operators import extract
+from corpusloom.operators import extract, sites
 from corpusloom.plans.registry import query, quoted, table
 from corpusloom.sources.tables import spread
 
 
+NO_URL = "http://unknown.example/"
+
+
 def pages(spark, sf):
     return spread(table(spark, sf, "pages"))
 
@@ -138,6 +141,22 @@ def site_of_url(spark, sf):
     )
 
 
+_SUFFIX_RULES = ["com", "net", "org", "example.net", "*.example.org", "!thther.example.org"]
+_HOST = "string_split(regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1), '.')"
+
+
+@query(
+    "site_by_suffix_table",
+    f"""SELECT page_id, CASE WHEN h[-1] = 'com' OR array_to_string(h[-3:], '.') = 'thther.example.org' THEN array_to_string(h[-(CASE h[-1] WHEN 'com' THEN 2 ELSE 3 END):], '.')
+      WHEN h[-1] = 'net' THEN array_to_string(h[-3:], '.') ELSE array_to_string(h[-4:], '.') END AS site
+    FROM (SELECT page_id, {_HOST} AS h FROM pages)""",
+)
+def site_by_suffix_table(spark, sf):
+    """Sites by a table of public suffixes with a wildcard and an exception."""
+    rules = spark.createDataFrame([(r,) for r in _SUFFIX_RULES], "suffix string")
+    return sites.site_by_rules(pages(spark, sf), rules).select("page_id", "site")
+
+
 @query(
     "allowed_domains",
     "SELECT page_id FROM pages WHERE regexp_matches(url, '^[a-z]+://([^/]*\\.)?example\\.(com|org)([/?#:]|$)')",
@@ -177,7 +196,7 @@ def page_links_quoted(spark, sf):
     f"""WITH d AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url END AS url,
       CASE WHEN page_id % 3 = 1 THEN 'c' || page_id END AS code, {SQL_TITLE} AS title FROM pages)
     SELECT page_id, coalesce(CASE WHEN url IS NOT NULL THEN {sql_fingerprint('url')} END, code, md5(title || 'k')) AS _id,
-      CASE WHEN url IS NULL AND code IS NULL THEN {quoted(urls.DEFAULT_URL)} ELSE url END AS url FROM d""",
+      CASE WHEN url IS NULL AND code IS NULL THEN {quoted(NO_URL)} ELSE url END AS url FROM d""",
 )
 def document_ids(spark, sf):
     """A third of the pages keeps its url, a third has a code, a third neither."""
@@ -192,7 +211,7 @@ def document_ids(spark, sf):
     return docs.select(
         "page_id",
         urls.document_id(url, code, F.col("title"), F.lit("k")).alias("_id"),
-        urls.document_url(url, code).alias("url"),
+        urls.document_url(url, code, NO_URL).alias("url"),
     )
 
 

@@ -49,8 +49,7 @@ def documents(spark, sf):
 def document_index(spark, sf, *fields):
     """The documents' index, stored and read back as it is for many searches."""
     path = work_path(spark, "index")
-    cores = spark.sparkContext.defaultParallelism
-    search.write_index(documents(spark, sf), fields or ("text",), path, "doc_id", cores)
+    search.write_index(documents(spark, sf), fields or ("text",), path, "doc_id")
     return search.read_index(spark, path)
 
 
@@ -174,6 +173,29 @@ def cjk_terms(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.explode(tx.terms(name, dictionary=DICTIONARY)).alias("term"))
 
 
+_CJK_NAMES = f"SELECT p_partkey, translate(lower(p_name), '{LETTERS}', '{SIGNS}') AS name FROM part"
+
+
+@query(
+    "dictionary_terms",
+    f"""WITH names AS ({_CJK_NAMES}),
+    dict AS (SELECT DISTINCT unnest([substring(name, 1, 2), substring(name, 2, 3), substring(name, 5, 4)]) AS word FROM names),
+    pattern AS (SELECT string_agg(word, '|' ORDER BY length(word) DESC, word) || '|[{tx.WORD}]+|[一-龥]' AS p FROM dict WHERE trim(word) <> ''),
+    stop AS (SELECT translate(lower(n_name), '{LETTERS}', '{SIGNS}')[1:2] AS word FROM nation)
+    SELECT p_partkey, term FROM (SELECT p_partkey, unnest(regexp_extract_all(name, p)) AS term FROM names, pattern)
+    WHERE term NOT IN (SELECT word FROM stop)""",
+)
+def dictionary_terms(spark, sf):
+    """Part names in CJK signs, with a dictionary made of pieces of all names and stop words made of nation names."""
+    signs = lambda name: F.translate(F.lower(name), LETTERS, SIGNS)
+    names = table(spark, sf, "part").select("p_partkey", signs("p_name").alias("name"))
+    pieces = F.array(F.substring("name", 1, 2), F.substring("name", 2, 3), F.substring("name", 5, 4))
+    words = names.select(F.explode(pieces).alias("word")).filter(F.trim("word") != "")
+    stop = table(spark, sf, "nation").select(F.substring(signs("n_name"), 1, 2).alias("word"))
+    found = search.dictionary_terms(names, "p_partkey", "name", words, stop)
+    return found.select("p_partkey", F.explode("terms").alias("term"))
+
+
 @query(
     "range_date",
     """SELECT o_orderkey, o_totalprice FROM orders

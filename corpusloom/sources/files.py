@@ -93,11 +93,11 @@ def read_html_tree(spark: SparkSession, path: str, origin: str = "zh") -> DataFr
     return items.withColumnRenamed("url", "path").withColumn("url", F.lit(None).cast("string")).withColumn("origin", F.lit(origin))
 
 
-def with_document_id(docs: DataFrame) -> DataFrame:
-    """Add ``_id`` and the default url of documents that have neither url nor code."""
+def with_document_id(docs: DataFrame, default_url: str) -> DataFrame:
+    """Add ``_id``, and ``default_url`` to documents that have neither url nor code."""
     code = F.col("code") if "code" in docs.columns else F.lit(None).cast("string")
     made: Column = urls.document_id(F.col("url"), code, F.col("title"), F.col("keywords"))
-    return docs.withColumn("_id", made).withColumn("url", urls.document_url(F.col("url"), code))
+    return docs.withColumn("_id", made).withColumn("url", urls.document_url(F.col("url"), code, default_url))
 
 
 def read_pipe_text(spark: SparkSession, path: str) -> DataFrame:

@@ -424,7 +424,7 @@ def test_html_tree_pipe_text_and_queue(spark, tmp_path):
     (deep / "x.html").write_text("<title>X</title>\n<p>one")
     (deep / "y.htm").write_text("<title>Y</title>")
     (deep / "z.txt").write_text("<title>Z</title>")
-    docs = files.with_document_id(files.read_html_tree(spark, str(tmp_path / "tree")))
+    docs = files.with_document_id(files.read_html_tree(spark, str(tmp_path / "tree")), "http://unknown.example/")
     assert [t for t, in rows(docs, "title")] == ["X", "Y"]
     assert {r.url for r in docs.select("url").collect()} == {"http://med.wanfangdata.com.cn/"}
     (tmp_path / "p.txt").write_text('id | name\n1 | "a\n2 | b c\n')
