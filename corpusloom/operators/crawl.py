@@ -9,6 +9,8 @@ from corpusloom.functions import html, urls
 from corpusloom.operators.extract import same_site_links
 from corpusloom.session import checkpoint_root
 
+FOLD = 4  # rounds between two foldings of the seen-set
+
 
 def filter_unseen(requests: DataFrame, seen: DataFrame | None = None, fp: str = "fingerprint", seq: str | None = None) -> DataFrame:
     """The first request of each fingerprint that is not in the seen-set.
@@ -74,13 +76,20 @@ def crawl_round(frontier: DataFrame, graph: DataFrame, seen: DataFrame) -> DataF
 
 
 def seen_items(seen: DataFrame, pages: DataFrame) -> DataFrame:
-    """Items of every seen page that the table holds, one per fingerprint, with its depth."""
-    read = pages.select(urls.url_fingerprint(F.col("url")).alias("fingerprint"), "url", "html")
-    found = read.join(seen.select("fingerprint", "depth"), "fingerprint")
-    made = found.select("fingerprint", "depth", "url", html.item(F.col("html")).alias("_item"))
-    rows = made.select("fingerprint", F.struct("depth", "url", "_item.*").alias("_row"))
-    first = rows.groupBy("fingerprint").agg(F.min_by("_row", F.col("_row.url")).alias("_row"))
-    return first.select("fingerprint", "_row.*")
+    """Items of every seen page that the table holds, one per fingerprint, with its depth.
+
+    Which page stands for a fingerprint is found on narrow rows; only the chosen pages' texts are read.
+    """
+    read = pages.select(urls.url_fingerprint(F.col("url")).alias("fingerprint"), "url")
+    chosen = read.join(seen.select("fingerprint", "depth"), "fingerprint").groupBy("fingerprint", "depth").agg(F.min("url").alias("url"))
+    texts = pages.select("url", "html").dropDuplicates(["url"]) if _repeats(pages) else pages.select("url", "html")
+    made = texts.join(chosen, "url").select("fingerprint", "depth", "url", html.item(F.col("html")).alias("_item"))
+    return made.select("fingerprint", "depth", "url", "_item.*")
+
+
+def _repeats(pages: DataFrame) -> bool:
+    """Whether a url has several pages; asked on the urls alone."""
+    return not pages.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
 
 def crawl(
@@ -90,9 +99,10 @@ def crawl(
 
     ``seeds`` has ``url`` and ``pages`` has ``(url, html)``.  Returns the items
     with their depth, and the seen-set with the depth of first sight.  The link
-    graph and each round's frontier are checkpointed, so that neither lineage
-    nor work grows with the number of rounds; only a frontier's emptiness is
-    asked on the driver.
+    graph and each round's frontier are checkpointed, and every ``FOLD`` rounds
+    the seen-set becomes one checkpointed table partitioned by fingerprint, so
+    neither lineage nor plan grows with the number of rounds; only a frontier's
+    emptiness is asked on the driver.
     """
     checkpoint_root(seeds.sparkSession)
     graph = page_graph(pages, domains).checkpoint()
@@ -106,4 +116,6 @@ def crawl(
         depth += 1
         frontier = crawl_round(frontier, graph, seen).checkpoint()
         seen = seen.unionByName(frontier.select("fingerprint", "url", F.lit(depth).alias("depth")))
+        if depth % FOLD == 0:
+            seen = seen.repartition("fingerprint").checkpoint()
     return seen_items(seen, pages), seen

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import strings
 from corpusloom.operators import merge
 from corpusloom.operators.crawl import random_order
+from corpusloom.operators.ranking import with_rank
+
+RUN = 1024  # chunks that are joined before the runs of a key meet
 
 
 def lookup(df: DataFrame, asked: DataFrame, on: Sequence[str] = ("key",)) -> DataFrame:
@@ -101,17 +104,27 @@ def append_rows(base: DataFrame, chunks: DataFrame, seq: str = "seq", limit: int
     """Values with all chunks of their key appended in order.
 
     A value may not exceed ``limit`` bytes, which is checked on the summed
-    lengths before any chunks of a key are brought together.
+    lengths before any chunks of a key are brought together.  Empty chunks are
+    dropped, and runs of ``RUN`` chunks are joined before the runs of a key meet,
+    so what meets is as large as the value itself.
     """
     rows = base.select("key", "value", F.lit(None).cast("long").alias("_s")).unionByName(
-        chunks.select("key", "value", F.col(seq).cast("long").alias("_s"))
+        chunks.filter(F.octet_length("value") > 0).select("key", "value", F.col(seq).cast("long").alias("_s"))
     )
+    silent = chunks.select("key").distinct().join(rows.select("key").distinct(), "key", "left_anti")
+    rows = rows.unionByName(silent.select("key", F.lit("").alias("value"), F.lit(0).cast("long").alias("_s")))
     size = rows.groupBy("key").agg(F.sum(F.octet_length("value")).alias("_bytes"))
     too_long = F.raise_error(F.lit("string exceeds the maximum size")).cast("boolean")
     checked = rows.join(size.filter(F.when(F.col("_bytes") > limit, too_long).otherwise(F.lit(True))), "key")
-    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("_s", F.lit(-(2**63))).alias("s"), "value")))
-    joined = F.array_join(F.transform(ordered, lambda c: c["value"]), "")
-    return checked.groupBy("key").agg(joined.alias("value"))
+    ordered = checked.select("key", "value", F.coalesce("_s", F.lit(-(2**63))).alias("_s"))
+    ranked = with_rank(ordered, ["key"], ["_s", "value"], "_i", "_size")
+
+    def joined(order: str, of: DataFrame, *by: str) -> DataFrame:
+        pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), "value")))
+        return of.groupBy(*by).agg(F.array_join(F.transform(pieces, lambda c: c["value"]), "").alias("value"))
+
+    runs = joined("_i", ranked.withColumn("_run", F.floor(F.col("_i") / RUN)), "key", "_run")
+    return joined("_run", runs, "key")
 
 
 def with_expiry(df: DataFrame, expiry: DataFrame) -> DataFrame:

@@ -445,3 +445,33 @@ def test_tables_and_aliases(spark, tmp_path):
     assert tables.scan_all(spark, "numbers", F.col("id") > 1).count() == 3
     tables.alias(spark, "numbers", first)
     assert spark.table("numbers").count() == 3
+
+
+def test_rank_of_an_input_that_does_not_repeat(spark):
+    frame = spark.range(3000).select(F.lit("k").alias("key"), F.rand().alias("v"), F.col("id"))
+    got = ranking.with_rank(frame, ["key"], ["v", "id"], buckets=7).collect()
+    assert sorted(r["rank"] for r in got) == list(range(3000)) and {r["size"] for r in got} == {3000}
+    by_rank = sorted(got, key=lambda r: r["rank"])
+    assert [(r.v, r.id) for r in by_rank] == sorted((r.v, r.id) for r in got)
+
+
+def test_dictionary_of_many_words(spark):
+    signs = [chr(0x4E00 + i) for i in range(600)]
+    words = [(a + b,) for a in signs[:450] for b in signs[:450]][:200_000] + [(signs[500] + signs[0] + signs[1],)]
+    docs = spark.createDataFrame([(1, signs[0] + signs[1] + signs[550] + "ab c" + signs[500] + signs[0] + signs[1]), (2, None), (3, "")], "id long, t string")
+    got = {r.id: r.terms for r in search.dictionary_terms(docs, "id", "t", spark.createDataFrame(words, "word string")).collect()}
+    assert got == {1: [signs[0] + signs[1], signs[550], "ab", "c", signs[500] + signs[0] + signs[1]], 2: [], 3: []}
+
+
+def test_sites_by_rules(spark):
+    rules = spark.createDataFrame([("com",), ("com.bd",), ("*.ck",), ("!www.ck",), ("jp",), ("*.kobe.jp",), (None,)], "suffix string")
+    hosts = {"www.shop.com.bd": "shop.com.bd", "a.b.com": "b.com", "x.y.z.ck": "y.z.ck", "a.www.ck": "www.ck", "p.q.r.kobe.jp": "q.r.kobe.jp", "a.b.zz": "b.zz", "com": "com", "10.0.0.1": "10.0.0.1"}
+    frame = spark.createDataFrame([(f"http://{h}/p",) for h in hosts] * 2, "url string")
+    got = sites.site_by_rules(frame, rules).collect()
+    assert len(got) == 16 and all(r.site == hosts[r.url[7:-2]] for r in got)
+
+
+def test_sort_with_offset_alone(spark):
+    items = spark.createDataFrame([(str(i), ) for i in range(50)], "item string")
+    got = [r.item for r in sorts.sort_by(items, offset=45, desc=True).collect()]
+    assert got == ["4", "3", "2", "1", "0"]
