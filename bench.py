@@ -19,11 +19,11 @@ from corpusloom.plans import QUERIES  # noqa: E402
 from corpusloom.session import build_session  # noqa: E402
 
 HEADLINES = (
-    "search_bm25 msearch_topk doc_freq match_terms percolate snippet matrix_stats children_per_bucket "
+    "search_bm25 search_boosted_fields msearch_topk match_index bool_scored doc_freq match_terms percolate snippet matrix_stats children_per_bucket "
     "page_items url_fingerprint same_site_links site_codes unseen_pages crawl_rounds upsert_last_write partial_update "
-    "sinter sdiff zunion_weighted zinter_min zrank zrevrange_topk zrange_by_score list_range list_push hash_lookup "
+    "sinter sdiff zunion_weighted zinter_min zrank zrank_bucketed zrevrange_topk zrange_by_score list_range list_push hash_lookup "
     "bitcount_by_key bitop_and counters ttl_live glob_keys approx_users geo_radius geo_radius_by_member "
-    "sort_orders_by_balance route_messages clean_style stream_counters stream_dedupe"
+    "sort_orders_by_balance route_messages clean_style clean_style_fully crawl_items string_append_rows stream_ingest_plain stream_counters stream_dedupe"
 ).split()
 
 

@@ -273,6 +273,61 @@ def match(docs: DataFrame, field: str, query: str, operator: str = "or") -> Data
     return docs.filter(matches(F.col(field), query, operator))
 
 
+def match_index(docs: DataFrame, index: Index, query: str, field: str, operator: str = "or", id_col: str = "_id") -> DataFrame:
+    """``match`` by the postings: no text is read or analyzed, and the term filter reaches their Parquet statistics."""
+    wanted = sorted(set(tx.terms_of(query)))
+    found = index.postings.filter((F.col("field") == field) & F.col("term").isin(wanted)).select(F.col("_id").alias(id_col), "term")
+    if operator != "or":
+        found = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(wanted))
+    return docs.join(found.select(id_col), id_col, "left_semi")
+
+
+def bool_scored(
+    index: Index,
+    must: Sequence[tuple[str, str]] = (),
+    should: Sequence[tuple[str, str]] = (),
+    must_not: Sequence[tuple[str, str]] = (),
+    filter: Sequence[tuple[str, str]] = (),
+    minimum_should_match: int | None = None,
+    size: int = 10,
+    offset: int = 0,
+    k1: float = 1.2,
+    b: float = 0.75,
+) -> DataFrame:
+    """A composite query over the index: clauses are (field, text), a clause matches if one of its terms is there.
+
+    The score is the BM25 sum of the matching ``must`` and ``should`` clauses; ``filter`` and ``must_not`` score
+    nothing.  All clauses are aggregates of one pass over the postings of their terms.  Without ``must`` and ``filter``
+    one ``should`` clause has to match; a query of ``must_not`` clauses alone finds nothing.
+    """
+    clauses = [(kind, f, sorted(set(tx.terms_of(t)))) for kind, part in (("must", must), ("should", should), ("must_not", must_not), ("filter", filter)) for f, t in part]
+    within = [(F.col("field") == f) & F.col("term").isin(words) for _, f, words in clauses]
+    asked = F.lit(False)
+    for test in within:
+        asked = asked | test
+    weights = _scored(index.postings.filter(asked), index.freq.filter(asked), index.stats, k1, b, None)
+    per_clause = [F.sum(F.when(test, F.col("weight")).otherwise(0.0)).alias(f"_s{i}") for i, test in enumerate(within)]
+    hits = [F.max(test).alias(f"_h{i}") for i, test in enumerate(within)]
+    rows = weights.groupBy("_id").agg(*per_clause, *hits)
+    kept, matched, score = F.lit(True), F.lit(0), F.lit(0.0)
+    for i, (kind, _, _) in enumerate(clauses):
+        hit = F.col(f"_h{i}")
+        if kind in ("must", "filter"):
+            kept = kept & hit
+        elif kind == "must_not":
+            kept = kept & ~hit
+        else:
+            matched = matched + hit.cast("int")
+        if kind in ("must", "should"):
+            score = score + F.col(f"_s{i}")
+    need = minimum_should_match if minimum_should_match is not None else int(bool(should) and not must and not filter)
+    if not must and not filter and not need:
+        need = 1
+    found = rows.filter(kept & (matched >= need)).select("_id", score.alias("score"))
+    top = found.orderBy(_exact("score").desc(), "_id").offset(offset).limit(size)
+    return top.withColumn("score", F.round("score", 6))
+
+
 def matches(text: Column, query: str, operator: str = "or") -> Column:
     """``match`` as a predicate for ``bool_query``; the terms are tested inside the row."""
     wanted = sorted(set(tx.terms_of(query)))
@@ -310,9 +365,9 @@ def bool_query(
     minimum_should_match: int | None = None,
     score: str | None = "score",
 ) -> DataFrame:
-    """All of ``must`` and ``filter``, none of ``must_not``, enough of ``should``.
+    """All of ``must`` and ``filter``, none of ``must_not``, enough of ``should``, over any predicates.
 
-    The score counts matching ``must`` and ``should`` clauses.  Without ``must``
+    The score counts matching ``must`` and ``should`` clauses; ``bool_scored`` adds up BM25.  Without ``must``
     and ``filter`` one ``should`` clause has to match.
     """
     hits = [F.coalesce(c, F.lit(False)).cast("int") for c in should]

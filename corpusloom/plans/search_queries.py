@@ -128,6 +128,43 @@ def match_terms(spark, sf):
     return search.match(documents(spark, sf), "text", WORDS).select("doc_id", "lang")
 
 
+@query(
+    "match_index",
+    f"""SELECT doc_id, lang FROM documents WHERE list_contains({sql_terms('text')}, 'ing') AND list_contains({sql_terms('text')}, 'les')
+    UNION ALL SELECT doc_id, 'any' FROM documents WHERE len(list_filter({sql_terms('text')}, lambda t: t IN {sql_list(TERMS)})) > 0""",
+)
+def match_index(spark, sf):
+    """Matching documents by the stored postings: all of two terms, and any of the usual ones."""
+    docs, index = documents(spark, sf), document_index(spark, sf)
+    every = search.match_index(docs, index, "ing les", "text", "and", "doc_id").select("doc_id", "lang")
+    return every.unionByName(search.match_index(docs, index, WORDS, "text", "or", "doc_id").select("doc_id", F.lit("any").alias("lang")))
+
+
+_CLAUSE = lambda f, words: f"(field = '{f}' AND term IN {sql_list(words)})"
+
+
+@query(
+    "bool_scored",
+    f"""WITH {sql_index({'text': 'text', 'source': 'source'}, 'documents', 'doc_id')},
+    w AS (SELECT _id, field, term, {sql_bm25()} AS weight FROM postings JOIN freq USING (field, term) JOIN stats USING (field)),
+    d AS (SELECT _id, sum(CASE WHEN {_CLAUSE('text', ['ing'])} OR {_CLAUSE('text', ['les', 'thion'])} OR {_CLAUSE('source', ['src1', 'src2'])} THEN weight ELSE 0 END) AS score,
+        bool_or({_CLAUSE('text', ['ing'])}) AS a, bool_or({_CLAUSE('text', ['les', 'thion'])}) AS b, bool_or({_CLAUSE('source', ['src1', 'src2'])}) AS c,
+        bool_or({_CLAUSE('text', ['der'])}) AS n, bool_or({_CLAUSE('text', ['on', 'en', 'er', 'st', 'eres'])}) AS f FROM w GROUP BY _id)
+    SELECT _id, round(score, 6) AS score FROM d WHERE a AND f AND NOT n AND (b OR c) ORDER BY score DESC, _id LIMIT 15""",
+)
+def bool_scored(spark, sf):
+    """Clauses over two fields: scores of must and should add up, filter and must_not score nothing."""
+    return search.bool_scored(
+        document_index(spark, sf, "text", "source"),
+        must=[("text", "Ing")],
+        should=[("text", "les thion"), ("source", "src1 src2")],
+        must_not=[("text", "der")],
+        filter=[("text", "on en er st eres")],
+        minimum_should_match=1,
+        size=15,
+    )
+
+
 @query(
     "match_all_terms",
     f"""WITH d AS (SELECT doc_id, {sql_terms('text')} AS terms FROM documents)
