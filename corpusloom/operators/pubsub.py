@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import strings
+from corpusloom.operators.joins import salted_join
 
 
 def _prefixes(channel: str):
@@ -44,11 +45,13 @@ def pattern_channels(channels: DataFrame, subs: DataFrame) -> DataFrame:
 def route(messages: DataFrame, subs: DataFrame) -> DataFrame:
     """One delivery per matching exact subscription and per matching pattern subscription.
 
-    Patterns are matched once per distinct channel, not per message.
+    Patterns are matched once per distinct channel, not per message.  A channel's
+    messages are spread over salts.
     """
     by_name = exact(subs).select("channel", "subscriber", F.lit(None).cast("string").alias("pattern"))
     by_pattern = pattern_channels(messages.select("channel").distinct(), subs)
-    return messages.join(by_name.unionByName(by_pattern), "channel")
+    hashable = [f.name for f in messages.schema if "map<" not in f.dataType.simpleString()]
+    return salted_join(messages, by_name.unionByName(by_pattern), ["channel"], hashable)
 
 
 def unsubscribe(subs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.operators.joins import salted_join
 from corpusloom.operators.ranking import top_per_key
 from corpusloom.session import checkpoint_root
 
-SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -259,10 +259,8 @@ def msearch(index: Index, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     its sum forms there in part before the shuffle.
     """
     asked = query_terms(queries).join(index.freq, "term").join(F.broadcast(index.stats), "field")
-    spread = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = index.postings.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
     weight = term_weight(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("avg_length"), k1, b)
-    hits = salted.join(spread, ["field", "term", "_salt"]).select("qid", "_id", weight.alias("weight"))
+    hits = salted_join(index.postings, asked, ["field", "term"], ["_id"]).select("qid", "_id", weight.alias("weight"))
     scores = hits.groupBy("qid", "_id").agg(F.sum("weight").alias("score"))
     top = top_per_key(scores, ["qid"], [_exact("score").desc(), F.col("_id")], k, rank="rank")
     return top.withColumn("score", F.round("score", 6))
@@ -415,7 +413,7 @@ def percolate(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", field
         )
         .select("qid", F.col("_r.rare").alias("term"), "terms")
     )
-    candidates = doc_terms.join(per_query, "term")
+    candidates = salted_join(doc_terms, per_query, ["term"], ["doc_id"])
     others = candidates.select("doc_id", "qid", F.explode(F.array_remove("terms", F.col("term"))).alias("term"))
     single = candidates.filter(F.size("terms") == 1).select("doc_id", "qid")
     need = per_query.filter(F.size("terms") > 1).select("qid", (F.size("terms") - 1).cast("long").alias("need"))
