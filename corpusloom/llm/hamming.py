@@ -95,7 +95,8 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         # met first here: the least segment distance is this radius, and no earlier segment has it
         first_here = F.array_position(each, F.array_min(each)) == F.col("segment") + 1
         met = (
-            probes.join(index.filter(F.col("segment").isin(probed)), ["segment", "value"])
+            # merged, as the probes are far more than the size of the queries' file tells the optimizer
+            probes.join(index.filter(F.col("segment").isin(probed)).hint("merge"), ["segment", "value"])
             .filter(first_here & (F.col("id") != F.col("query_id")))
             .select("query_id", "query", "id", _distance(F.col("query"), F.col("code")).alias("distance"))
         )
