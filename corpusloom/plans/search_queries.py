@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import search
+from corpusloom.operators import live_index, search
 from corpusloom.plans.registry import query, quoted, sql_list, table
 from corpusloom.sources import tables
 from corpusloom.session import work_path
@@ -140,6 +140,52 @@ def match_index(spark, sf):
     return every.unionByName(search.match_index(docs, index, WORDS, "text", "or", "doc_id").select("doc_id", F.lit("any").alias("lang")))
 
 
+_CHANGED = """(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN lang || ' thion ' || source || ' les ' || substring(text, 1, 200) ELSE text END AS text FROM documents
+    WHERE doc_id % 7 <> 3)"""
+_LIVE_SQL = f"""WITH {sql_index({'text': 'text'}, _CHANGED, 'doc_id')}
+    SELECT _id, round(sum({sql_bm25()}), 6) AS score
+    FROM postings JOIN freq USING (field, term) JOIN stats USING (field)
+    WHERE term IN {sql_list(TERMS)} GROUP BY _id ORDER BY score DESC, _id LIMIT 30"""
+
+
+def changed_index(spark, sf, together: bool):
+    """An index of all documents, in which every fifth one is replaced and every seventh one deleted, in one or two steps."""
+    path, docs = work_path(spark, "live-index"), documents(spark, sf).select("doc_id", "text", "lang", "source")
+    live_index.change(spark, path, docs, ["text"], id_col="doc_id")
+    text = F.concat("lang", F.lit(" thion "), "source", F.lit(" les "), F.substring("text", 1, 200))
+    new, gone = docs.filter("doc_id % 5 = 0").withColumn("text", text), docs.filter("doc_id % 7 = 3")
+    if together:
+        live_index.change(spark, path, new.filter("doc_id % 7 <> 3"), ["text"], gone, id_col="doc_id")
+    else:
+        live_index.change(spark, path, new, ["text"], id_col="doc_id")
+        live_index.change(spark, path, deletes=gone, id_col="doc_id")
+    return path
+
+
+@query("index_upsert_search", _LIVE_SQL)
+def index_upsert_search(spark, sf):
+    return search.search(live_index.read_index(spark, changed_index(spark, sf, True)), WORDS, size=30)
+
+
+@query("index_delete_search", _LIVE_SQL)
+def index_delete_search(spark, sf):
+    return search.search(live_index.read_index(spark, changed_index(spark, sf, False)), WORDS, size=30)
+
+
+@query(
+    "phrase_match",
+    f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), {PATTERN}) AS t FROM documents),
+    p AS (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM d WHERE len(t) > 1)
+    SELECT doc_id AS _id, count(*) AS n FROM p WHERE t[i] = 'en' AND t[i + 1] = 'er' GROUP BY doc_id""",
+)
+def phrase_match(spark, sf):
+    """Documents with a phrase from the stored positions; a stop word between two words holds its place only."""
+    path = work_path(spark, "live-index")
+    live_index.change(spark, path, documents(spark, sf), ["text"], id_col="doc_id")
+    found = live_index.phrase_match(live_index.live_postings(spark, path), "en er", "text")
+    return found.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 _CLAUSE = lambda f, words: f"(field = '{f}' AND term IN {sql_list(words)})"
 
 

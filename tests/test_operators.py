@@ -46,11 +46,15 @@ def test_ranks_do_not_depend_on_buckets(spark, buckets):
     assert got == wanted
 
 
-def test_rank_buckets_are_even_for_a_hot_key(spark):
+def test_a_hot_key_is_ranked_over_many_tasks(spark):
     frame = spark.range(40000).select(F.lit("hot").alias("key"), F.col("id").alias("pos"))
-    cuts = ranking._cut_points(frame, ["key", "pos"], 40000, 16)
-    sizes = frame.groupBy(ranking._bucket_of(F.struct("key", "pos"), cuts, 32).alias("b")).count().collect()
-    assert len(sizes) >= 12 and max(r["count"] for r in sizes) < 40000 / 16 * 3
+    ranked = ranking.with_rank(frame, ["key"], ["pos"], buckets=16)
+    assert ranked.filter(F.col("rank") != F.col("pos")).isEmpty()
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window [row_number" not in plan
+    cuts = F.array(*[F.lit(2500 * i) for i in range(1, 16)])
+    sizes = frame.groupBy(ranking.bucket_of(F.col("pos"), cuts, 32).alias("b")).count().collect()
+    assert {r["count"] for r in sizes} == {2500}
 
 
 def test_ranks_without_keys(spark):
@@ -475,3 +479,19 @@ def test_sort_with_offset_alone(spark):
     items = spark.createDataFrame([(str(i), ) for i in range(50)], "item string")
     got = [r.item for r in sorts.sort_by(items, offset=45, desc=True).collect()]
     assert got == ["4", "3", "2", "1", "0"]
+
+
+def test_live_index_changes_and_phrases(spark, tmp_path):
+    path = str(tmp_path / "live")
+    docs = spark.createDataFrame([("a", "heart of the matter heart attack"), ("b", "attack heart"), ("c", None)], "_id string, text string")
+    assert live_index.change(spark, path, docs, ["text"]) == 1
+    found = lambda words, version=None: [r._id for r in search.search(live_index.read_index(spark, path, version), words).collect()]
+    assert found("attack") == ["b", "a"]
+    phrases = lambda words: sorted((r._id, r.start, r.end) for r in live_index.phrase_match(live_index.live_postings(spark, path), words, "text").collect())
+    assert phrases("heart attack") == [("a", 20, 32)] and phrases("heart of the matter") == [("a", 0, 19)] and phrases("the of") == []
+    assert live_index.change(spark, path, docs.filter("_id = 'b'").withColumn("text", F.lit("lung")), ["text"]) == 2
+    assert found("attack") == ["a"] and found("lung") == ["b"] and found("attack", 1) == ["b", "a"]
+    assert live_index.change(spark, path, deletes=docs.filter("_id = 'a'")) == 3
+    index = live_index.read_index(spark, path)
+    assert found("attack heart") == [] and {r.term: r.df for r in index.freq.collect()} == {"lung": 1}
+    assert [(r.n_docs, r.avg_length) for r in index.stats.collect()] == [(2, 0.5)]
