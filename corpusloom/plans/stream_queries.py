@@ -45,7 +45,7 @@ def _ingested(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     path = work_path(spark, "ingest")
     pages = stream_of(spark, sf, "pages")
     items = pages.select("url", F.col("page_id").alias("seq"), html.item(F.col("html")).alias("_i")).select("url", "seq", "_i.*")
-    job = ingest.stream_ingest(items, f"{path}/raw", f"{path}/plain", f"{path}/sites", f"{path}/state")
+    job = ingest.stream_ingest(items, f"{path}/raw", f"{path}/plain", f"{path}/sites", f"{path}/state", default_url=pq.NO_URL)
     job.awaitTermination()
     return ingest.current(spark, f"{path}/raw"), ingest.current(spark, f"{path}/plain")
 

@@ -25,9 +25,9 @@ def stream_items(spark: SparkSession, path: str, schema: T.StructType = INGEST,
     return good_rows(reader.json(path))
 
 
-def raw_documents(items: DataFrame, origin: str = "zh") -> DataFrame:
+def raw_documents(items: DataFrame, default_url: str, origin: str = "zh") -> DataFrame:
     """Items with id and origin; of items with one id in a batch the last ``seq`` stays."""
-    docs = with_document_id(items.withColumn("origin", F.lit(origin)))
+    docs = with_document_id(items.withColumn("origin", F.lit(origin)), default_url)
     if "seq" in docs.columns:
         return merge.newest(docs.select(*ITEM_COLUMNS, "seq"), ["_id"], "seq").select(*ITEM_COLUMNS)
     return docs.select(*ITEM_COLUMNS).dropDuplicates(["_id"])
@@ -49,7 +49,7 @@ def _batches(spark: SparkSession, path: str, schema: T.StructType, before: int)
     return rows.filter(F.col("batch") < before).drop("batch")
 
 
-def two_sinks(raw_path: str, plain_path: str, site_path: str, origin: str) -> Callable[[DataFrame, int], None]:
+def two_sinks(raw_path: str, plain_path: str, site_path: str, origin: str, default_url: str) -> Callable[[DataFrame, int], None]:
     """The work of one micro-batch.
 
     Every output of a batch is a folder named by the batch number and site
@@ -58,7 +58,7 @@ def two_sinks(raw_path: str, plain_path: str, site_path: str, origin: str) -> Ca
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        raw = raw_documents(batch, origin).persist()
+        raw = raw_documents(batch, default_url, origin).persist()
         try:
             known = _batches(spark, site_path, SITE, number)
             found = raw.select(urls.registered_domain(F.col("url")).alias("site"), F.lit(number).alias("first_seen"))
@@ -75,11 +75,19 @@ def two_sinks(raw_path: str, plain_path: str, site_path: str, origin: str) -> Ca
 
 
 def stream_ingest(
-    items: DataFrame, raw_path: str, plain_path: str, site_path: str, checkpoint: str, origin: str = "zh", **trigger
+    items: DataFrame,
+    raw_path: str,
+    plain_path: str,
+    site_path: str,
+    checkpoint: str,
+    origin: str = "zh",
+    *,
+    default_url: str,
+    **trigger,
 ) -> StreamingQuery:
-    """Start the stream of items into the raw and the plain table."""
+    """Start the stream of items into the raw and the plain table; ``default_url`` is for items without url and code."""
     return (
-        items.writeStream.foreachBatch(two_sinks(raw_path, plain_path, site_path, origin))
+        items.writeStream.foreachBatch(two_sinks(raw_path, plain_path, site_path, origin, default_url))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import geo as gf
 from corpusloom.operators import (
-    bitmaps, crawl, geo, keys, lists, merge, pubsub, ranking, search, sets, sites, sketch, sorts, zsets,
+    bitmaps, crawl, geo, keys, lists, live_index, merge, pubsub, ranking, search, sets, sites, sketch, sorts, zsets,
 )
 from corpusloom.sources import files, tables
 
@@ -430,7 +430,7 @@ def test_html_tree_pipe_text_and_queue(spark, tmp_path):
     (deep / "z.txt").write_text("<title>Z</title>")
     docs = files.with_document_id(files.read_html_tree(spark, str(tmp_path / "tree")), "http://unknown.example/")
     assert [t for t, in rows(docs, "title")] == ["X", "Y"]
-    assert {r.url for r in docs.select("url").collect()} == {"http://med.wanfangdata.com.cn/"}
+    assert {r.url for r in docs.select("url").collect()} == {"http://unknown.example/"}
     (tmp_path / "p.txt").write_text('id | name\n1 | "a\n2 | b c\n')
     assert rows(files.read_pipe_text(spark, str(tmp_path / "p.txt"))) == [("1", '"a'), ("2", "b c")]
     queue = spark.createDataFrame([(3,), (5,)], "v int")

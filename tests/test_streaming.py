@@ -18,7 +18,7 @@ def test_ingest_over_several_batches(spark, tmp_path):
         (source / name).write_text("\n".join([*(json.dumps(i) for i in items), "{broken"]))
 
     def drain():
-        ingest.stream_ingest(ingest.stream_items(spark, str(source)), *paths).awaitTermination()
+        ingest.stream_ingest(ingest.stream_items(spark, str(source)), *paths, default_url="http://unknown.example/").awaitTermination()
 
     put("1.json", {"url": "http://x.b.com/1", "title": "t", "content": "**old**"}, {"code": "c7", "content": "y"})
     drain()
