@@ -52,7 +52,7 @@ def with_rank(
     """
     keys, order = list(keys), list(order)
     checkpoint_root(df.sparkSession)
-    by = [*keys, *[name for name in order if name not in keys or isinstance(name, Column)]]
+    by = [*keys, *[name for name in order if isinstance(name, Column) or name not in keys]]
     ranged = df.repartitionByRange(buckets, *by) if buckets else df.repartitionByRange(*by)
     placed = ranged.sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
     part = F.call_function("shiftright", F.col("_at"), F.lit(_ROW_BITS)).cast("int")
