@@ -319,3 +319,39 @@ def question_file(spark, sf):
     files.append_questions(customers.select(F.concat(signs, F.lit("?")).alias("title"), F.lit("no question").alias("description")), path)
     files.append_questions(customers.select(F.lit("none").alias("title"), F.lit("x 问? y").alias("description")), path)
     return spark.read.text(path)
+
+
+def _with_suffix(spark, path: str, suffix: str) -> None:
+    """Give the files that Spark wrote below a folder another ending."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            system.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, name.split(".")[0] + suffix))
+
+
+@query(
+    "jsonl_files",
+    "SELECT CAST(doc_id AS VARCHAR) AS code, md5(text) AS digest, 'zh' AS origin FROM documents",
+)
+def jsonl_files(spark, sf):
+    """Documents written as JSON lines, with bad lines among them and a file of another kind beside them, read back."""
+    good, bad = _lines(spark, sf)
+    path = work_path(spark, "jsonl")
+    good.unionByName(bad).write.text(path)
+    _with_suffix(spark, path, ".jsonl")
+    good.write.mode("append").text(path)
+    return files.good_rows(files.read_jsonl(spark, path, "zh", JSONL_ITEM)).select("code", F.md5("content").alias("digest"), "origin")
+
+
+@query(
+    "pipe_text_files",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderpriority AS priority FROM orders""",
+)
+def pipe_text_files(spark, sf):
+    """Orders written as lines with fields between bars, a line of names at the head of each file, read back."""
+    path = work_path(spark, "bars")
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"))
+    rows.repartition(3).write.option("header", True).option("sep", " | ").option("quote", "").csv(path)
+    return files.read_pipe_text(spark, path)
