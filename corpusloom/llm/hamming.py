@@ -51,8 +51,10 @@ def _segment(code: Column, j: int) -> Column:
     return F.shiftrightunsigned(word, shift).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).cast("int")
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def _distance(a: Column, b: Column, words: int) -> Column:
+    """Differing bits; one plain term per word, which stays in generated code."""
+    parts = [F.bit_count(F.get(a, F.lit(w)).bitwiseXOR(F.get(b, F.lit(w)))) for w in range(words)]
+    return sum(parts[1:], parts[0])
 
 
 def _masks(radius: int) -> Column:
@@ -91,14 +93,16 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             .select("query_id", "query", "segment", "_at", F.explode(_masks(radius)).alias("_mask"))
             .select("query_id", "query", "segment", F.col("_at").bitwiseXOR(F.col("_mask")).alias("value"))
         )
-        each = F.array(*[F.bit_count(_segment(F.col("query"), j).bitwiseXOR(_segment(F.col("code"), j))) for j in range(segments)])
-        # met first here: the least segment distance is this radius, and no earlier segment has it
-        first_here = F.array_position(each, F.array_min(each)) == F.col("segment") + 1
+        # met first here: no segment is nearer than this radius, and none before this one as near
+        first_here = F.lit(True)
+        for j in range(segments):
+            apart = F.bit_count(_segment(F.col("query"), j).bitwiseXOR(_segment(F.col("code"), j)))
+            first_here = first_here & (apart >= F.when(F.col("segment") > j, F.lit(radius + 1)).otherwise(F.lit(radius)))
         met = (
             # merged, as the probes are far more than the size of the queries' file tells the optimizer
             probes.join(index.filter(F.col("segment").isin(probed)).hint("merge"), ["segment", "value"])
             .filter(first_here & (F.col("id") != F.col("query_id")))
-            .select("query_id", "query", "id", _distance(F.col("query"), F.col("code")).alias("distance"))
+            .select("query_id", "query", "id", _distance(F.col("query"), F.col("code"), words).alias("distance"))
         )
         if best is not None:
             met = best.unionByName(met)
