@@ -146,10 +146,20 @@ def resemblance(text: str, family: str) -> float:
 
 
 def sample_paragraphs(docs: DataFrame, count: int = SAMPLE_PARAGRAPHS) -> list[np.ndarray]:
-    """Features of the ``count`` paragraphs whose hashes are the least; equal for equal corpora."""
+    """Features of the ``count`` different paragraphs whose hashes are the least; equal for equal corpora.
+
+    A first pass counts the paragraphs.  Only those whose hash is small enough for four times ``count`` of them are then
+    made distinct and ordered, so what meets in one task does not grow with the corpus.  Many copies of few paragraphs
+    may leave fewer than ``count``.
+    """
     line = F.col("line")
-    lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line")).filter(F.length("line") > 0)
-    chosen = lines.select(F.xxhash64(line, F.lit("sample")).alias("h"), line.alias("text")).orderBy("h", "text").limit(count)
+    split = F.split(F.col("text").cast("string"), "\n", -1)
+    total = docs.agg(F.sum(F.size(split)).alias("n")).first()["n"] or 0
+    share = min(1.0, 4 * count / max(1, total))
+    least = min(2**63 - 1, int((2 * share - 1) * 2**63))
+    lines = docs.select(F.explode(split).alias("line")).filter(F.length("line") > 0)
+    hashed = lines.select(F.xxhash64(line, F.lit("sample")).alias("h"), line.alias("text")).filter(F.col("h") <= least)
+    chosen = hashed.dropDuplicates(["h", "text"]).orderBy("h", "text").limit(count)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
