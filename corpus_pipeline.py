@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
-    gone = minhash.near_duplicates(docs, percent=85).filter("not kept").select("doc_id").distinct()
+    """One document of each group of near copies (similarity 0.8 or more) stays, the one with the smallest doc_id."""
+    gone = minhash.near_duplicates(docs, percent=80).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -9,8 +9,8 @@
    which members hang together by confirmed links.
 4. Alternating large-star and small-star rounds make components of the confirmed links.
 
-With 25 bands of 5 minima a pair at similarity 0.85 shares no bucket with probability 4e-7; the margin is five
-standard errors of the estimate from 125 minima.
+With 25 bands of 5 minima a pair at similarity 0.85 shares no bucket with probability 4e-7, one at 0.80 with 5e-5; the
+margin is five standard errors of the estimate from 125 minima.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from corpusloom.llm.work import binary_views, runs, store
 
 BANDS, ROWS = 25, 5
 BLOCK_DOCS = 256
-MARGIN = 0.16
+ERRORS = 5  # standard errors that an estimate may be below the threshold
 _STEP = 1024
 
 
@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bloc
     (null) and kept.  Rows that repeat a doc_id and a text are one document and get equal results; if a doc_id has
     different texts, each row follows its own text.  Other columns are ignored.  No rows give no rows.
     """
-    least = percent / 100 - MARGIN
+    share = percent / 100
+    least = share - ERRORS * (share * (1 - share) / (BANDS * ROWS)) ** 0.5
     sigs = store(signatures(docs, width), "signatures")
     filled = sigs.filter("n_shingles > 0 and doc_id is not null")
     groups = filled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))

@@ -8,6 +8,7 @@ import re
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from corpusloom.llm import components, lines, minhash, wordhash
 
 SCHEMA = "doc_id long, text string, lang string, component_id string, n_dropped int"
@@ -128,3 +129,21 @@ def test_line_dedup_with_odd_ids(spark):
     frame = table(spark, [(None, "some repeated line"), (4, "some repeated line"), (4, "some repeated line"), (None, "some repeated line\nx")])
     got = sorted((r.doc_id or -1, r.text) for r in lines.dedup_lines(frame).collect())
     assert got == [(-1, ""), (-1, "x"), (4, "some repeated line"), (4, "some repeated line")]
+
+
+def test_stage_links_from_080(spark):
+    docs = []
+    for group in range(40):
+        base = [f"g{group}w{i}" for i in range(200)]
+        docs.append((10 * group, " ".join(base)))
+        for k in range(1, 4):  # each changed word in the middle breaks five shingles
+            text = list(base)
+            for j in range(3 + (group + k) % 4):
+                text[10 + 30 * j - 7 * k if j else 10 + 3 * k] = f"other{group}{k}{j}"
+            docs.append((10 * group + k, " ".join(text)))
+    sets = {i: shingles(t) for i, t in docs}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and a // 10 == b // 10}
+    assert sum(0.80 <= v < 0.85 for v in like.values()) > 20 and any(0.7 < v < 0.80 for v in like.values())
+    want = classes([pair for pair, v in like.items() if v >= 0.80], sets)
+    frame = table(spark, docs)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()} == {i for i in sets if want[i] == i}
