@@ -3,7 +3,7 @@
 A word is a run of bytes other than space and ``\\x09-\\x0D``.  Its hash is a polynomial in fixed random byte values
 modulo 2**64, passed through a bit mixer; with ``fold`` the letters A-Z have the values of a-z.  Texts are worked off in
 blocks of bytes, cut between texts or, inside a text longer than a block, between words, so memory does not grow with
-the longest text.
+the longest text; a block grows only with a word that is longer than it.
 """
 
 from __future__ import annotations
@@ -87,10 +87,11 @@ def _block_words(
     last[:-1] &= ~word[1:] | first[1:]
     starts = np.flatnonzero(first)
     ends = np.flatnonzero(last) + 1
+    power, inverse = (_POWER, _INVERSE) if n <= BLOCK else (_powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n))
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[data] * _POWER[:n], out=total[1:])
-        return mix((total[ends] - total[starts]) * _INVERSE[starts]), starts, ends
+        np.cumsum(table[data] * power[:n], out=total[1:])
+        return mix((total[ends] - total[starts]) * inverse[starts]), starts, ends
 
 
 def word_hashes(
@@ -120,13 +121,17 @@ def word_hashes(
 
 
 def _pieces(data: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int]]:
-    """Byte ranges of at most a block that end after white space; a longer word without any is cut at the block."""
+    """Byte ranges that end after white space, of at most a block; a longer word's range goes on to the word's end."""
     while low < high:
         stop = min(low + BLOCK, high)
         if stop < high:
             spaces = np.flatnonzero(_SPACE[data[low:stop]])
             if len(spaces):
                 stop = low + int(spaces[-1]) + 1
+            else:
+                while stop < high and not _SPACE[data[stop]]:
+                    ahead = _SPACE[data[stop : min(stop + BLOCK, high)]]
+                    stop += int(ahead.argmax()) if ahead.any() else len(ahead)
         yield low, stop
         low = stop
 

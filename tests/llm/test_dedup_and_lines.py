@@ -48,6 +48,13 @@ def test_shingle_sets_follow_the_words():
     assert first.tolist() == second.tolist()
 
 
+def test_long_words_count_once():
+    texts = ["中" * 100_000, "a b " + "xy" * 150_000 + " c d e", "a b " + "XY" * 150_000 + " c d e", "w " * 140_000 + "é" * 300_000 + " z" * 9, "q" * 262_144, "q" * 262_145 + " "]
+    sets = list(wordhash.shingle_sets(pa.array(texts)))
+    assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
+    assert sets[1].tolist() == sets[2].tolist()
+
+
 def test_components_of_random_graphs(spark):
     draw = random.Random(7)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]

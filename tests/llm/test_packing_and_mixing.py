@@ -28,6 +28,14 @@ def test_ids_equal_the_tokenizers():
         assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_longer_than_a_block_are_not_cut():
+    draw = random.Random(5)
+    texts = ["中文字" * 34_000 + "。日本", "a " + "".join(draw.choice("abcdefghijkl") for _ in range(300_000)) + " b c", "x1" * 200_000, "é" * 140_000 + " end"]
+    plain = Tokenizer.from_file(PATH)
+    for text, ids in zip(texts, packing.WordTokenizer(PATH).encode(pa.array(texts))):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_small_cache_gives_the_same_ids(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_PARTS", 5)
     texts = ["one two three", "four five six seven eight nine ten", "one", None, "a b c d e f g h i j k"]
