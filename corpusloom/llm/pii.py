@@ -3,11 +3,13 @@
 1. A scan of whole texts finds the base spans (four patterns with their checks) and looser candidates: addresses spelled
    out with "at" and "dot", telephone numbers without a plus, and base matches that failed their check.
 2. Regex, gazetteer and context labelers vote for, against or not at all on every candidate.
-3. Votes are counted per (kind, votes, features) over the whole corpus.  These patterns, whose number is bounded by the
-   labelers and the feature buckets and not by the corpus, go to the driver: expectation-maximisation (Dawid and Skene)
-   estimates how reliable each labeler is per kind and how likely each pattern is personal data.
-4. A logistic regression over votes and features learns those likelihoods.  Candidates that it finds likely enough and
-   that do not overlap a base span are added to the base spans.
+3. Votes are counted per (kind, votes, features) over the looser candidates of the whole corpus; base spans stay anyway,
+   and their number must not decide about others.  These patterns, whose number is bounded by the labelers and the
+   feature buckets and not by the corpus, go to the driver: expectation-maximisation (Dawid and Skene) estimates how
+   reliable each labeler is per kind and how likely each pattern is personal data.  What a vote means is anchored by
+   as many made votes as there are real ones, so equal mixtures of candidates are judged alike whatever their number.
+4. A logistic regression per kind over votes and features learns those likelihoods.  Candidates that it finds likely
+   enough and that do not overlap a base span are added to the base spans.
 
 All scans are linear in the text: a pattern never starts twice inside the same run of its characters.
 """
@@ -28,6 +30,7 @@ from corpusloom.llm.work import store
 KINDS = ("email", "ip", "card", "phone")
 CERTAIN = 0.9
 NEAR = 40  # characters before a span in which context words count
+ANCHOR = 0.85  # share of right votes that a labeler is taken to give before its votes are seen
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -36,6 +39,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){11,}+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SPELLED = re.compile(r"(?<=[A-Za-z0-9]) ?(?:\((?:at|AT)\)|\[(?:at|AT)\]| at ) ?([A-Za-z0-9-]{1,63}) ?(?:\((?:dot|DOT)\)|\[(?:dot|DOT)\]| dot ) ?[A-Za-z]{2,12}\b")
+_BRACKETED = re.compile(r" ?(?:\((?:at|AT)\)|\[(?:at|AT)\]) ?")
 _LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])")
 
 # Gazetteers and context words: plain word lists.
@@ -115,14 +119,16 @@ def votes(text: str, start: int, kind: int, end: int, base: bool, failed: bool)
     before = [w.lower() for w in _WORDS.findall(text[max(0, start - NEAR) : start])]
     previous, following = text[start - 1 : start], text[end : end + 1]
     name = KINDS[kind]
+    # brackets are no ordinary writing; plain words "at" and "dot" may be prose
+    address = body if base else _BRACKETED.sub("@", body, count=1)
     layout = {
-        "email": body.count("@") == 1 and ".." not in body and body[0] not in ".-%+",
+        "email": address.count("@") == 1 and ".." not in address and address[0] not in ".-%+@",
         "ip": all(p == str(int(p[-4:])) for p in body.split(".")) if name == "ip" else False,
         "card": len(digits) in (15, 16),
         "phone": 10 <= len(digits) <= 13,
     }[name]
     known = {
-        "email": body.rpartition(".")[2].lower() in ENDINGS or body.rpartition(" ")[2].lower() in ENDINGS,
+        "email": re.split(r"[ .)\]]", body)[-1].lower() in ENDINGS,
         "ip": False,
         "card": digits.startswith(ISSUERS),
         "phone": len(digits) >= 10 and digits[-10] not in "01" and digits[-7] not in "01",
@@ -192,6 +198,9 @@ def reliabilities(kind: np.ndarray, ballots: np.ndarray, weight: np.ndarray, rou
     """Dawid-Skene EM on patterns: the probability that each is personal data.
 
     ``ballots``: patterns x labelers with 0 (none), 1 (for), 2 (against).  Starts from the share of votes that are for.
+    A vote that is not given says nothing, both classes are equally likely beforehand, and a labeler's votes are joined
+    by as many made ones, of which ``ANCHOR`` are right: labelers of which all votes are alike then keep their meaning,
+    and the result depends on shares of the weights alone.
     """
     good, bad = (ballots == 1).sum(axis=1), (ballots == 2).sum(axis=1)
     likely = (good + 0.5) / (good + bad + 1)
@@ -200,12 +209,15 @@ def reliabilities(kind: np.ndarray, ballots: np.ndarray, weight: np.ndarray, rou
         for k in np.unique(kind):
             own = kind == k
             w1, w0 = weight[own] * likely[own], weight[own] * (1 - likely[own])
-            odds = np.full(own.sum(), np.log((w1.sum() + 1) / (w0.sum() + 1)))
+            odds = np.zeros(own.sum())
             for j in range(ballots.shape[1]):
                 b = ballots[own, j]
-                yes = np.bincount(b, w1, 3) + 1
-                no = np.bincount(b, w0, 3) + 1
-                odds += np.log(yes / yes.sum())[b] - np.log(no / no.sum())[b]
+                made = weight[own][b > 0].sum()
+                if made == 0:
+                    continue
+                yes = np.bincount(b, w1, 3)[1:] + made * np.array([ANCHOR, 1 - ANCHOR])
+                no = np.bincount(b, w0, 3)[1:] + made * np.array([1 - ANCHOR, ANCHOR])
+                odds += np.r_[0.0, np.log(yes / yes.sum()) - np.log(no / no.sum())][b]
             new[own] = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(new - likely).max(initial=0) < 1e-6:
             return new
@@ -215,33 +227,54 @@ def reliabilities(kind: np.ndarray, ballots: np.ndarray, weight: np.ndarray, rou
 
 def _inputs(kind: int, ballot: str, shape: str) -> list[str]:
     return [
-        "bias",
         f"kind {kind}",
         *[f"vote {j} {v} {kind}" for j, v in enumerate(ballot)],
-        *[f"shape {j} {v}" for j, v in enumerate(shape)],
+        *[f"shape {j} {v} {kind}" for j, v in enumerate(shape)],
     ]
 
 
-def span_classifier(patterns: list[dict], rounds: int = 300) -> dict[str, float]:
-    """Weights of a logistic regression over votes and features, fitted to the EM's likelihoods."""
+def span_classifier(patterns: list[dict], rounds: int = 50) -> dict[str, float]:
+    """Weights of a logistic regression per kind over votes and features, fitted to the EM's likelihoods."""
     if not patterns:
         return {}
-    kind = np.array([p["kind"] for p in patterns])
+    kinds = np.array([p["kind"] for p in patterns])
     ballots = np.array([["0+-".index(v) for v in p["votes"]] for p in patterns])
-    weight = np.array([p["n"] for p in patterns], float)
-    goal = reliabilities(kind, ballots, weight)
-    names = sorted({n for p in patterns for n in _inputs(p["kind"], p["votes"], p["features"])})
-    place = {n: i for i, n in enumerate(names)}
-    x = np.zeros((len(patterns), len(names)))
-    for i, p in enumerate(patterns):
-        x[i, [place[n] for n in _inputs(p["kind"], p["votes"], p["features"])]] = 1
-    share = np.log1p(weight)  # a frequent pattern counts more, but must not drown the others
-    share /= share.sum()
-    theta = np.zeros(len(names))
+    weights = np.array([p["n"] for p in patterns], float)
+    goals = reliabilities(kinds, ballots, weights)
+    out: dict[str, float] = {}
+    for k in np.unique(kinds).tolist():
+        rows = np.flatnonzero(kinds == k)
+        inputs = [_inputs(k, patterns[r]["votes"], patterns[r]["features"]) for r in rows.tolist()]
+        names = sorted({n for own in inputs for n in own})
+        place = {n: i for i, n in enumerate(names)}
+        x = np.zeros((len(rows), len(names)))
+        for i, own in enumerate(inputs):
+            x[i, [place[n] for n in own]] = 1
+        share = np.log1p(weights[rows])  # a frequent pattern counts more, but must not drown the others
+        out.update(zip(names, _logistic(x, share / share.sum(), goals[rows], rounds).tolist()))
+    return out
+
+
+def _logistic(x: np.ndarray, share: np.ndarray, goal: np.ndarray, rounds: int, ridge: float = 1e-6) -> np.ndarray:
+    """Newton's method with halved steps."""
+
+    def loss(theta: np.ndarray) -> float:
+        z = x @ theta
+        return float(share @ (np.logaddexp(0, z) - goal * z) + ridge / 2 * theta @ theta)
+
+    theta = np.zeros(x.shape[1])
+    now = loss(theta)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-x @ theta))
-        theta -= 4.0 * (x.T @ (share * (p - goal)) + 1e-4 * theta)
-    return dict(zip(names, theta.tolist()))
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        slope = x.T @ (share * (p - goal)) + ridge * theta
+        step = np.linalg.solve((x.T * (share * p * (1 - p))) @ x + ridge * np.eye(len(theta)), slope)
+        size = 1.0
+        while size > 1e-6 and (then := loss(theta - size * step)) > now:
+            size /= 2
+        if size <= 1e-6 or now - then < 1e-12:
+            break
+        theta, now = theta - size * step, then
+    return theta
 
 
 def personal_data(docs: DataFrame, certain: float = CERTAIN) -> DataFrame:
@@ -256,6 +289,7 @@ def personal_data(docs: DataFrame, certain: float = CERTAIN) -> DataFrame:
     found = store(rows.mapInArrow(_scan, _FOUND), "spans")
     patterns = (
         found.select(F.explode("candidates").alias("c"))
+        .filter("not c.base")
         .groupBy("c.kind", "c.votes", "c.features")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy("kind", "votes", "features")

@@ -144,6 +144,18 @@ def test_personal_data(spark):
         assert r.base_sha256 == hashlib.sha256(r.base.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("base,spelled", [(60, 1), (60, 60), (3000, 1), (3000, 400), (0, 1), (5, 2000)])
+def test_spelled_addresses_are_added_whatever_the_corpus(spark, base, spelled):
+    forms = ["name{} (at) example (dot) com", "write to name{}[at]example[dot]org", "email me: name{} at example dot com"]
+    rows = [(i, f"contact me: user{i}@mail.example.com or phone +1 (212) 555-01{i % 90 + 10}") for i in range(base)]
+    rows += [(10_000 + i, f"order number 1234567890{i:04d} was sent, version 1.2.3.400") for i in range(200)]
+    rows += [(20_000 + i, f"the point at line dot therefore {i}") for i in range(50)]
+    rows += [(30_000 + i, "see " + forms[i % 3].format(i) + " today") for i in range(spelled)]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[30_000 + i].added == 1 for i in range(spelled))
+    assert all(r.added == 0 for i, r in got.items() if i < 30_000)
+
+
 def test_reliabilities_find_the_bad_labeler():
     draw = np.random.default_rng(0)
     truth = draw.random(4000) < 0.4
