@@ -15,7 +15,7 @@ from corpusloom.llm.work import documents, store
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that has 30 percent of them, go."""
+    """Documents without a letter, without a language that has 30 percent of them, or of no learned language go."""
     return langid.keep_identified(docs)
 
 

@@ -206,23 +206,32 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
     )
 
 
+def with_background(logp: np.ndarray) -> np.ndarray:
+    """The log-probabilities and one more component, last, under which all buckets are equally likely."""
+    return np.vstack([logp, np.full((1, logp.shape[1]), -np.log(logp.shape[1]))])
+
+
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose main language is known: not ``und``, and with a share of at least ``least``.
 
-    Columns and texts stay as they are; the model is learned from the labelled rows of ``docs`` that are not held out.
-    If no language can be learned, every text with a letter stays.
+    A background is a component of the mixture beside the languages: trigrams that no language has seen fall to it, and
+    a text goes if its share is above that of every language.  Columns and texts stay as they are; the model is learned
+    from the labelled rows of ``docs`` that are not held out.  If no language can be learned, every text with a letter
+    stays.
     """
     names, logp = train(docs.filter(~held_out(F.col("doc_id"))))
     lettered = docs.filter(F.col("text").cast("string").rlike(LETTER))
     if not names:
         return lettered
-    model = docs.sparkSession.sparkContext.broadcast(logp)
+    model = docs.sparkSession.sparkContext.broadcast(with_background(logp))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = np.zeros(batch.num_rows, bool)
             for first, stop, bucket, owner in _trigrams(batch.column("text").cast(pa.string())):
-                known[first:stop] = mixture(bucket, owner - first, stop - first, model.value).max(axis=1) >= least
+                shares = mixture(bucket, owner - first, stop - first, model.value)
+                most = shares[:, :-1].max(axis=1)
+                known[first:stop] = (most >= least) & (most >= shares[:, -1])
             yield batch.filter(pa.array(known))
 
     return lettered.mapInArrow(run, docs.schema)

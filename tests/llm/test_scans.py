@@ -43,6 +43,17 @@ def test_language_mixtures_and_odd_texts(spark):
     assert {(r.lang_pred, r.score) for r in unknown} == {("und", 0.0)}
 
 
+def test_unlearned_languages_go(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    draw = random.Random(4)
+    noise = " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(3, 9))) for _ in range(300))
+    odd = ["Это русский текст о погоде, о городе и о людях, которые живут в нём уже много лет.", "これは日本語の文章です。天気と町と人々について書いています。", noise]
+    added = spark.createDataFrame([(900_000 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    every = docs.select("doc_id", "text", "lang").unionByName(added)
+    kept = {r.doc_id for r in langid.keep_identified(every).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_license_lines(spark):
     lines = {
         "Licensed under the Apache License, Version 2.0.": ["apache"],
