@@ -1,16 +1,22 @@
 """Licence notices: a trained paragraph classifier with a calibrated unknown class, confirmed against templates.
 
-A paragraph is a line.  Its features are hashed word unigrams and bigrams, lower-cased.  A multinomial logistic
+Judged are single lines and windows of paragraphs.  A paragraph goes up to a line without a letter or digit, its lines
+are joined, comment marks left out; wherever enough of the word pairs of a notice come within about twice the notice's
+length there is a window, so a notice is found wrapped, inside a long line, and beside another family's.
+
+Features are hashed word unigrams and bigrams, lower-cased.  A multinomial logistic
 regression knows one class per licence family and ``unknown``.  It is trained on variants of the families' notices
 (words left out, words around them) and, as unknown, on near misses and on a bounded sample of the corpus' own
 paragraphs.  A held-out part sets the temperature and the least probability at which a family is believed.  A believed
-family is confirmed if enough of the word pairs of one of its notices are in the paragraph.
+family is confirmed if enough of the word pairs of one of its notices are in the line or window.
 
 The model is the notices' features times the families and does not grow with the corpus.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.wordhash import constants, mix, text_bytes, word_hashes
+from corpusloom.llm.wordhash import BLOCK, constants, mix, text_bytes, word_hashes
 
 FEATURE_BITS = 15
 SAMPLE_PARAGRAPHS = 2000  # bound of the corpus sample for the unknown class
 VARIANTS = 24
 CONFIRM = 0.6  # share of a notice's word pairs that must be there
 UNKNOWN = "unknown"
+GNU = {"affero": "agpl", "lesser": "lgpl", "library": "lgpl"}  # the word behind "gnu" tells families with like notices apart
 
 # Usual notices of licence families, as their texts give them.
 NOTICES = {
@@ -138,6 +145,8 @@ def pair_set(text: str) -> set[tuple[str, str]]:
 
 _TEMPLATES = {family: [pair_set(n) for n in notices] for family, notices in NOTICES.items()}
 
+_PAIRS = {family: set().union(*templates) for family, templates in _TEMPLATES.items()}
+
 
 def resemblance(text: str, family: str) -> float:
     """The largest share of a notice's word pairs that the text has."""
@@ -145,6 +154,145 @@ def resemblance(text: str, family: str) -> float:
     return max(len(own & t) / len(t) for t in _TEMPLATES[family])
 
 
+def confirmed(text: str, family: str, like: float) -> bool:
+    if like < CONFIRM:
+        return False
+    named = {GNU[b] for a, b in pair_set(text) if a == "gnu" and b in GNU}
+    return family in named if family in GNU.values() else family != "gpl" or not named
+
+
+# Words told apart by letters and digits alone; other characters above ASCII are left in.
+_WORD_BYTES = np.zeros(256, bool)
+_WORD_BYTES[48:58] = _WORD_BYTES[65:91] = _WORD_BYTES[97:123] = _WORD_BYTES[128:] = True
+_BLANKS = np.zeros(256, bool)
+_BLANKS[[9, 10, 11, 12, 13, 32]] = True
+_LEADING = " \t\r*#/;|!>%-"
+_MARKS = re.compile(r"\n[\s*#/;|!>%-]*")
+
+
+def _pair_hashes(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts: the first text, word counts, hashes of the words' letters and digits, and the words' bytes."""
+    keep = _WORD_BYTES[data] | _BLANKS[data]
+    left = np.flatnonzero(keep)
+    for at, counts, hashes, starts, stops in word_hashes(data[left], np.concatenate([[0], np.cumsum(keep)])[ends]):
+        yield at, counts, hashes, left[starts], left[stops - 1] + 1
+
+
+def _joined(hashes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(hashes[:-1] * constants(1, 7)[0] + hashes[1:])
+
+
+class _Notices:
+    """Word pairs of all notices: sorted hashes, and for each the numbers of its notices."""
+
+    def __init__(self):
+        texts = [(family, n) for family in sorted(NOTICES) for n in NOTICES[family]]
+        self.family = [family for family, _ in texts]
+        self.pairs, self.words = [], []
+        for _, counts, hashes, _, _ in _pair_hashes(*text_bytes(pa.array([n for _, n in texts], pa.string()))):
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                self.pairs.append(np.unique(_joined(hashes[low:high])))
+                self.words.append(high - low)
+        self.need = np.array([CONFIRM * len(p) for p in self.pairs])
+        flat = np.concatenate(self.pairs)
+        notice = np.repeat(np.arange(len(self.pairs)), [len(p) for p in self.pairs])
+        order = np.lexsort((notice, flat))
+        self.notice = notice[order]
+        self.keys, self.heads, self.sizes = np.unique(flat[order], return_index=True, return_counts=True)
+
+    def windows(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text number, first byte, end byte) of the windows, the longer one of each two first."""
+        for at, counts, hashes, starts, stops in _pair_hashes(data, ends):
+            if len(hashes) < 2:
+                continue
+            pair = _joined(hashes)
+            place = np.searchsorted(self.keys, pair)
+            place[place == len(self.keys)] = 0
+            hit = np.flatnonzero(self.keys[place] == pair)
+            owner = np.repeat(np.arange(at, at + len(counts)), counts)
+            hit = hit[owner[hit] == owner[hit + 1]]
+            if not len(hit):
+                continue
+            place = place[hit]
+            # a paragraph ends where two line breaks stand between words with nothing but blanks and marks
+            gap = np.flatnonzero(starts[1:] > stops[:-1] + 1)
+            low, high = int(starts[0]), int(stops[-1])
+            breaks = np.flatnonzero(data[low:high] == 10) + low
+            apart = np.zeros(len(hashes), np.int64)
+            apart[gap + 1] = np.searchsorted(breaks, starts[gap + 1]) - np.searchsorted(breaks, stops[gap]) > 1
+            paragraph = np.cumsum(apart)
+            whole = paragraph[hit] == paragraph[hit + 1]
+            hit, place = hit[whole], place[whole]
+            sizes = self.sizes[place]
+            row = np.repeat(np.arange(len(hit)), sizes)
+            notice = self.notice[np.repeat(self.heads[place] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(row))]
+            block = paragraph[hit] * (len(ends) + 1) + owner[hit]
+            group, number = np.unique(block, return_inverse=True)
+            own = number[row] * len(self.pairs) + notice
+            distinct = np.unique(own * len(self.keys) + place[row]) // len(self.keys)
+            keys, found = np.unique(distinct, return_counts=True)
+            keys = keys[found >= self.need[keys % len(self.pairs)]]
+            chosen = np.flatnonzero(np.isin(own, keys))
+            chosen = chosen[np.argsort(own[chosen], kind="stable")]
+            for part in np.split(chosen, np.flatnonzero(np.diff(own[chosen])) + 1):
+                if len(part):
+                    n = int(notice[part[0]])
+                    for low, high in self._spans(hit[row[part]].tolist(), place[row[part]].tolist(), n):
+                        yield int(owner[low]), int(starts[low]), int(stops[high + 1])
+
+    def _spans(self, at: list[int], pair: list[int], notice: int) -> Iterator[tuple[int, int]]:
+        """First and last pair of the least windows with enough different pairs, each after a wider one."""
+        need, limit = self.need[notice], 2 * self.words[notice] + 8
+        held: Counter = Counter()
+        low = high = 0
+        while high < len(at):
+            held[pair[high]] += 1
+            high += 1
+            while at[high - 1] - at[low] > limit or held[pair[low]] > 1:
+                held[pair[low]] -= 1
+                held += Counter()
+                low += 1
+            if len(held) >= need:
+                wide = high
+                while wide < len(at) and at[wide] - at[low] <= limit:
+                    wide += 1
+                first = low
+                while len(held) - (held[pair[first]] == 1) >= need:
+                    held[pair[first]] -= 1
+                    held += Counter()
+                    first += 1
+                yield at[low], at[wide - 1]
+                yield at[low], at[high - 1]
+                yield at[first], at[high - 1]
+                held.clear()
+                low = high
+
+
+_FOUND_BY = _Notices()
+
+
+def _windows(data: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, str]]:
+    """(text number, first byte, end byte, text) of the windows, from white space to white space, comment marks left out."""
+    out, seen = [], set()
+    at = 0
+    while at < len(ends) - 1:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, "right")) - 1)
+        base = int(ends[at])
+        for n, low, high in _FOUND_BY.windows(data[base : ends[stop]], ends[at : stop + 1] - base):
+            n, low, high = n + at, low + base, high + base
+            while low > ends[n] and not _BLANKS[data[low - 1]]:
+                low -= 1
+            while high < ends[n + 1] and not _BLANKS[data[high]]:
+                high += 1
+            if (low, high) not in seen:
+                seen.add((low, high))
+                out.append((n, low, high, _MARKS.sub(" ", data[low:high].tobytes().decode())))
+        at = stop
+    return out
+
+
 def sample_paragraphs(docs: DataFrame, count: int = SAMPLE_PARAGRAPHS) -> list[np.ndarray]:
     """Features of the ``count`` different paragraphs whose hashes are the least; equal for equal corpora.
 
@@ -257,15 +405,24 @@ class Classifier:
         return best, shares[np.arange(len(best)), best]
 
 
+    def judge_texts(self, texts: list[str]) -> Iterator[tuple[int, int, float]]:
+        """Of each believed text its number, family and probability."""
+        for at, counts, hashes, _, _ in word_hashes(*text_bytes(pa.array(texts, pa.string()))):
+            best, share = self.judge(hashes, counts)
+            for k in np.flatnonzero(share >= self.least).tolist():
+                yield at + k, int(best[k]), float(share[k])
+
+
 _HITS = "array<struct<line: int, family: string, probability: double, resemblance: double, confirmed: boolean>>"
 
 
 def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_paragraphs, licences, hits.
 
-    ``hits``: every paragraph whose family is believed, with the line's number from 0, the probability, and the largest
-    share of a notice's word pairs in it; ``licences``: the confirmed families, sorted.  A null text has one empty
-    paragraph and no hits.  Every row is judged by its text alone.
+    ``hits``: every line whose family is believed, with the line's number from 0, the probability, and the largest share
+    of a notice's word pairs in it; and every window that confirms a family, unless a confirmed hit of that family
+    overlaps it, with the number of its first line.  ``licences``: the confirmed families, sorted.  ``n_paragraphs``
+    counts lines.  A null text has one empty line and no hits.  Every row is judged by its text alone.
     """
     model = docs.sparkSession.sparkContext.broadcast(classifier)
 
@@ -279,6 +436,8 @@ def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
         for batch in batches:
             data, bounds, owner, place = _paragraphs(batch.column("text"))
             hits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            held: dict[tuple[int, str], list[tuple[int, int]]] = {}
+            sure_lines: list[tuple[int, int, int, dict]] = []
             for at, counts, hashes, _, _ in word_hashes(data, bounds):
                 best, share = judge.judge(hashes, counts)
                 for k in np.flatnonzero(share >= judge.least).tolist():
@@ -286,9 +445,39 @@ def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
                     text = data[bounds[n] : bounds[n + 1]].tobytes().decode()
                     family = judge.classes[int(best[k])]
                     like = resemblance(text, family)
-                    hits[int(owner[n])].append(
-                        {"line": int(place[n]), "family": family, "probability": float(share[k]), "resemblance": like, "confirmed": like >= CONFIRM}
-                    )
+                    hit = {"line": int(place[n]), "family": family, "probability": float(share[k]), "resemblance": like}
+                    hits[int(owner[n])].append(hit | {"confirmed": confirmed(text, family, like)})
+                    if hits[int(owner[n])][-1]["confirmed"]:
+                        low = int(bounds[n]) + len(text) - len(text.lstrip(_LEADING))  # what goes is ASCII
+                        sure_lines.append((int(owner[n]), low, low + len(text.strip(_LEADING + "\n").encode()), hits[int(owner[n])][-1]))
+                        held.setdefault((int(owner[n]), family), []).append((int(bounds[n]), int(bounds[n + 1])))
+            ends = text_bytes(batch.column("text"))[1]
+            windows = _windows(data, ends)
+            sure_windows: dict[int, list[tuple[int, int, str, float, float]]] = {}
+            for k, best, share in judge.judge_texts([w[3] for w in windows]) if windows else ():
+                n, low, high, text = windows[k]
+                family = judge.classes[best]
+                like = resemblance(text, family)
+                if confirmed(text, family, like):
+                    sure_windows.setdefault(n, []).append((low, high, family, share, like))
+
+            def part(n: int, low: int, high: int, family: str, like: float) -> bool:
+                """Nothing but a part of another family's better match, such as the start of a longer name."""
+                over = {f for a, b, f, _, s in sure_windows.get(n, ()) if a <= low and high <= b and f != family and s > like}
+                own = pair_set(_MARKS.sub(" ", data[low:high].tobytes().decode())) & _PAIRS[family] if over else set()
+                return any(own <= _PAIRS[f] for f in over)
+
+            for n, low, high, hit in sure_lines:
+                hit["confirmed"] = not part(n, low, high, hit["family"], hit["resemblance"])
+            for n, found in sure_windows.items():
+                for low, high, family, share, like in found:
+                    spans = held.setdefault((n, family), [])
+                    if not part(n, low, high, family, like) and not any(a < high and low < b for a, b in spans):
+                        spans.append((low, high))
+                        line = int(place[np.searchsorted(bounds, low, "right") - 1])
+                        hits[n].append({"line": line, "family": family, "probability": share, "resemblance": like, "confirmed": True})
+            for own in hits:
+                own.sort(key=lambda h: (h["line"], not h["confirmed"], h["family"]))
             lines = np.bincount(owner, minlength=batch.num_rows)
             found = [sorted({h["family"] for h in own if h["confirmed"]}) for own in hits]
             yield pa.RecordBatch.from_arrays(

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import statistics
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -73,6 +74,37 @@ def test_license_lines(spark):
     assert got[None].n_paragraphs == 1 and got[None].hits == [] and got[99].licences == []
 
 
+def test_wrapped_and_dual_notices(spark):
+    wrap = lambda text, width, mark: "\n".join(mark + line for line in textwrap.wrap(text, width))
+    bsd = licenses.NOTICES["bsd"][0]
+    option = " either version 3 of the License, or (at your option) any later version."
+    agpl = licenses.NOTICES["agpl"][0][:-1] + "," + option
+    lgpl = licenses.NOTICES["lgpl"][0][:-1] + " as published by the Free Software Foundation;" + option
+    tail = "You should have received a copy of the GNU {} General Public License along with this program."
+    plain = "the river runs along the old town and the people walk by it every day in all of the seasons " * 40
+    cases = [
+        (wrap(bsd, 70, " * "), ["bsd"]),
+        (wrap(bsd, 72, ""), ["bsd"]),
+        (wrap(agpl, 72, "# ") + "\n#\n" + wrap(tail.format("Affero"), 60, "# "), ["agpl"]),
+        (wrap(lgpl, 74, "// ") + "\n//\n" + wrap(tail.format("Lesser"), 60, "// "), ["lgpl"]),
+        (wrap(licenses.NOTICES["gpl"][1], 72, " * "), ["gpl"]),
+        (wrap(licenses.NOTICES["cc-by-sa"][0], 50, ""), ["cc-by-sa"]),
+        (wrap(licenses.NOTICES["mit"][1], 70, ""), ["mit"]),
+        ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", ["apache", "mit"]),
+        ("Licensed under the MIT License or the Apache License, Version 2.0.", ["apache", "mit"]),
+        (plain + bsd + " " + plain, ["bsd"]),
+        (plain + "Released under the MIT License. " + plain, ["mit"]),
+        (plain, []),
+        (bsd[:60] + "\n\n" + bsd[60:], []),
+    ]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = licenses.Classifier(licenses.sample_paragraphs(docs, 300))
+    rows = [(i, f"first line\n\n{text}\n\nlast line") for i, (text, _) in enumerate(cases)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[i].licences for i in range(len(cases))] == [families for _, families in cases]
+    assert [h.line for h in got[0].hits if h.confirmed] == [2]
+
+
 def jaccard(a, b):
     a, b = Counter(re.findall(r"[^\x20\x09-\x0D]+", a)), Counter(re.findall(r"[^\x20\x09-\x0D]+", b))
     whole = sum((a | b).values())
