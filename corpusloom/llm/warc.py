@@ -2,8 +2,9 @@
 
 Records are rows; headers and blocks are strings built from columns.  A derived record refers to its response by record
 id, carries the response's target, date, status line, headers and digests, and has an id that follows from the
-response's id and its own type, so a repeated run writes the same records.  Files hold uncompressed WARC/1.1 records and
-are written and read by Spark's text source, whose line separator is the end of a record, so reading splits files.
+response's id and its own type, so a repeated run writes the same records.  Files hold uncompressed records, written as
+WARC/1.1 and read as WARC/1.0 or 1.1 by Spark's text source, whose line separator is the end of a record, so reading
+splits files.
 """
 
 from __future__ import annotations
@@ -86,11 +87,16 @@ def _fields(name: str, values: Column) -> Column:
     return F.array_join(F.transform(values, lambda v: F.concat(F.lit(f"{name}: "), _one_line(v), F.lit(CRLF))), "")
 
 
+def _headers(name: str, pairs: Column) -> Column:
+    return _fields(name, F.transform(F.coalesce(pairs, F.array()), lambda p: F.concat_ws(": ", p["name"], p["value"])))
+
+
 def derive(responses: DataFrame) -> DataFrame:
     """Two rows per response: record_type, record_id, refers_to, target_uri, date, content_type, source fields, block.
 
     The metadata block lists title, description, keywords, the status line and every header of the response, its
-    digests, the id of the conversion, and the links of the page in order.  The conversion block is the page as plain
+    digests, the id of the conversion, and the links of the page in order.  If the responses have ``warc_headers`` and
+    ``whole``, it also lists every header of the source record, and that the source is cut.  The conversion block is the page as plain
     text.  ``concurrent_to`` links the two.  All columns of ``responses`` but those named here are kept as they are if
     their names do not clash with a result's.
     """
@@ -119,6 +125,8 @@ def derive(responses: DataFrame) -> DataFrame:
         _fields("source-header", F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))),
         _field("source-payload-digest", F.col("payload_digest")),
         _field("source-block-digest", F.col("source_block_digest")),
+        *([_headers("source-warc-header", F.col("warc_headers"))] if "warc_headers" in kept else []),
+        *([_field("source-truncated", F.when(~F.col("whole"), "unspecified"))] if "whole" in kept else []),
         _field("conversion", conversion),
         _fields("outlink", F.col("_links")),
     )
@@ -196,31 +204,55 @@ def write_warc(rows: DataFrame, path: str) -> None:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(headers, block, whole) of every record of the uncompressed files below ``path``.
+    """(headers, fields, block, whole) of every record of the uncompressed files below ``path``.
 
-    ``headers`` maps lower-cased names to values.  A block that itself holds the end of a record and a version line is
-    cut there; ``whole`` is false if a block has not the stated length, so such records are seen, not lost.
+    ``fields`` has the headers as (name, value) in order, repeated ones included; ``headers`` maps lower-cased names to
+    their first values.  A block that itself holds the end of a record and the start of a version line is cut there;
+    ``whole`` is false if a block has not the stated length, so such records are seen, not lost.
     """
-    mark = f"{SEPARATOR}{VERSION}{CRLF}"
-    rows = spark.read.option("lineSep", mark).text(path)
-    body = F.regexp_replace("value", rf"^{VERSION}\r\n|\r\n\r\n\z", "")
-    cut = F.instr(body, SEPARATOR)
-    head = F.substr(body, F.lit(1), cut - 1)
-    pairs = F.transform(F.split(head, CRLF), lambda line: F.split(line, ": *", 2))
-    entries = F.transform(pairs, lambda p: F.struct(F.lower(F.get(p, F.lit(0))).alias("key"), F.get(p, F.lit(1)).alias("value")))
-    block = F.substr(body, cut + 4)
-    out = rows.filter(F.col("value") != "").select(F.map_from_entries(entries).alias("headers"), block.alias("block"))
-    return out.withColumn("whole", F.octet_length("block") == F.col("headers")["content-length"].try_cast("long"))
+    rows = spark.read.option("lineSep", f"{SEPARATOR}WARC/1.").text(path).filter(F.col("value") != "")
+    body = F.regexp_replace("value", r"\A(?:WARC/1\.)?[01]\r\n", "")
+    cut = F.instr("_body", SEPARATOR)
+    # folded header lines go on in the next line
+    head = F.regexp_replace(F.substr("_body", F.lit(1), F.when(cut > 0, cut - 1).otherwise(F.length("_body"))), r"\r\n[ \t]+", " ")
+    pairs = F.transform(F.split(head, CRLF), lambda line: F.split(line, ":[ \t]*", 2))
+    fields = F.transform(pairs, lambda p: F.struct(F.get(p, F.lit(0)).alias("name"), F.get(p, F.lit(1)).alias("value")))
+    names = F.transform("fields", lambda f: F.lower(f["name"]))
+    entries = F.transform("fields", lambda f: F.struct(F.lower(f["name"]).alias("key"), f["value"].alias("value")))
+    first = F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1)
+    tail = F.when(cut > 0, F.substr("_body", cut + 4)).otherwise(F.lit(""))
+    out = rows.select(body.alias("_body")).select(fields.alias("fields"), tail.alias("_tail"))
+    out = out.select(F.map_from_entries(first).alias("headers"), "fields", "_tail")
+    length = F.col("headers")["content-length"].try_cast("long")
+    # the last record of a file still has its end
+    ended = F.col("_tail").endswith(SEPARATOR) & ~F.coalesce(F.octet_length("_tail") == length, F.lit(False))
+    block = F.when(ended, F.substr("_tail", F.lit(1), F.length("_tail") - 4)).otherwise(F.col("_tail"))
+    out = out.select("headers", "fields", block.alias("block"))
+    return out.withColumn("whole", F.coalesce(F.octet_length("block") == length, F.lit(False)))
 
 
 def responses_of_records(records: DataFrame) -> DataFrame:
-    """Response rows (record_id, target_uri, date, http, payload, digests) of records that ``read_warc`` gave."""
+    """Response rows (record_id, target_uri, date, http, payload, digests, warc_headers, whole) of records that
+    ``read_warc`` gave.
+
+    Declared digests are kept as they stand; an absent one is computed if the block is whole and else null.
+    ``warc_headers`` has all headers of the record in order.  A response that is not HTTP is all payload.
+    """
     cut = F.instr("block", SEPARATOR)
-    rows = records.filter(F.col("headers")["warc-type"] == "response").select(
+    kind = F.lower(F.coalesce(F.col("headers")["content-type"], F.lit("application/http")))
+    plain = ~kind.startswith("application/http")
+    http = F.when(plain, "").when(cut > 0, F.substr("block", F.lit(1), cut + 1)).otherwise(F.col("block"))
+    payload = F.when(plain, F.col("block")).when(cut > 0, F.substr("block", cut + 4)).otherwise(F.lit(""))
+    rows = records.filter(F.lower(F.col("headers")["warc-type"]) == "response").select(
         F.col("headers")["warc-record-id"].alias("record_id"),
         F.col("headers")["warc-target-uri"].alias("target_uri"),
         F.col("headers")["warc-date"].alias("date"),
-        F.substr("block", F.lit(1), cut + 1).alias("http"),
-        F.substr("block", cut + 4).alias("payload"),
+        http.alias("http"),
+        payload.alias("payload"),
+        F.col("fields").alias("warc_headers"),
+        "whole",
+        F.col("headers")["warc-payload-digest"].alias("payload_digest"),
+        F.coalesce(F.col("headers")["warc-block-digest"], F.when(F.col("whole"), digest(F.col("block")))).alias("block_digest"),
     )
-    return with_digests(rows)
+    own = F.when(F.col("whole"), digest(F.col("payload")))
+    return rows.withColumn("payload_digest", F.coalesce("payload_digest", own))

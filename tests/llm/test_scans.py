@@ -274,3 +274,33 @@ def test_derived_records_and_files(spark, tmp_path):
     back = warc.responses_of_records(warc.read_warc(spark, str(tmp_path / "responses")))
     assert sorted((r.record_id, r.payload, r.block_digest) for r in back.collect()) == sorted((r.record_id, r.payload, r.block_digest) for r in responses.collect())
     assert warc.derive(responses.limit(0)).count() == 0
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    def record(version, block, *heads, length=None):
+        lines = [f"WARC/{version}", *heads, f"Content-Length: {len(block.encode()) if length is None else length}"]
+        return "\r\n".join(lines) + "\r\n\r\n" + block + "\r\n\r\n"
+
+    page = "HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<title>T{}</title><p>é text</p>"
+    heads = lambda i, *more: ("WARC-Type: response", f"WARC-Record-ID: <urn:uuid:{i}>", f"WARC-Target-URI: http://a.example/{i}", "WARC-Date: 2020-02-02T00:00:00Z", *more)
+    declared = ("WARC-Payload-Digest: sha256:abc", "WARC-Block-Digest: md5:def", "WARC-IP-Address: 192.0.2.7")
+    twice = ("WARC-Concurrent-To: <urn:uuid:x>", "WARC-Concurrent-To: <urn:uuid:y>")
+    text = record("1.0", "software: z\r\n", "WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:0>")
+    text += record("1.0", page.format(1), *heads(1, *declared)) + record("1.0", page.format(2), *heads(2, *twice))
+    text += record("1.1", "", "WARC-Type: metadata", "WARC-Record-ID: <urn:uuid:m>") + record("1.1", page.format(3) + "\r\n\r\n", *heads(3))
+    text += record("1.0", page.format(4) + "\r\n\r\nWARC/1.0\r\nnot a record", *heads(4)) + record("1.0", page.format(5), *heads(5))
+    (tmp_path / "in.warc").write_bytes(text.encode())
+    records = warc.read_warc(spark, str(tmp_path / "in.warc"))
+    seen = {r.headers["warc-record-id"]: r for r in records.collect() if "warc-record-id" in r.headers}
+    assert set(seen) == {f"<urn:uuid:{i}>" for i in "012m345"}
+    assert [i for i, r in seen.items() if not r.whole] == ["<urn:uuid:4>"] and seen["<urn:uuid:m>"].block == ""
+    assert [f.value for f in seen["<urn:uuid:2>"].fields if f.name == "WARC-Concurrent-To"] == ["<urn:uuid:x>", "<urn:uuid:y>"]
+    responses = warc.responses_of_records(records)
+    by = {r.record_id[-2]: r for r in responses.collect()}
+    assert sorted(by) == list("12345")
+    assert (by["1"].payload_digest, by["1"].block_digest, by["4"].block_digest) == ("sha256:abc", "md5:def", None)
+    assert by["3"].payload.endswith("\r\n\r\n") and by["2"].payload_digest.startswith("sha1:")
+    made = {r.refers_to[-2]: r for r in warc.derive(responses).collect() if r.record_type == "metadata"}
+    assert "source-payload-digest: sha256:abc\r\n" in made["1"].block and "source-warc-header: WARC-IP-Address: 192.0.2.7\r\n" in made["1"].block
+    assert "source-truncated: unspecified\r\n" in made["4"].block and "source-truncated" not in made["5"].block
+    assert made["2"].block.count("source-warc-header: WARC-Concurrent-To: ") == 2
