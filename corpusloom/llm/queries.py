@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import cws, hamming, langid, licenses, lines, minhash, mixing, packing, pii, warc
+from corpusloom.llm import cws, dialogues, hamming, langid, licenses, lines, minhash, mixing, packing, pii, spelling, warc
 from corpusloom.llm.work import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,124 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op10_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     """Metadata and conversion records of all pages, written in full."""
     return warc.derive(warc.responses_of_pages(spark.read.parquet(f"{folder}/pages.parquet")))
+
+
+def _crc32_sql(numbers: str) -> str:
+    """The crc32 of a list of byte values; the table of 256 values is one row called ``crc``."""
+    return f"""xor(list_reduce(list_concat([4294967295::bigint], {numbers}),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+_CRC_TABLE = """crc as (select list_transform(range(256), lambda n:
+    list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when (c & 1) = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t)"""
+_BYTES = """flatten(list_transform(string_split({0}, ''), lambda ch:
+      case when unicode(ch) < 128 then [unicode(ch)::bigint] else [195::bigint, unicode(ch)::bigint - 64] end))"""
+
+_SPELLING_SQL = f"""
+with recursive {_CRC_TABLE},
+runs as (
+  select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+counted as (select doc_id, run, count(*) as c from runs where length(run) >= 7 group by all),
+hashed as (select c, run, {_crc32_sql(_BYTES.format("doc_id || ':' || run"))} as h from counted, crc),
+cut as (
+  select c, case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from hashed),
+words as (select word, sum(c)::bigint as n from cut where length(word) >= 7 group by word having sum(c) >= 2),
+shorter as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as cut from (select *, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select a.word, a.n, b.word as other, b.n as other_n from shorter a join shorter b on a.cut = b.cut and a.i = b.i and a.word <> b.word
+  union select s.word, s.n, w.word, w.n from shorter s join words w on s.cut = w.word
+  union select w.word, w.n, s.word, s.n from shorter s join words w on s.cut = w.word),
+best as (
+  select word, n, count(*) as n_near, min_by(other, (-other_n, other)) as form, max(other_n) as form_n from near group by word, n),
+forms as (select word, form, form_n from best where form_n >= 10 * n),
+roots(word, root, depth) as (
+  select word, form, 1 from forms union all select r.word, f.form, depth + 1 from roots r join forms f on f.word = r.root),
+ends as (select word, max_by(root, depth) as root from roots group by word)
+select w.word, f.form, coalesce(e.root, w.word) as root, w.n, coalesce(b.n_near, 0)::bigint as n_near, f.form_n
+from words w left join best b using (word) left join forms f using (word) left join ends e using (word)
+"""
+
+
+@query(_SPELLING_SQL)
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, folder))
+
+
+def _moves_sql() -> str:
+    """(state, inserted turns, initial, fault, letters, state after, cost, edit, roles of the insertions) as rows of values."""
+    wanted = {0: 2, 1: 2, 2: 3, 3: 2}
+    names = {2: "user", 3: "assistant"}
+    rows = []
+    for state in range(4):
+        now, before = state, []
+        for inserted in range(3):
+            for initial in "suao":
+                for fault in ("fine", "lost", "cut"):
+                    more = 5 if fault == "cut" else 0
+                    after = wanted[now]
+                    edits = [("D", now, 2)]
+                    if fault != "lost":
+                        edits.append(("R", after, 1 + more))
+                        if initial == names[after][0]:
+                            edits.append(("K", after, more))
+                        if initial == "s" and now == 0:
+                            edits.append(("K", 1, more))
+                    for edit, to, cost in edits:
+                        role = f"'{names[to]}'" if edit == "R" else "null"
+                        turns = "[" + ", ".join(f"'{t}:'" for t in before) + "]"
+                        rows.append(f"({state}, '{initial}', '{fault}', '{'I' * inserted + edit}', {to}, {5 * inserted + cost}, {role}, {turns}::varchar[])")
+            now = wanted[now]
+            before.append(names[now])
+    return ", ".join(rows)
+
+
+_DIALOGUE_SQL = f"""
+with recursive {_CRC_TABLE},
+moves(state, initial, fault, letters, after, cost, role, turns) as (values {_moves_sql()}),
+keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {_crc32_sql(_BYTES.format("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')"))} % 20 as kind from conversations, crc),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when kind = 3 then 2 else 1 end)) as copy from keyed where kind <> 0),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as pos,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again,
+    trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as core from damaged),
+judged as (
+  select *, core = '' as blank, core <> '' and again as duplicate, core <> '' and not again and right(core, 1) not in ('.', '!', '?') as truncated,
+    substr(role, 1, 1) as head, lag(substr(role, 1, 1)) over (partition by conv_id order by pos) as head_before from placed),
+lined as (
+  select *, case when head in ('s', 'u', 'a') then head else 'o' end as initial,
+    case when blank or duplicate then 'lost' when truncated then 'cut' else 'fine' end as fault from judged),
+paths(conv_id, pos, state, cost, audit, repaired) as (
+  select distinct conv_id, 0::bigint, 0, 0, '', []::varchar[] from lined
+  union all
+  select conv_id, pos, after, cost, audit, repaired from (
+    select l.conv_id, l.pos, m.after, p.cost + m.cost as cost, p.audit || m.letters as audit,
+      list_concat(p.repaired, m.turns, case when m.letters like '%D' then [] else [coalesce(m.role, l.role) || ':' || l.text] end) as repaired
+    from paths p join lined l on l.conv_id = p.conv_id and l.pos = p.pos + 1
+      join moves m on m.state = p.state and m.initial = l.initial and m.fault = l.fault)
+  qualify row_number() over (partition by conv_id, after order by cost, audit) = 1),
+ends as (
+  select conv_id, cost + case state when 1 then 10 when 2 then 5 else 0 end as cost,
+    audit || case state when 1 then 'II' when 2 then 'I' else '' end as audit,
+    list_concat(repaired, case state when 1 then ['user:', 'assistant:'] when 2 then ['assistant:'] else [] end) as repaired
+  from paths p where pos = (select max(pos) from lined l where l.conv_id = p.conv_id)),
+cheapest as (select * from ends qualify row_number() over (partition by conv_id order by cost, audit) = 1),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+    count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated,
+    count(*) filter (head_before is not null and head_before || head not in ('su', 'ua', 'au')) as illegal from judged group by conv_id)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost,
+  coalesce(audit, '') as audit, sha256(coalesce(array_to_string(repaired, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join counts using (conv_id) left join cheapest using (conv_id)
+"""
+
+
+@query(_DIALOGUE_SQL)
+def op13_dialogue_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogues.repair(spark.read.parquet(f"{folder}/conversations.parquet"), damaged=True)
