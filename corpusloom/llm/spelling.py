@@ -4,9 +4,12 @@ Two words are near if one inserted, deleted or replaced code point turns one int
 ordered by how many words have them, rarest first.  One edit breaks at most two grams, so a word's *prefix* is its three
 rarest grams (with all places of the third one's gram).  Of the prefix, dynamic programming over the places chooses two
 *pivots*: disjoint grams of least total frequency.  One edit breaks at most one of two disjoint grams.  So of two near
-words, the one whose prefix ends no later in the order has a pivot that the other has in its prefix, at a place that is
-the same or moved by the difference of the lengths.  Pivots meet the prefixes of other words in one equality join on
-(gram, place, length), and what meets is verified by its edit distance.
+words, the one whose prefix ends no later in the order has a pivot that the other has in its prefix.
+
+The edit lies behind the first pivot, then that pivot's place and all before it are the same, or before the second one,
+then its place from the end and all behind it are the same.  What lies on the edit's side of the pivot is halved, and one
+of the halves is the same too.  Pivots meet the prefixes of other words in one equality join on (place, unchanged part,
+length), and what meets is verified by its edit distance.
 
 Words are letters of one alphabet (a-z and U+00C0 to U+00FF), so there are at most 90 * 90 grams, whatever the number of
 words: their counts are the only thing that goes through the driver.
@@ -29,7 +32,6 @@ LEAST_COUNT = 2
 RATIO = 10
 LETTERS = 26 + 64
 PREFIX = 3
-PLACES = 1 << 24  # a place or length above this keeps its value modulo it; verification decides
 
 
 def words(docs: DataFrame, slip: int = 31, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
@@ -85,9 +87,26 @@ def _pivots(prefix: Column) -> Column:
     return F.aggregate(by_place, start, step, lambda s: F.array(s["pair"]["a"], s["pair"]["b"]))
 
 
-def _key(gram: Column, place: Column, length: Column) -> Column:
-    """One number for (gram, place, length)."""
-    return (gram.cast("long") * PLACES + F.pmod(place, F.lit(PLACES))) * PLACES + F.pmod(length, F.lit(PLACES))
+def _behind(word: Column, place: Column, length: Column) -> list[Column]:
+    """Keys for an edit behind the gram at a place (from 0) of a word of ``length``: in the front or the back half."""
+    start = place + 2
+    back = F.floor((length - start) / 2).cast("int")
+    head = F.substring(word, F.lit(1), start)
+    fits = length - start >= 2
+    return [
+        F.when(fits, F.xxhash64(F.lit(0), length, start, head, F.right(word, back))),
+        F.when(fits, F.xxhash64(F.lit(1), length, start, F.substring(word, F.lit(1), length - back))),
+    ]
+
+
+def _before(word: Column, rest: Column, length: Column) -> list[Column]:
+    """Keys for an edit before the gram with which the last ``rest`` code points begin: in the back or the front half."""
+    front = F.floor((length - rest) / 2).cast("int")
+    fits = length - rest >= 2
+    return [
+        F.when(fits, F.xxhash64(F.lit(2), length, rest, F.right(word, rest), F.substring(word, F.lit(1), front))),
+        F.when(fits, F.xxhash64(F.lit(3), length, rest, F.right(word, length - front))),
+    ]
 
 
 def near_words(vocabulary: DataFrame) -> DataFrame:
@@ -108,18 +127,18 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     last = F.get("_o", F.lit(PREFIX - 1))
     within = F.filter("_o", lambda x: (x["f"] < last["f"]) | ((x["f"] == last["f"]) & (x["g"] <= last["g"])))
     prefixes = store(ordered.select("word", "n", F.char_length("word").alias("length"), within.alias("prefix")), "gram-prefixes")
-    length = F.col("length")
-    index = prefixes.select("word", "n", F.explode(F.transform("prefix", lambda x: _key(x["g"], x["p"], length))).alias("key"))
-
-    def targets(x: Column) -> Column:
-        """Where a near word can have this gram: its length and place changed alike, or the length alone."""
-        return F.array(*[_key(x["g"], x["p"] + move, length + more) for more, move in ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))])
-
-    probes = prefixes.select(
-        F.col("word").alias("other"),
-        F.col("n").alias("other_n"),
-        F.explode(F.flatten(F.transform(_pivots(F.col("prefix")), targets))).alias("key"),
-    )
+    word, length = F.col("word"), F.col("length")
+
+    def listed(x: Column) -> Column:
+        """The keys of a gram for a word of this length, one less or one more."""
+        keys = [k for change in (-1, 0, 1) for k in (*_behind(word, x["p"], length + change), *_before(word, length - x["p"], length + change))]
+        return F.array_compact(F.array(*keys))
+
+    pivots = prefixes.select(word.alias("other"), F.col("n").alias("other_n"), "length", _pivots(F.col("prefix")).alias("_p"))
+    first, second = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
+    asked = F.array(*_behind(F.col("other"), first["p"], length), *_before(F.col("other"), length - second["p"], length))
+    probes = pivots.select("other", "other_n", F.explode(asked).alias("key"))
+    index = prefixes.select("word", "n", F.explode(F.flatten(F.transform("prefix", listed))).alias("key"))
     met = probes.join(index, "key").filter((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
     pairs = met.select("word", "n", "other", "other_n")
     turned = met.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))
