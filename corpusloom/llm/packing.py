@@ -141,7 +141,7 @@ class WordTokenizer:
 _ENCODERS: dict[str, WordTokenizer] = {}
 
 
-def _encoder(path: str) -> WordTokenizer:
+def encoder(path: str) -> WordTokenizer:
     """One tokenizer per worker process, so that tasks share what it has learned."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordTokenizer(path)
@@ -156,10 +156,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        words = encoder(tokenizer)
         for batch in batches:
             rows, number, start, length, ids = [], [], [], [], []
-            for row, found in enumerate(encoder.encode(batch.column("text"))):
+            for row, found in enumerate(words.encode(batch.column("text"))):
                 whole = np.append(found, np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(whole), capacity)):
                     part = whole[at : at + capacity]

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import cws, dialogues, hamming, langid, licenses, lines, minhash, mixing, packing, pii, spelling, warc
+from corpusloom.llm import cws, dialogues, hamming, langid, licenses, lines, minhash, mixing, packing, pii, spelling, tokenfiles, warc
 from corpusloom.llm.work import documents
+from corpusloom.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,6 +134,17 @@ def op10_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     return warc.derive(warc.responses_of_pages(spark.read.parquet(f"{folder}/pages.parquet")))
 
 
+@query()
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts as token ids in files, read back from them."""
+    import public_tokenizers
+
+    path = work_path(spark, "token-files")
+    tokenfiles.write_tokens(documents(spark, folder), path, public_tokenizers.path("word_bpe_49k.json"), width=2)
+    rows = tokenfiles.read_tokens(spark, path)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def _crc32_sql(numbers: str) -> str:
     """The crc32 of a list of byte values; the table of 256 values is one row called ``crc``."""
     return f"""xor(list_reduce(list_concat([4294967295::bigint], {numbers}),
