@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from corpusloom.llm.packing import END_ID, encoder
+from corpusloom.llm.work import small_batches
 
 MAGIC, VERSION = b"TKID", 1
 _HEAD = struct.Struct("<4sBBxx32s")
@@ -332,7 +333,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    token_rows(ranged, tokenizer, end_id).write.format(FORMAT).mode("append").option("width", width).save(path)
+    with small_batches(spark):
+        token_rows(ranged, tokenizer, end_id).write.format(FORMAT).mode("append").option("width", width).save(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: Sequence[int] | None = None) -> DataFrame:

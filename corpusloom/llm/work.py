@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,19 +16,23 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
 
 
-def store(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """Write ``df`` below the shared checkpoint folder and read it back, so that no later stage depends on an executor.
-
-    While it is written, Arrow batches hold ``batch_rows`` rows, as rows with texts are wide.
-    """
-    spark = df.sparkSession
-    path = work_path(spark, name)
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Jobs that start inside have Arrow batches of ``rows`` rows, as rows with texts are wide."""
     before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, str(batch_rows))
+    spark.conf.set(BATCH_SETTING, str(rows))
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(BATCH_SETTING, before)
+
+
+def store(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back, so that no later stage depends on an executor."""
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    with small_batches(spark, batch_rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
