@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators.joins import salted_join
-from corpusloom.operators.ranking import top_per_key
 from corpusloom.session import checkpoint_root
 
 
@@ -250,22 +249,6 @@ def query_terms(queries: DataFrame, qid: str = "qid", query: str = "query") -> D
     return queries.select(qid, F.explode(F.array_distinct(tx.terms(F.col(query)))).alias("term"))
 
 
-def msearch(index: Index, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Top ``k`` documents of every query, in one pass: ``(qid, rank, _id, score)``.
-
-    Queries take frequencies and statistics first, so the postings go through
-    one join.  A frequent term is spread over salts there: the query side is
-    repeated per salt, the postings are not.  A document belongs to one salt, so
-    its sum forms there in part before the shuffle.
-    """
-    asked = query_terms(queries).join(index.freq, "term").join(F.broadcast(index.stats), "field")
-    weight = term_weight(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("avg_length"), k1, b)
-    hits = salted_join(index.postings, asked, ["field", "term"], ["_id"]).select("qid", "_id", weight.alias("weight"))
-    scores = hits.groupBy("qid", "_id").agg(F.sum("weight").alias("score"))
-    top = top_per_key(scores, ["qid"], [_exact("score").desc(), F.col("_id")], k, rank="rank")
-    return top.withColumn("score", F.round("score", 6))
-
-
 def match(docs: DataFrame, field: str, query: str, operator: str = "or") -> DataFrame:
     """Documents with any (or all) of the query's terms in the field."""
     return docs.filter(matches(F.col(field), query, operator))

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import live_index, search
+from corpusloom.operators import live_index, multisearch, search
 from corpusloom.plans.registry import query, quoted, sql_list, table
 from corpusloom.sources import tables
 from corpusloom.session import work_path
@@ -98,7 +98,31 @@ def search_lazy_index(spark, sf):
 )
 def msearch_topk(spark, sf):
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return search.msearch(document_index(spark, sf), queries, 5).select("qid", "rank", "_id", "score")
+    return multisearch.msearch(document_index(spark, sf), queries, 5)
+
+
+@query(
+    "msearch_mixed",
+    f"""WITH {sql_index({'text': 'text', 'source': 'source'}, 'documents', 'doc_id')},
+    b AS (SELECT item_id AS qid, left(text, 60) || ' src1' AS query, CASE WHEN item_id % 5 > 0 THEN item_id % 5 ELSE 4 END AS size, item_id % 3 AS skip, item_id % 2 = 0 AS only_text FROM benchmark),
+    q AS (SELECT DISTINCT qid, size, skip, only_text, term FROM (SELECT *, unnest({sql_terms('query')}) AS term FROM b)),
+    s AS (SELECT qid, size, skip, _id, round(sum({sql_bm25()}), 6) AS score
+      FROM q JOIN postings USING (term) JOIN freq USING (field, term) JOIN stats USING (field)
+      WHERE field = 'text' OR NOT only_text GROUP BY qid, size, skip, _id)
+    SELECT qid, CAST(rank AS INTEGER) AS rank, _id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, _id) AS rank FROM s) WHERE rank > skip AND rank <= skip + size""",
+)
+def msearch_mixed(spark, sf):
+    """Queries that differ in size, offset and fields."""
+    n = F.col("item_id")
+    queries = table(spark, sf, "benchmark").select(
+        n.alias("qid"),
+        F.concat(F.left("text", F.lit(60)), F.lit(" src1")).alias("query"),
+        F.when(n % 5 > 0, n % 5).alias("size"),
+        (n % 3).alias("offset"),
+        F.when(n % 2 == 0, F.array(F.lit("text"))).alias("fields"),
+    )
+    return multisearch.msearch(document_index(spark, sf, "text", "source"), queries, 4)
 
 
 @query(
