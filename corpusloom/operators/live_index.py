@@ -1,9 +1,14 @@
 """A stored text index that takes upserts and deletes by id, and phrase search over positions.
 
-Every change is a numbered part.  It adds the positional postings of its documents, the ids that it replaces or deletes,
-and what changes in document frequencies and field statistics.  A reader takes all parts up to the last complete one:
-a posting is live if no later part names its document.  A change costs as much as it changes: it reads the old postings
-of its own ids only, and writes nothing anew.
+Every change is a part: the positional postings of its documents, their lengths, the ids that it replaces or deletes, and
+what changes in document frequencies and field statistics.  A version is a manifest of parts in order; a posting is live
+if no later part of the version names its document.  A change reads the old postings of its own ids only.
+
+Parts are merged by size: when a part is not at least ``TIER`` times as large as all after it together, it is merged with
+those.  So sizes fall by a factor from part to part, there are at most as many parts as the logarithm of the index's size
+in base ``TIER``, and a document is rewritten as often at most.  A merge leaves out postings that a later part of the
+merged ones replaces, and the ids of deletions once nothing is left that they could hide.  Readers stay on the manifest
+they have read; the parts that no kept version names go with ``vacuum``.
 """
 
 from __future__ import annotations
@@ -12,44 +17,76 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
 from corpusloom.operators.search import Index, analyze
 
 _POSTING = "_id, field, term, tf, length, places"
+TIER = 2
+_MANIFEST = "part string, place int, size bigint"
 
 
-def _read(spark: SparkSession, path: str, name: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}").filter(F.col("part") <= version)
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def last_version(spark: SparkSession, path: str) -> int:
-    """The number of the last complete part, 0 if there is none."""
-    try:
-        done = spark.read.parquet(f"{path}/done")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    """The number of the last complete version, 0 if there is none."""
+    if not _exists(spark, f"{path}/manifest"):
         return 0
-    return done.agg(F.max("part")).first()[0]
+    return spark.read.parquet(f"{path}/manifest").agg(F.max("version")).first()[0] or 0
+
+
+def parts(spark: SparkSession, path: str, version: int | None = None) -> list[tuple[str, int]]:
+    """(name, size) of a version's parts in order; as many as the logarithm of the index's size."""
+    version = version or last_version(spark, path)
+    if not version:
+        return []
+    rows = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest/version={version}").orderBy("place").collect()
+    return [(r["part"], r["size"]) for r in rows]
+
+
+def _read(spark: SparkSession, path: str, names: Sequence[str], kind: str) -> DataFrame:
+    """One kind of table of several parts, with the place of the part in their order."""
+    rows = None
+    for place, name in enumerate(names):
+        table = spark.read.parquet(f"{path}/{name}/{kind}").withColumn("_place", F.lit(place))
+        rows = table if rows is None else rows.unionByName(table)
+    return rows
+
+
+def _live(spark: SparkSession, path: str, names: Sequence[str], kind: str) -> DataFrame:
+    """Rows of postings or lengths that no later part replaces."""
+    rows = _read(spark, path, names, kind)
+    if len(names) == 1:
+        return rows.drop("_place")
+    last = _read(spark, path, names, "gone").groupBy("_id").agg(F.max("_place").alias("_last"))
+    joined = rows.join(last, "_id", "left")
+    return joined.filter(F.col("_last").isNull() | (F.col("_place") >= F.col("_last"))).drop("_last", "_place")
 
 
 def live_postings(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """(_id, field, term, tf, length, places<pos, start, end>) of the documents as they are at a version."""
-    version = version or last_version(spark, path)
-    gone = _read(spark, path, "gone", version).groupBy("_id").agg(F.max("part").alias("_last"))
-    rows = _read(spark, path, "postings", version).join(gone, "_id", "left")
-    return rows.filter(F.col("_last").isNull() | (F.col("part") >= F.col("_last"))).drop("_last", "part")
+    return _live(spark, path, [name for name, _ in parts(spark, path, version)], "postings")
+
+
+def _freq(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    rows = _read(spark, path, names, "freq")
+    return rows.groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df <> 0")
+
+
+def _stats(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    rows = _read(spark, path, names, "stats")
+    return rows.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("total").alias("total"))
 
 
 def read_index(spark: SparkSession, path: str, version: int | None = None) -> Index:
     """The index at a version, for every search that takes one."""
-    version = version or last_version(spark, path)
-    freq = _read(spark, path, "freq", version).groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df > 0")
-    stats = _read(spark, path, "stats", version).groupBy("field").agg(
-        F.sum("n_docs").alias("n_docs"), (F.sum("total") / F.sum("n_docs")).alias("avg_length")
-    )
-    return Index(live_postings(spark, path, version), stats, freq)
+    names = [name for name, _ in parts(spark, path, version)]
+    stats = _stats(spark, path, names).select("field", "n_docs", (F.col("total") / F.col("n_docs")).alias("avg_length"))
+    return Index(_live(spark, path, names, "postings"), stats, _freq(spark, path, names))
 
 
 def _changes(postings: DataFrame, lengths: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
@@ -60,6 +97,11 @@ def _changes(postings: DataFrame, lengths: DataFrame, sign: int) -> tuple[DataFr
     return freq, stats
 
 
+def _write_postings(rows: DataFrame, place: str) -> None:
+    ordered = rows.selectExpr(*_POSTING.split(", ")).repartitionByRange("term", "_id").sortWithinPartitions("term", "field", "_id")
+    ordered.write.mode("overwrite").parquet(place)
+
+
 def change(
     spark: SparkSession,
     path: str,
@@ -68,23 +110,26 @@ def change(
     deletes: DataFrame | None = None,
     id_col: str = "_id",
     stop_words=tx.STOP_WORDS,
+    merge: bool = True,
 ) -> int:
     """Upsert ``docs`` and delete the ids of ``deletes`` in one step; returns the new version.
 
-    Ids are unique in ``docs``.  Readers see the new version only when all of its part is written; one writer at a time.
+    Ids are unique in ``docs``.  Readers see the new version only when all of its parts are written; one writer at a
+    time.  A change that was broken off is written anew under its own name.
     """
-    before = last_version(spark, path)
-    part = before + 1
+    version = last_version(spark, path) + 1
+    before = parts(spark, path)
+    part = f"part-{version}"
 
     def write(df: DataFrame, name: str) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/{name}/part={part}")
+        df.write.mode("overwrite").parquet(f"{path}/{part}/{name}")
 
     gone = spark.createDataFrame([], "_id string") if docs is None else docs.select(F.col(id_col).alias("_id"))
     if deletes is not None:
         removed = deletes.select(F.col(id_col).alias("_id"))
         gone = removed if docs is None else gone.unionByName(removed)
     write(gone.distinct(), "gone")
-    gone = spark.read.parquet(f"{path}/gone/part={part}")
+    gone = spark.read.parquet(f"{path}/{part}/gone")
     kind = gone.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, field string, term string, tf bigint, length bigint, places array<struct<pos:int,start:int,end:int>>"
     if docs is None:
@@ -98,22 +143,60 @@ def change(
         sums = counted.groupBy("_id", "field").agg(F.sum("tf").alias("length"))
         lengths = docs.select(F.col(id_col).alias("_id"), each).join(sums, ["_id", "field"], "left")
         write(lengths.select("_id", "field", F.coalesce("length", F.lit(0)).cast("long").alias("length")), "lengths")
-        made = counted.join(spark.read.parquet(f"{path}/lengths/part={part}"), ["_id", "field"])
-        ordered = made.selectExpr(*_POSTING.split(", ")).repartitionByRange("term", "_id").sortWithinPartitions("term", "field", "_id")
-        write(ordered, "postings")
-    new = [spark.read.parquet(f"{path}/{n}/part={part}") for n in ("postings", "lengths")]
-    freq, stats = _changes(*new, 1)
+        _write_postings(counted.join(spark.read.parquet(f"{path}/{part}/lengths"), ["_id", "field"]), f"{path}/{part}/postings")
+    freq, stats = _changes(*[spark.read.parquet(f"{path}/{part}/{n}") for n in ("postings", "lengths")], 1)
     if before:
-        old = live_postings(spark, path, before).join(gone, "_id", "left_semi")
-        last = _read(spark, path, "gone", before).groupBy("_id").agg(F.max("part").alias("_last"))
-        kept = _read(spark, path, "lengths", before).join(gone, "_id", "left_semi").join(last, "_id", "left")
-        old_lengths = kept.filter(F.col("_last").isNull() | (F.col("part") >= F.col("_last")))
-        less_freq, less_stats = _changes(old, old_lengths, -1)
+        old = [_live(spark, path, [name for name, _ in before], kind).join(gone, "_id", "left_semi") for kind in ("postings", "lengths")]
+        less_freq, less_stats = _changes(*old, -1)
         freq, stats = freq.unionByName(less_freq), stats.unionByName(less_stats)
     write(freq.groupBy("field", "term").agg(F.sum("df").alias("df")), "freq")
     write(stats.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("total").alias("total")), "stats")
-    write(spark.range(1).select(F.current_timestamp().alias("at")), "done")
-    return part
+    size = gone.count() + spark.read.parquet(f"{path}/{part}/lengths").count()
+    after = [*before, (part, size)]
+    if merge:
+        after = _merged(spark, path, after, f"{part}-merged")
+    _publish(spark, path, version, after)
+    return version
+
+
+def _publish(spark: SparkSession, path: str, version: int, names: Sequence[tuple[str, int]]) -> None:
+    rows = spark.createDataFrame([(name, place, size) for place, (name, size) in enumerate(names)], _MANIFEST)
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
+
+
+def _merged(spark: SparkSession, path: str, names: list[tuple[str, int]], new: str) -> list[tuple[str, int]]:
+    """The parts after merging those that are too small for what comes after them."""
+    first, total = len(names) - 1, names[-1][1]
+    while first > 0 and names[first - 1][1] < TIER * total:
+        first -= 1
+        total += names[first][1]
+    if first == len(names) - 1:
+        return names
+    run = [name for name, _ in names[first:]]
+    lengths = _live(spark, path, run, "lengths")
+    lengths.write.mode("overwrite").parquet(f"{path}/{new}/lengths")
+    _write_postings(_live(spark, path, run, "postings"), f"{path}/{new}/postings")
+    gone = _read(spark, path, run, "gone").select("_id").distinct()
+    (gone if first else gone.limit(0)).write.mode("overwrite").parquet(f"{path}/{new}/gone")
+    _freq(spark, path, run).write.mode("overwrite").parquet(f"{path}/{new}/freq")
+    _stats(spark, path, run).write.mode("overwrite").parquet(f"{path}/{new}/stats")
+    size = sum(spark.read.parquet(f"{path}/{new}/{kind}").count() for kind in ("lengths", "gone"))
+    return [*names[:first], (new, size)]
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Remove the parts that none of the last ``keep`` versions names, and older manifests; returns the removed parts."""
+    last = last_version(spark, path)
+    rows = spark.read.schema(T.StructType([T.StructField("part", T.StringType()), T.StructField("version", T.IntegerType())])).parquet(f"{path}/manifest")
+    kept = F.max(F.col("version") > last - keep)
+    old = [r["part"] for r in rows.groupBy("part").agg(kept.alias("kept")).filter("not kept").collect()]
+    # a new part that was merged at once is in no manifest
+    old += [f"part-{v}" for v in range(1, last + 1) if _exists(spark, f"{path}/part-{v}-merged") and f"part-{v}" not in old]
+    numbers = [r["version"] for r in rows.select("version").distinct().collect() if r["version"] <= last - keep]
+    for name in [*[f"manifest/version={v}" for v in numbers], *old]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return sorted(old)
 
 
 def phrase_match(postings: DataFrame, phrase: str, field: str) -> DataFrame:
@@ -131,3 +214,64 @@ def phrase_match(postings: DataFrame, phrase: str, field: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("p.start").alias("start"), F.max("p.end").alias("end")
     )
     return meet.filter(F.col("n") == len(words)).select("_id", "start", "end")
+
+
+def snippets(postings: DataFrame, docs: DataFrame, query: str, field: str, width: int = 80, id_col: str = "_id", marks=("<em>", "</em>")) -> DataFrame:
+    """The best piece of each matching text with the query's terms marked: ``(_id, snippet, start, terms)``.
+
+    The piece holds the smallest stretch of the text that has as many different terms of the query as fit into ``width``
+    characters; of equal ones the first.  Stretches come from the stored places of the terms alone: over the places in
+    order, a stretch ends at each and begins at the first that is near enough, and shrinks while its first term comes again.
+    Texts are read for the matching documents only, and cut at the stored offsets; the piece begins at the stretch and
+    has ``width`` characters.
+    """
+    wanted = sorted(set(tx.terms_of(query)))
+    rows = postings.filter((F.col("field") == field) & F.col("term").isin(wanted))
+    flat = F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.col("term").alias("term")))))
+    placed = rows.groupBy("_id").agg(F.array_sort(flat).alias("_p"))
+    best = placed.mapInPandas(_covers(width), f"_id {postings.schema['_id'].dataType.simpleString()}, start bigint, terms int, spans array<struct<start:int,end:int>>")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(field).alias("_text"))
+    found = best.join(texts, "_id")
+
+    def piece(low, high):
+        return F.substring(F.col("_text"), (low + 1).cast("int"), (high - low).cast("int"))
+
+    last = F.when(F.size("spans") > 0, F.element_at("spans", -1)["end"])
+    begins = F.concat(F.array(F.col("start").cast("int")), F.transform("spans", lambda s: s["end"]))
+    marked = F.zip_with(
+        begins, "spans", lambda low, s: F.when(s.isNotNull(), F.concat(piece(low, s["start"]), F.lit(marks[0]), piece(s["start"], s["end"]), F.lit(marks[1]))).otherwise("")
+    )
+    text = F.concat(F.array_join(marked, ""), piece(last, F.col("start") + width))
+    return found.select(F.col("_id").alias(id_col), text.alias("snippet"), "start", "terms")
+
+
+def _covers(width: int):
+    """Per document the stretch with the most different terms, the shortest and first of those, and the places in its piece."""
+
+    def best(places) -> tuple[int, int, list[dict]]:
+        count: dict[str, int] = {}
+        low, top = 0, None
+        for high, place in enumerate(places):
+            count[place["term"]] = count.get(place["term"], 0) + 1
+            while low < high and (place["end"] - places[low]["start"] > width or count[places[low]["term"]] > 1):
+                first = places[low]["term"]
+                count[first] -= 1
+                if not count[first]:
+                    del count[first]
+                low += 1
+            found = (-len(count), place["end"] - places[low]["start"], places[low]["start"])
+            if top is None or found < top:
+                top = found
+        start = top[2]
+        inside = [{"start": p["start"], "end": p["end"]} for p in places if p["start"] >= start and p["end"] <= start + width]
+        # a single term longer than the piece is marked all the same
+        return start, -top[0], inside or [{"start": p["start"], "end": p["end"]} for p in places if p["start"] == start]
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            found = [best(list(p)) for p in frame["_p"]]
+            yield pd.DataFrame({"_id": frame["_id"], "start": [f[0] for f in found], "terms": [f[1] for f in found], "spans": [f[2] for f in found]})
+
+    return run

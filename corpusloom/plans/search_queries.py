@@ -196,6 +196,41 @@ def index_delete_search(spark, sf):
     return search.search(live_index.read_index(spark, changed_index(spark, sf, False)), WORDS, size=30)
 
 
+_LAST_WRITE = """(SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'thion ' || text ELSE text END AS text FROM documents
+    WHERE doc_id % 9 <> 5)"""
+
+
+@query("index_merge_parts", _LIVE_SQL.replace(_CHANGED, _LAST_WRITE))
+def index_merge_parts(spark, sf):
+    """The search over an index that four changes have built and merged: parts of the documents, upserts, deletions."""
+    path, docs = work_path(spark, "merged-index"), documents(spark, sf).select("doc_id", "text")
+    put = lambda rows, gone=None: live_index.change(spark, path, rows, ["text"], gone, id_col="doc_id")
+    put(docs.filter("doc_id % 2 = 0"))
+    put(docs.filter("doc_id % 3 = 1").withColumn("text", F.concat(F.lit("thion "), "text")))
+    put(docs.filter("doc_id % 2 = 1 and doc_id % 3 <> 1"))
+    live_index.change(spark, path, deletes=docs.filter("doc_id % 9 = 5"), id_col="doc_id")
+    return search.search(live_index.read_index(spark, path), WORDS, size=30)
+
+
+@query(
+    "snippet_from_offsets",
+    f"""WITH RECURSIVE w AS (SELECT doc_id, text, ' ' || regexp_replace(lower(text), '[^{tx.WORD}]', ' ', 'g') || ' ' AS t FROM documents),
+    h AS (SELECT doc_id, t, term, strpos(t, ' ' || term || ' ') AS spot FROM w, (SELECT unnest({sql_list(TERMS).replace('(', '[').replace(')', ']')}) AS term)),
+    p AS (SELECT * FROM h WHERE spot > 0 UNION ALL
+      SELECT doc_id, t, term, spot + strpos(substring(t, spot + 1), ' ' || term || ' ') FROM p WHERE strpos(substring(t, spot + 1), ' ' || term || ' ') > 0),
+    o AS (SELECT doc_id, term, spot - 1 AS a, spot - 1 + length(term) AS b FROM p),
+    k AS (SELECT x.doc_id, x.a, e.b AS till, count(DISTINCT y.term) AS terms FROM o x JOIN o e ON e.doc_id = x.doc_id AND e.a >= x.a AND e.b - x.a <= 60
+      JOIN o y ON y.doc_id = x.doc_id AND y.a >= x.a AND y.b <= e.b GROUP BY ALL),
+    r AS (SELECT doc_id, a, terms FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY terms DESC, till - a, a) = 1)
+    SELECT doc_id, substring(text, a + 1, 60) AS plain, a::BIGINT AS start, terms::INTEGER AS terms FROM r JOIN documents USING (doc_id)""",
+)
+def snippet_from_offsets(spark, sf):
+    path, docs = work_path(spark, "snippet-index"), documents(spark, sf).select("doc_id", "text")
+    live_index.change(spark, path, docs, ["text"], id_col="doc_id")
+    found = live_index.snippets(live_index.live_postings(spark, path), docs, WORDS, "text", 60, "doc_id")
+    return found.select("doc_id", F.regexp_replace("snippet", "</?em>", "").alias("plain"), "start", "terms")
+
+
 @query(
     "phrase_match",
     f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), {PATTERN}) AS t FROM documents),

@@ -10,7 +10,7 @@ from corpusloom.plans import key_queries as kq
 from corpusloom.plans import page_queries as pq
 from corpusloom.plans.registry import query, table
 from corpusloom.session import work_path
-from corpusloom.streaming import ingest, keyed
+from corpusloom.streaming import ingest, keyed, moves
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -91,19 +91,36 @@ def stream_counters(spark, sf):
     return last.select("user_id", "event_type", "value")
 
 
+_COMMANDS = """SELECT user_id AS key, event_id AS seq, ts::timestamp AS ts,
+      CASE event_id % 10 WHEN 0 THEN 'expire' WHEN 1 THEN 'expire' WHEN 2 THEN 'set' WHEN 3 THEN 'persist' WHEN 4 THEN 'del' ELSE 'incr' END AS op,
+      CASE WHEN event_id % 10 < 2 THEN 3600 * (1 + event_id % 37) ELSE 1 + event_id % 5 END AS amount FROM events"""
+
+
 @query(
     "stream_expiring_counters",
-    """WITH e AS (SELECT user_id AS key, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS new FROM events),
-    l AS (SELECT key, ts, sum(new) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS life FROM e)
-    SELECT key, min(ts) AS started, max(ts) + INTERVAL 8 HOUR AS expire_at, count(*) AS value FROM l GROUP BY key, life""",
+    f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, seq) AS i FROM ({_COMMANDS})),
+    s(key, i, value, expire_at) AS (
+      SELECT DISTINCT key, 0::BIGINT, NULL::BIGINT, NULL::TIMESTAMP FROM c
+      UNION ALL
+      SELECT key, i,
+        CASE op WHEN 'incr' THEN coalesce(live, 0) + amount WHEN 'set' THEN amount WHEN 'del' THEN NULL ELSE live END,
+        CASE op WHEN 'incr' THEN until WHEN 'expire' THEN CASE WHEN live IS NOT NULL THEN ts + to_seconds(amount) END ELSE NULL END
+      FROM (SELECT c.*, CASE WHEN s.expire_at <= c.ts THEN NULL ELSE s.value END AS live, CASE WHEN s.expire_at <= c.ts THEN NULL ELSE s.expire_at END AS until
+        FROM s JOIN c ON c.key = s.key AND c.i = s.i + 1))
+    SELECT key::VARCHAR AS key, max_by(coalesce(value, -1), i) AS value, nullif(max_by(coalesce(expire_at, TIMESTAMP '1970-01-01'), i), TIMESTAMP '1970-01-01') AS expire_at FROM s GROUP BY key""",
 )
 def stream_expiring_counters(spark, sf):
-    """Events per user, counted anew after eight idle hours."""
+    """The last state of each user's counter, -1 where it is gone."""
     events = stream_of(spark, sf, "events")
-    deltas = events.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("delta"))
-    rows = run_updates(keyed.stream_expiring_counters(deltas, "8 hours"), "expiring", "complete")
-    last = rows.agg(F.max("batch")).scalar()
-    return rows.filter(F.col("batch") == last).drop("batch")
+    n = F.col("event_id")
+    last = n % 10
+    op = F.when(last < 2, "expire").when(last == 2, "set").when(last == 3, "persist").when(last == 4, "del").otherwise("incr")
+    amount = F.when(last < 2, 3600 * (1 + n % 37)).otherwise(1 + n % 5)
+    commands = events.select(F.col("user_id").alias("key"), op.alias("op"), amount.alias("amount"), F.col("ts").cast("timestamp").alias("ts"), n.alias("seq"))
+    with keyed.state_with_timers(spark):
+        rows = run_updates(keyed.stream_expiring_counters(commands), "expiring").filter("not expired")
+    newest = F.max_by(F.struct("value", "expire_at"), "batch")
+    return rows.groupBy("key").agg(newest.alias("s")).select("key", F.coalesce("s.value", F.lit(-1)).alias("value"), "s.expire_at")
 
 
 @query("stream_route", kq.ROUTED)
@@ -127,3 +144,44 @@ def stream_pop(spark, sf):
     queue = keyed.stream_pop(spark, [f"{path}/first", f"{path}/second"], schema, "parquet")
     keyed.pop_into(queue, f"{path}/taken", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/taken").select("priority", "seq", "value")
+
+
+_MOVED = """WITH i AS (SELECT source AS list, doc_id AS value, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents WHERE source IS NOT NULL),
+    q AS (SELECT 'src' || (c_custkey % 9) AS list, 'done' || (c_custkey % 9 % 4) AS dest, row_number() OVER (PARTITION BY c_custkey % 9 ORDER BY c_custkey) - 1 AS n FROM customer),
+    m AS (SELECT list, dest, n, value FROM i JOIN q USING (list, n))"""
+
+
+def _rotated(spark: SparkSession, sf: str) -> str:
+    """Documents queue up in the list of their source, customers ask for them; two batches, requests first."""
+    path = work_path(spark, "rotate")
+    nine = F.col("c_custkey") % 9
+    asked = table(spark, sf, "customer").select(
+        F.lit("move").alias("kind"), F.concat(F.lit("src"), nine).alias("list"), F.concat(F.lit("done"), nine % 4).alias("to"),
+        F.col("c_custkey").alias("seq"), F.lit(None).cast("string").alias("value"),
+    )
+    pushed = table(spark, sf, "documents").select(
+        F.lit("push").alias("kind"), F.col("source").alias("list"), F.lit(None).cast("string").alias("to"), F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("value")
+    )
+    for part in (asked, pushed):
+        part.write.mode("append").parquet(f"{path}/in")
+        commands = spark.readStream.schema(asked.schema).parquet(f"{path}/in")
+        moves.stream_moves(commands, f"{path}/out", f"{path}/state").awaitTermination()
+    return f"{path}/out"
+
+
+@query(
+    "stream_rotate",
+    f"""{_MOVED} SELECT dest AS list, count(*) OVER (PARTITION BY dest) - row_number() OVER (PARTITION BY dest ORDER BY list, n) AS position, value::VARCHAR AS value FROM m""",
+)
+def stream_rotate(spark, sf):
+    """The lists that tail-to-head moves have built."""
+    return moves.target_lists(spark, _rotated(spark, sf))
+
+
+@query(
+    "stream_rotate_waiting",
+    f"""{_MOVED} SELECT list, 'push' AS kind, n, value::VARCHAR AS value FROM i ANTI JOIN m USING (list, n) UNION ALL SELECT list, 'move', n, NULL FROM q ANTI JOIN m USING (list, n)""",
+)
+def stream_rotate_waiting(spark, sf):
+    """Items without a request and requests without an item."""
+    return moves.waiting(spark, _rotated(spark, sf))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from corpusloom.functions import strings
 from corpusloom.operators import merge, pubsub
@@ -23,15 +25,114 @@ def stream_counters(deltas: DataFrame, keys: Sequence[str], delta: str = "delta"
     return merge.counters(deltas, keys, delta)
 
 
-def stream_expiring_counters(deltas: DataFrame, ttl: str, ts: str = "ts", delta: str = "delta") -> DataFrame:
-    """Counters of ``(key, ts, delta)`` that lapse once a key was idle for ``ttl``; the next change starts from 0.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_COUNTER_STATE = "value bigint, expire_at timestamp, last timestamp"
+_COUNTER_ROW = "key string, value bigint, expire_at timestamp, expired boolean"
+
+
+@contextmanager
+def state_with_timers(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which state with timers needs."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
+class ExpiringCounters(StatefulProcessor):
+    """State per key: value, expiry and the time of the last command."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("counter", _COUNTER_STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        parts = list(rows)
+        commands = pd.concat(parts) if len(parts) > 1 else parts[0]
+        commands = commands.sort_values(["ts", "seq"], kind="stable")
+        value = expire_at = last = None
+        if self.state.exists():
+            value, expire_at, last = (None if pd.isna(v) else v for v in self.state.get())
+            value = int(value)
+        before = expire_at
+        for op, amount, ts in zip(commands["op"], commands["amount"], commands["ts"]):
+            # a command that is late for its key is applied at the key's time
+            last = ts if last is None or ts > last else last
+            if expire_at is not None and expire_at <= last:
+                value = expire_at = None
+            if op == "incr":
+                value = (value or 0) + int(amount)
+            elif op == "set":
+                value, expire_at = int(amount), None
+            elif op == "del":
+                value = expire_at = None
+            elif value is not None and op == "persist":
+                expire_at = None
+            elif value is not None and op == "expire":
+                expire_at = last + pd.Timedelta(seconds=int(amount))
+                if expire_at <= last:
+                    value = expire_at = None
+        if before is not None and before != expire_at:
+            self.handle.deleteTimer(_millis(before))
+        if expire_at is not None and before != expire_at:
+            self.handle.registerTimer(_millis(expire_at))
+        if value is None:
+            self.state.clear()
+        else:
+            self.state.update((value, _plain(expire_at), _plain(last)))
+        yield _counter_row(key, value, expire_at, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.state.exists():
+            self.state.clear()
+        yield _counter_row(key, None, None, True)
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(at) -> int:
+    return -(-int(pd.Timestamp(at).value) // 1_000_000)
+
+
+def _plain(at):
+    return None if at is None else pd.Timestamp(at).to_pydatetime()
+
+
+def _counter_row(key, value, expire_at, expired) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "key": [key[0]],
+            "value": pd.array([value], dtype="Int64"),
+            "expire_at": pd.Series([expire_at], dtype="datetime64[us]"),
+            "expired": [expired],
+        }
+    )
+
+
+def stream_expiring_counters(commands: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """Counters with time to live of a stream of ``(key, op, amount, ts, seq)``: ``(key, value, expire_at, expired)``.
 
-    A session window is a key's life.  State is dropped when the watermark
-    passes its end.  Write it in append mode (lives that ended) or complete mode.
+    ``incr`` adds and leaves the expiry alone, ``set`` stores and clears it, ``expire`` sets it to ``amount`` seconds
+    after the command, ``persist`` clears it, ``del`` removes the key; ``expire`` and ``persist`` of an absent key do
+    nothing.  A command at or after the expiry finds no key.  Commands of a key in one batch are taken by (ts, seq).
+
+    Write it in update mode: one row per key that a batch touches (null if the key is gone), and one row with
+    ``expired`` when the watermark, ``late`` behind the newest command, passes a key's expiry; its state is dropped then.
+    State is kept for keys that are there; start the query inside ``state_with_timers``.
     """
-    lives = deltas.withWatermark(ts, ttl).groupBy("key", F.session_window(ts, ttl).alias("_life"))
-    return lives.agg(F.sum(delta).alias("value")).select(
-        "key", F.col("_life.start").alias("started"), F.col("_life.end").alias("expire_at"), "value"
+    rows = commands.select(F.col("key").cast("string").alias("key"), "op", F.col("amount").cast("long").alias("amount"), "ts", F.col("seq").cast("long").alias("seq"))
+    return (
+        rows.withWatermark("ts", late)
+        .groupBy("key")
+        .transformWithStateInPandas(
+            statefulProcessor=ExpiringCounters(), outputStructType=_COUNTER_ROW, outputMode="Update", timeMode="EventTime"
+        )
     )
 
 
