@@ -6,6 +6,8 @@ the others, every code at a distance of at most ``m r + a`` has been met (m segm
 differs in more bits.  Radii grow segment by segment, and a query is done when its k-th verified distance is within
 that bound; equal distances are complete then, so ties go to the smaller id.
 
+A query that has k hits takes its k-th (distance, id) along, and the join lets only better codes through.
+
 A code is verified where it is met first, that is at its least segment distance and the first such segment, so it is
 never counted twice and no list of seen codes is kept.  Of equal codes only the k + 1 smallest ids are indexed, which
 is all that a top-k can need of them.
@@ -83,15 +85,18 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     kept = top_per_key(codes.distinct(), ["code"], [F.col("id")], k + 1)
     tables = F.array(*[F.struct(F.lit(j).alias("segment"), _segment(F.col("code"), j).alias("value")) for j in range(segments)])
     index = store(kept.select("id", "code", F.inline(tables)), "code-tables")
-    active = store(queries.distinct().select(F.col("id").alias("query_id"), F.col("code").alias("query")), "code-queries")
+    unknown = [F.lit(None).cast("int").alias("kth"), F.lit(None).cast("long").alias("kth_id")]
+    active = store(queries.distinct().select(F.col("id").alias("query_id"), F.col("code").alias("query"), *unknown), "code-queries")
+    distance = _distance(F.col("query"), F.col("code"), words)
+    better = F.col("kth").isNull() | (distance < F.col("kth")) | ((distance == F.col("kth")) & (F.col("id") < F.col("kth_id")))
     best = None
     results = []
     for radius, probed in _steps(segments):
         values = F.array(*[F.struct(F.lit(j).alias("segment"), _segment(F.col("query"), j).alias("_at")) for j in probed])
         probes = (
-            active.select("query_id", "query", F.inline(values))
-            .select("query_id", "query", "segment", "_at", F.explode(_masks(radius)).alias("_mask"))
-            .select("query_id", "query", "segment", F.col("_at").bitwiseXOR(F.col("_mask")).alias("value"))
+            active.select("query_id", "query", "kth", "kth_id", F.inline(values))
+            .select("query_id", "query", "kth", "kth_id", "segment", "_at", F.explode(_masks(radius)).alias("_mask"))
+            .select("query_id", "query", "kth", "kth_id", "segment", F.col("_at").bitwiseXOR(F.col("_mask")).alias("value"))
         )
         # met first here: no segment is nearer than this radius, and none before this one as near
         first_here = F.lit(True)
@@ -101,21 +106,23 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         met = (
             # merged, as the probes are far more than the size of the queries' file tells the optimizer
             probes.join(index.filter(F.col("segment").isin(probed)).hint("merge"), ["segment", "value"])
-            .filter(first_here & (F.col("id") != F.col("query_id")))
-            .select("query_id", "query", "id", _distance(F.col("query"), F.col("code"), words).alias("distance"))
+            .filter(first_here & (F.col("id") != F.col("query_id")) & better)
+            .select("query_id", "query", "id", distance.alias("distance"))
         )
         if best is not None:
             met = best.unionByName(met)
         best = store(top_per_key(met, ["query_id"], [F.col("distance"), F.col("id")], k), "code-best")
         bound = segments * radius + probed[-1]
-        done = (
+        full = (
             best.groupBy("query_id")
-            .agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("last"))
-            .filter((F.col("n") >= k) & (F.col("last") <= bound))
-            .select("query_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("distance", "id")).alias("last"))
+            .filter(F.col("n") >= k)
+            .select("query_id", F.col("last.distance").alias("kth"), F.col("last.id").alias("kth_id"))
         )
+        done = full.filter(F.col("kth") <= bound).select("query_id")
         results.append(best.join(done, "query_id", "left_semi"))
-        active = store(active.join(done, "query_id", "left_anti"), "code-queries")
+        open_ = active.select("query_id", "query").join(full, "query_id", "left")
+        active = store(open_.filter(F.col("kth").isNull() | (F.col("kth") > bound)), "code-queries")
         best = best.join(done, "query_id", "left_anti")
         if active.isEmpty():
             break
