@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections import defaultdict
 from collections.abc import Iterable
@@ -100,6 +101,64 @@ def terms_at(text: Column, starts: Column) -> Column:
     return cut(text, starts)
 
 
+_DICTIONARIES: dict[str, tuple] = {}  # one per worker
+
+
+def _dictionary_at(path: str) -> tuple:
+    """The automaton of a stored table (word, stop) and its stop words, loaded once per worker."""
+    if path not in _DICTIONARIES:
+        import ahocorasick
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path.removeprefix("file:")))
+        rows = pq.read_table(place, filesystem=system)
+        automaton, stop = ahocorasick.Automaton(ahocorasick.STORE_INTS), set()
+        for word, stops in zip(rows["word"].to_pylist(), rows["stop"].to_pylist()):
+            if stops:
+                stop.add(word)
+            else:
+                automaton.add_word(word, len(word))
+        automaton.make_automaton()
+        _DICTIONARIES.clear()
+        _DICTIONARIES[path] = (automaton, stop)
+    return _DICTIONARIES[path]
+
+
+def terms_by_dictionary(text: Column, path: str) -> Column:
+    """Terms of a lower-case text by the dictionary stored at ``path``: one pass of an automaton over the text.
+
+    At every place the longest dictionary word counts, else a run of word characters, else a single CJK character.
+    """
+    other = re.compile(f"[{WORD}]+|[{CJK}]")
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        automaton, stop = _dictionary_at(path)
+
+        def terms_of_one(body: str) -> list[str]:
+            size_at: dict[int, int] = {}
+            if len(automaton):
+                for end, size in automaton.iter(body):
+                    start = end - size + 1
+                    if size > size_at.get(start, 0):
+                        size_at[start] = size
+            out, at = [], 0
+            while at < len(body):
+                size = size_at.get(at)
+                if size is None:
+                    match = other.match(body, at)
+                    size = match.end() - at if match else 0
+                if size and body[at : at + size] not in stop:
+                    out.append(body[at : at + size])
+                at += size or 1
+            return out
+
+        return texts.fillna("").map(terms_of_one)
+
+    return cut(text)
+
+
 def term_counts(found: Column) -> Column:
     """``array<struct<term, tf>>`` of an array of terms, made inside the row.
 

@@ -14,14 +14,21 @@ from pyspark.sql import functions as F
 from corpusloom.functions import strings
 from corpusloom.operators import merge
 from corpusloom.operators.crawl import random_order
+from corpusloom.operators.joins import salted_join
 from corpusloom.operators.ranking import with_rank
 
 RUN = 1024  # chunks that are joined before the runs of a key meet
 
 
 def lookup(df: DataFrame, asked: DataFrame, on: Sequence[str] = ("key",)) -> DataFrame:
-    """Values of the asked keys, null if absent; extra columns of ``asked`` keep its order."""
-    return asked.join(df, list(on), "left")
+    """Values of the asked keys, null if absent; extra columns of ``asked`` keep its order.
+
+    A key that is asked for very often is spread over tasks by the other columns of ``asked``.
+    """
+    others = [f.name for f in asked.schema if f.name not in on and "map<" not in f.dataType.simpleString()]
+    if not others:
+        return asked.join(df, list(on), "left")
+    return salted_join(asked, df, list(on), others, "left")
 
 
 def exists(df: DataFrame, asked: DataFrame, on: Sequence[str] = ("key",)) -> DataFrame:

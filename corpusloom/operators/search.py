@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators.joins import salted_join
-from corpusloom.session import checkpoint_root
+from corpusloom.session import checkpoint_root, work_path
 
+AUTOMATON_CHARS = 8_000_000  # about 400 MB in a worker
 
 
 @dataclass(frozen=True)
@@ -61,14 +62,33 @@ def dictionary_terms(
     """``(id, terms)`` by a dictionary table ``(word)`` of any size; stop words may be a table ``(word)`` too.
 
     At every place of a text the longest dictionary word counts, else a run of
-    word characters, else a single CJK character.  Pieces of the text as long as
-    dictionary words meet the table in one equality join; only the places where
-    one starts come back to the text, whose rows are told apart by ``id_col``.
+    word characters, else a single CJK character.  Rows keep their null and
+    repeated ids.  Words and stop words together are stored, and up to
+    ``AUTOMATON_CHARS`` characters every worker loads them into one automaton;
+    texts are not shuffled.  A larger dictionary meets the pieces of the texts
+    in an equality join.
     """
+    lower = lambda df, stop: df.select(F.lower("word").alias("word"), F.lit(stop).alias("stop")).filter("word <> ''").distinct()
+    stored = lower(dictionary, False)
+    if stop_words is not None:
+        stored = stored.unionByName(lower(stop_words, True))
+    path = work_path(docs.sparkSession, "dictionary")
+    stored.write.parquet(path)
+    stored = docs.sparkSession.read.parquet(path)
+    if (stored.agg(F.sum(F.char_length("word"))).first()[0] or 0) <= AUTOMATON_CHARS:
+        return docs.select(id_col, tx.terms_by_dictionary(F.lower(F.coalesce(F.col(field), F.lit(""))), path).alias("terms"))
+    checkpoint_root(docs.sparkSession)
+    numbered = docs.select(F.col(id_col).alias("_given"), F.col(field), F.monotonically_increasing_id().alias("_row")).checkpoint()
+    found = _joined_terms(numbered, "_row", field, stored.filter("not stop"), stored.filter("stop"))
+    return numbered.select("_given", "_row").join(found, "_row").select(F.col("_given").alias(id_col), "terms")
+
+
+def _joined_terms(docs: DataFrame, id_col: str, field: str, dictionary: DataFrame, stop_words: DataFrame) -> DataFrame:
+    """(id, terms) by an equality join of text pieces as long as dictionary words with the words; ids are unique."""
     words = dictionary.select(F.lower("word").alias("word")).filter("word <> ''").distinct()
     # one row per length of a word
     lengths = sorted(r[0] for r in words.select(F.char_length("word")).distinct().collect())
-    text = docs.select(F.col(id_col), F.lower(F.coalesce(F.col(field), F.lit(""))).alias("_text")).filter(F.col(id_col).isNotNull())
+    text = docs.select(F.col(id_col), F.lower(F.coalesce(F.col(field), F.lit(""))).alias("_text"))
     places = F.sequence(F.lit(1), F.char_length("_text"))
     sizes = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
     pieces = (
@@ -82,8 +102,6 @@ def dictionary_terms(
     longest = pieces.join(words, "word").groupBy(id_col, "_at").agg(F.max("_n").alias("n"))
     starts = longest.groupBy(id_col).agg(F.collect_list(F.struct((F.col("_at") - 1).alias("at"), "n")).alias("_starts"))
     terms = text.join(starts, id_col, "left").select(id_col, tx.terms_at(F.col("_text"), F.col("_starts")).alias("terms"))
-    if stop_words is None:
-        return terms
     rows = terms.select(id_col, F.posexplode("terms").alias("_i", "word"))
     kept = rows.join(stop_words.select(F.lower("word").alias("word")).distinct(), "word", "left_anti")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_i", "word"))), lambda x: x["word"])

@@ -514,6 +514,36 @@ def geo_radius_by_member(spark, sf):
     return near.select("center", "member", F.round("dist", 2).alias("dist"))
 
 
+@query(
+    "geo_nearest_count",
+    f"""SELECT center, member, round(dist / 1000, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY center ORDER BY dist, member) AS r FROM
+      (SELECT center, member, {_metres('clon', 'clat', 'lon', 'lat')} AS dist FROM {_POINTS}, {_CENTERS}) WHERE dist <= 4000000) WHERE r <= 6""",
+)
+def geo_nearest_count(spark, sf):
+    near = geo.geo_nearest(points(spark, sf), centers(spark, sf), 6, 4_000_000.0, "km")
+    return near.select("center", "member", F.round("dist", 4).alias("dist"))
+
+
+_NEAR_ONE = f"(SELECT member, {_metres('10.0', '-20.0', 'lon', 'lat')} AS dist FROM {_POINTS} WHERE {_metres('10.0', '-20.0', 'lon', 'lat')} <= 6000000)"
+
+
+def _around(spark, sf):
+    center = spark.createDataFrame([("c", 10.0, -20.0)], "center string, lon double, lat double")
+    return geo.geo_radius(points(spark, sf), center, 6_000_000.0, unit="km")
+
+
+@query("geo_store", f"SELECT 'near' AS key, n.member, c.cell::DOUBLE AS score FROM {_NEAR_ONE} n JOIN {_CELLS} c USING (member)")
+def geo_store(spark, sf):
+    """Found points stored as a sorted set of cells."""
+    return geo.store_distances(_around(spark, sf), "near", distances=False)
+
+
+@query("geo_store_distances", f"SELECT 'near' AS key, member, round(dist / 1000, 4) AS score FROM {_NEAR_ONE}")
+def geo_store_distances(spark, sf):
+    """Found points stored as a sorted set of distances."""
+    return geo.store_distances(_around(spark, sf), "near").withColumn("score", F.round("score", 4))
+
+
 # Sorts --------------------------------------------------------------------------
 
 

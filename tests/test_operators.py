@@ -322,12 +322,54 @@ def test_radius_against_brute_force(spark, radius):
     assert set(found) ^ wanted <= edge
 
 
+def great_circle(lon1, lat1, lon2, lat2):
+    """Spherical law of cosines, another formula than the library's."""
+    a, b = math.radians(lat1), math.radians(lat2)
+    return gf.EARTH_RADIUS_M * math.acos(min(1.0, math.sin(a) * math.sin(b) + math.cos(a) * math.cos(b) * math.cos(math.radians(lon2 - lon1))))
+
+
 def test_radius_of_named_points(spark):
-    taxi = [("central park n/q/r", -73.9733487, 40.7648057), ("4545", -73.9564142, 40.7480973), ("lic market", -73.9454966, 40.747533), ("q4", -73.7858139, 40.6428986)]
-    points = geo.geo_pos(geo.geo_add(spark.createDataFrame(taxi, "member string, lon double, lat double"))).drop("cell")
-    center = spark.createDataFrame([("c", -73.9798091, 40.7598464)], "center string, lon double, lat double")
-    near = geo.geo_radius(points, center, 3000.0, order="asc", unit="km").collect()
-    assert [(r.member, round(r.dist, 4)) for r in near] == [("central park n/q/r", 0.7750), ("4545", 2.3651)]
+    """Places on a made-up island; expected distances are computed here."""
+    rng = random.Random(5)
+    places = {name: (30.0 + rng.random() / 10, -12.0 + rng.random() / 10) for name in ("harbour", "mill", "ford", "beacon", "quarry", "well")}
+    data = [(name, *at) for name, at in places.items()]
+    points = spark.createDataFrame(data, "member string, lon double, lat double")
+    center = spark.createDataFrame([("c", 30.05, -11.95)], "center string, lon double, lat double")
+    expected = sorted((great_circle(30.05, -11.95, *at), name) for name, at in places.items())
+    radius = (expected[3][0] + expected[4][0]) / 2
+    near = geo.geo_radius(points, center, radius, order="asc", unit="km").collect()
+    assert [r.member for r in near] == [name for _, name in expected[:4]]
+    assert [r.dist for r in near] == pytest.approx([m / 1000 for m, _ in expected[:4]], abs=1e-5)
+    nearest = geo.geo_nearest(points, center, 2, radius).collect()
+    assert sorted(r.member for r in nearest) == sorted(name for _, name in expected[:2])
+
+
+def test_nearest_points_in_growing_circles(spark):
+    """Most points lie in one town, some centers far off have fewer than k points in reach."""
+    rng = random.Random(9)
+    data = [(f"t{i}", 5 + rng.gauss(0, 0.02), 50 + rng.gauss(0, 0.02)) for i in range(3000)] + [(f"f{i}", rng.uniform(-180, 180), rng.uniform(-85, 85)) for i in range(200)]
+    centers = [("town", 5.0, 50.0), ("date line", 179.9, 3.0), ("pole", 0.0, 84.0)] + [(f"c{i}", rng.uniform(-180, 180), rng.uniform(-80, 80)) for i in range(12)]
+    got = geo.geo_nearest(
+        spark.createDataFrame(data, "member string, lon double, lat double"), spark.createDataFrame(centers, "center string, lon double, lat double"), 7, 2_000_000.0
+    ).collect()
+    for name, lon, lat in centers:
+        near = sorted((great_circle(lon, lat, x, y), m) for m, x, y in data)
+        expected = {m for d, m in near[:7] if d <= 2_000_000.0}
+        assert {r.member for r in got if r.center == name} == expected
+
+
+def test_hot_keys_are_salted(spark, monkeypatch):
+    from corpusloom.operators import joins
+
+    monkeypatch.setattr(joins, "LEAST_HOT", 50)
+    large = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"), "id")
+    large = large.unionByName(spark.createDataFrame([(None, -1)], "key string, id long"))
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), (None, 4)], "key string, v int")
+    found = joins.hot_keys(large, ["key"], 4)
+    assert len(found) == 1 and max(found.values()) >= 2
+    assert rows(joins.salted_join(large, small, ["key"], ["id"])) == rows(large.join(small, "key"))
+    left = joins.salted_join(large, small, ["key"], ["id"], "left")
+    assert left.count() == large.join(small, "key", "left").count() and left.filter("id = -1").first().v is None
 
 
 def test_sorts(spark):
@@ -467,6 +509,17 @@ def test_dictionary_of_many_words(spark):
     assert got == {1: [signs[0] + signs[1], signs[550], "ab", "c", signs[500] + signs[0] + signs[1]], 2: [], 3: []}
 
 
+@pytest.mark.parametrize("limit", [8_000_000, 0])
+def test_dictionary_rows_keep_their_ids(spark, monkeypatch, limit):
+    """Null and repeated ids; the automaton and the join give the same terms."""
+    monkeypatch.setattr(search, "AUTOMATON_CHARS", limit)
+    docs = spark.createDataFrame([(None, "abcd ef"), (1, "aab"), (1, "zz ab"), (2, None)], "id long, t string")
+    words = spark.createDataFrame([("ab",), ("abc",), ("a",), (None,), ("",)], "word string")
+    stop = spark.createDataFrame([("ef",), ("a",)], "word string")
+    got = sorted(((r.id, r.terms) for r in search.dictionary_terms(docs, "id", "t", words, stop).collect()), key=str)
+    assert got == [(1, ["ab"]), (1, ["zz", "ab"]), (2, []), (None, ["abc", "d"])]
+
+
 def test_sites_by_rules(spark):
     rules = spark.createDataFrame([("com",), ("com.bd",), ("*.ck",), ("!www.ck",), ("jp",), ("*.kobe.jp",), (None,)], "suffix string")
     hosts = {"www.shop.com.bd": "shop.com.bd", "a.b.com": "b.com", "x.y.z.ck": "y.z.ck", "a.www.ck": "www.ck", "p.q.r.kobe.jp": "q.r.kobe.jp", "a.b.zz": "b.zz", "com": "com", "10.0.0.1": "10.0.0.1"}
@@ -481,6 +534,60 @@ def test_sort_with_offset_alone(spark):
     assert got == ["4", "3", "2", "1", "0"]
 
 
+def test_index_parts_are_merged(spark, tmp_path):
+    """Upserts and deletions by turns; the merged index equals one made at once, parts stay few, old versions readable."""
+    path = str(tmp_path / "parts")
+    docs = spark.range(64).select(F.concat(F.lit("d"), "id").alias("_id"), F.concat(F.lit("word"), F.col("id") % 7, F.lit(" all")).alias("text"))
+    for at in range(4):
+        put = docs.filter(F.substring("_id", 2, 9).cast("int") % 4 == at)
+        live_index.change(spark, path, put, ["text"], put.filter("_id < 'd2'") if at % 3 == 2 else None)
+        size = 64
+        assert len(live_index.parts(spark, path)) <= 1 + math.log2(size)
+    live_index.change(spark, path, docs.filter("_id = 'd3'").withColumn("text", F.lit("other")), ["text"])
+    live_index.change(spark, path, deletes=docs.filter("_id in ('d4', 'd5')"))
+    final = docs.filter("_id not in ('d3', 'd4', 'd5')").unionByName(spark.createDataFrame([("d3", "other")], "_id string, text string"))
+    once = str(tmp_path / "once")
+    live_index.change(spark, once, final, ["text"])
+    view = lambda p, v=None: rows(live_index.live_postings(spark, p, v), "_id", "term", "tf", "length")
+    assert view(path) == view(once)
+    a, b = live_index.read_index(spark, path), live_index.read_index(spark, once)
+    assert rows(a.freq, "field", "term", "df") == rows(b.freq, "field", "term", "df") and rows(a.stats) == rows(b.stats)
+    assert len(view(path, 1)) == 16
+    assert live_index.vacuum(spark, path, keep=1) and view(path) == view(once)
+
+
+def test_snippets_from_offsets(spark, tmp_path):
+    path = str(tmp_path / "cover")
+    text = "heart " + "filler " * 12 + "attack of the heart, heart attack" + " end" * 30
+    docs = spark.createDataFrame([("a", text), ("b", "nothing"), ("c", "only the heart")], "_id string, text string")
+    live_index.change(spark, path, docs, ["text"])
+    got = {r._id: r for r in live_index.snippets(live_index.live_postings(spark, path), docs, "heart attack", "text", 30).collect()}
+    assert set(got) == {"a", "c"} and got["c"].snippet == "only the heart"[got["c"].start :].replace("heart", "<em>heart</em>")
+    assert got["a"].start == text.index("heart attack") and got["a"].terms == 2
+    assert got["a"].snippet == "<em>heart</em> <em>attack</em>" + (" end" * 30)[:18]
+
+
+def test_many_searches_with_bounds(spark, monkeypatch):
+    """Every query against a plain sum of weights: ties, offsets, fields, more documents than a block, queries without hits."""
+    from corpusloom.operators import multisearch
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(40)]
+    data = [(i, " ".join(rng.choices(vocabulary, range(40, 0, -1), k=rng.randint(1, 12))), rng.choice(vocabulary)) for i in range(500)] + [(500, "w1 w2", "w1"), (501, "w1 w2", "w1")]
+    docs = spark.createDataFrame(data, "_id long, text string, title string")
+    index = search.build_index(docs, ["text", "title"])
+    asked = [(q, " ".join(rng.sample(vocabulary, rng.randint(1, 6))), rng.choice([None, 3, 60]), rng.choice([None, 2]), rng.choice([None, ["text"], ["title"]])) for q in range(25)]
+    asked += [(97, "absent", None, None, None), (98, None, None, None, None), (99, "w1", 5, 0, [])]
+    queries = spark.createDataFrame(asked, "qid int, query string, size int, offset int, fields array<string>")
+    got = {}
+    for r in multisearch.msearch(index, queries, k=8).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r._id, r.score))
+    for qid, text, size, offset, fields in asked:
+        boosts = None if fields is None else fields
+        expected = [] if boosts == [] or not text else search.search(index, text, size or 8, offset or 0, fields=boosts).collect()
+        assert [(i, d, pytest.approx(s, abs=2e-6)) for i, d, s in sorted(got.get(qid, []))] == [(i + 1 + (offset or 0), r._id, r.score) for i, r in enumerate(expected)]
+
+
 def test_live_index_changes_and_phrases(spark, tmp_path):
     path = str(tmp_path / "live")
     docs = spark.createDataFrame([("a", "heart of the matter heart attack"), ("b", "attack heart"), ("c", None)], "_id string, text string")
