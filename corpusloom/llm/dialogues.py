@@ -230,17 +230,15 @@ def _entry_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _edit_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per row of a block: the letters of its edits (insertions before it first) and the state after them."""
     for batch in batches:
-        columns = [batch.column(c) for c in ("conv", "block")]
+        convs = batch.column("conv")
         rows, places, kinds, letters, states, closers = [], [], [], [], [], []
-        for k, (block, codes, ahead, entry, final) in enumerate(
-            zip(columns[1].to_pylist(), *[_numbers(batch, c) for c in ("codes", "ahead", "entry", "final")])
-        ):
+        for k, (start, codes, ahead, entry, final) in enumerate(zip(*[_numbers(batch, c) for c in ("start", "codes", "ahead", "entry", "final")])):
             layers = layer_prices(codes, tuple(ahead))
             state = entry
             for i, code in enumerate(codes):
                 found, state = follow(code, state, layers[i], layers[i + 1])
                 rows.append(k)
-                places.append(block * BLOCK + i)
+                places.append(start + i)
                 kinds.append(code)
                 letters.append(found)
                 states.append(state)
@@ -249,15 +247,15 @@ def _edit_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 closers[-1] = closing(state)[0]
         take = pa.array(rows, pa.int64())
         narrow = [pa.array(kinds, pa.int32()), pa.array(letters, pa.string()), pa.array(states, pa.int32()), pa.array(closers, pa.string())]
-        arrays = [columns[0].take(take), pa.array(places, pa.int64()), *narrow]
+        arrays = [convs.take(take), pa.array(places, pa.int64()), *narrow]
         yield pa.RecordBatch.from_arrays(arrays, names=["conv", "pos", "code", "letters", "state", "closing"])
 
 
 def edits(blocks: DataFrame) -> DataFrame:
     """(conv, pos, code, letters, state, closing) of the cheapest repair.
 
-    ``blocks`` has (conv, block, codes, final): the codes of ``BLOCK`` rows in order (the last block may be shorter),
-    and whether it is the last one.  ``letters`` are the edits at a row, ``state`` the state after them, ``closing``
+    ``blocks`` has (conv, block, start, codes, final): the place of the first row, the codes of the block's rows in
+    order, and whether it is the last one.  ``letters`` are the edits at a row, ``state`` the state after them, ``closing``
     the insertions after the last row.
     """
     same = lambda a, b: a["conv"].eqNullSafe(b["conv"]) & (a["block"] == b["block"])
@@ -269,9 +267,9 @@ def edits(blocks: DataFrame) -> DataFrame:
     leads = ahead.mapInArrow(_map_rows, "conv long, block long, ahead array<long>, leads array<long>")
     by_first = leads.repartition("conv").sortWithinPartitions("conv", "block")
     entries = by_first.mapInArrow(_entry_rows, "conv long, block long, ahead array<long>, entry long")
-    joined = long.join(entries, same(long, entries)).select(long["conv"], long["block"], "codes", "final", "ahead", "entry")
+    joined = long.join(entries, same(long, entries)).select(long["conv"], long["block"], "start", "codes", "final", "ahead", "entry")
     short = blocks.filter("final and block = 0").select(
-        "conv", "block", "codes", "final", F.array(*[F.lit(p).cast("long") for p in END]).alias("ahead"), F.lit(START).cast("long").alias("entry")
+        "conv", "block", "start", "codes", "final", F.array(*[F.lit(p).cast("long") for p in END]).alias("ahead"), F.lit(START).cast("long").alias("entry")
     )
     return short.unionByName(joined).mapInArrow(_edit_rows, "conv long, pos long, code int, letters string, state int, closing string")
 
@@ -328,14 +326,16 @@ def coded_rows(placed: DataFrame) -> DataFrame:
     return marked.select("conv", "pos", _fault_code().alias("code"))
 
 
-def code_blocks(coded: DataFrame) -> DataFrame:
-    """(conv, block, codes, final) from (conv, pos, code); a group is ``BLOCK`` rows at most."""
+def code_blocks(coded: DataFrame, rows_of_block: int = BLOCK) -> DataFrame:
+    """(conv, block, start, codes, final) from (conv, pos, code); a group is ``rows_of_block`` rows at most."""
     sizes = coded.groupBy("conv").agg(F.max("pos").alias("_last"))
     digits = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: F.lpad(F.hex(x["code"].cast("long")), 2, "0")), "")
-    rows = coded.groupBy("conv", F.floor(F.col("pos") / BLOCK).alias("block")).agg(F.unhex(digits).alias("codes"), F.max("pos").alias("_end"))
+    rows = coded.groupBy("conv", F.floor(F.col("pos") / rows_of_block).alias("block")).agg(
+        F.unhex(digits).alias("codes"), F.min("pos").alias("start"), F.max("pos").alias("_end")
+    )
     ends = sizes.select(F.col("conv").alias("_conv"), "_last")
     joined = rows.join(ends, rows["conv"].eqNullSafe(ends["_conv"]))
-    return joined.select("conv", F.col("block").cast("long").alias("block"), "codes", (F.col("_end") == F.col("_last")).alias("final"))
+    return joined.select("conv", F.col("block").cast("long").alias("block"), "start", "codes", (F.col("_end") == F.col("_last")).alias("final"))
 
 
 class _Repaired:
@@ -428,7 +428,7 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RESULT)], schema=_RESULT)
 
 
-def repair(conversations: DataFrame, damaged: bool = False) -> DataFrame:
+def repair(conversations: DataFrame, damaged: bool = False, rows_of_block: int = BLOCK) -> DataFrame:
     """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) of every conversation.
 
     ``conversations`` has (conv_id, turn, role, text); other columns are ignored, an absent one is null.  Rows are
@@ -445,7 +445,7 @@ def repair(conversations: DataFrame, damaged: bool = False) -> DataFrame:
     # equal rows may change places; the salt lets a range end among very many of them
     order = [F.col("turn"), F.col("role"), F.col("text"), F.rand(13)]
     placed = with_rank(rows, ["conv"], order, "pos", "_size").drop("_size")
-    found = edits(store(code_blocks(coded_rows(placed)), "dialogue-blocks"))
+    found = edits(store(code_blocks(coded_rows(placed), rows_of_block), "dialogue-blocks"))
     null = lambda kind: F.lit(None).cast(kind)
     texts = placed.select(
         "conv", "pos", F.lit(1).alias("kind"), "turn", "role", "text",

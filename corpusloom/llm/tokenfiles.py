@@ -220,7 +220,9 @@ class _Reader(DataSourceReader):
             out += [_Part(row["name"], row["start"], k, shares, row["dictionary"]) for k in range(shares)]
         return out
 
-    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # of a folder without files
+            return
         content = _read(self.path, "dictionary")
         if hashlib.sha256(content).hexdigest() != partition.dictionary:
             raise ValueError("the dictionary is not the one the file was written with")
