@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import html, text as tx, urls
 from corpusloom.plans import key_queries as kq
 from corpusloom.plans import page_queries as pq
-from corpusloom.plans.registry import query, table
+from corpusloom.plans.registry import SQL, query, table
 from corpusloom.session import work_path
 from corpusloom.streaming import ingest, keyed, moves
 
@@ -41,11 +41,11 @@ def run_updates(stream: DataFrame, name: str, mode: str = "update") -> DataFrame
     return spark.read.parquet(f"{path}/rows")
 
 
-def _ingested(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _ingested(spark: SparkSession, sf: str, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     path = work_path(spark, "ingest")
     pages = stream_of(spark, sf, "pages")
     items = pages.select("url", F.col("page_id").alias("seq"), html.item(F.col("html")).alias("_i")).select("url", "seq", "_i.*")
-    job = ingest.stream_ingest(items, f"{path}/raw", f"{path}/plain", f"{path}/sites", f"{path}/state", default_url=pq.NO_URL)
+    job = ingest.stream_ingest(items, f"{path}/raw", f"{path}/plain", f"{path}/sites", f"{path}/state", default_url=pq.NO_URL, rules=rules)
     job.awaitTermination()
     return ingest.current(spark, f"{path}/raw"), ingest.current(spark, f"{path}/plain")
 
@@ -74,6 +74,18 @@ def stream_ingest_plain(spark, sf):
     return plain.select("_id", F.md5("content").alias("content"), "site_code")
 
 
+@query(
+    "stream_ingest_by_rules",
+    f"""WITH r AS ({SQL['site_by_suffix_table']}), s AS (SELECT site, row_number() OVER (ORDER BY site) AS site_code FROM (SELECT DISTINCT r.site FROM r JOIN {_LAST} l USING (page_id)))
+    SELECT {_FP} AS _id, site_code FROM {_LAST} JOIN r USING (page_id) JOIN s USING (site)""",
+)
+def stream_ingest_by_rules(spark, sf):
+    """Site codes of ingested pages by a table of public suffixes."""
+    rules = spark.createDataFrame([(r,) for r in pq._SUFFIX_RULES], "suffix string")
+    _, plain = _ingested(spark, sf, rules)
+    return plain.select("_id", "site_code")
+
+
 @query("stream_dedupe", f"SELECT DISTINCT {_FP} AS fingerprint FROM pages")
 def stream_dedupe(spark, sf):
     pages = stream_of(spark, sf, "pages")

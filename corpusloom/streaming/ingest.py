@@ -33,10 +33,14 @@ def raw_documents(items: DataFrame, default_url: str, origin: str = "zh") -> Dat
     return docs.select(*ITEM_COLUMNS).dropDuplicates(["_id"])
 
 
-def plain_documents(raw: DataFrame, dim: DataFrame) -> DataFrame:
-    """Raw documents with style removed and the site code added."""
+def _sited(docs: DataFrame, rules: DataFrame | None) -> DataFrame:
+    return sites.with_site(docs) if rules is None else sites.site_by_rules(docs, rules)
+
+
+def plain_documents(raw: DataFrame, dim: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Raw documents with style removed and the site code added; ``rules(suffix)`` are public suffixes."""
     clean = raw.withColumn("content", text.remove_style(F.col("content")))
-    return sites.enrich(sites.with_site(clean), dim).select(*ITEM_COLUMNS, "site_code")
+    return sites.enrich(_sited(clean, rules), dim).select(*ITEM_COLUMNS, "site_code")
 
 
 def _batches(spark: SparkSession, path: str, schema: T.StructType, before: int) -> DataFrame:
@@ -49,27 +53,27 @@ def _batches(spark: SparkSession, path: str, schema: T.StructType, before: int)
     return rows.filter(F.col("batch") < before).drop("batch")
 
 
-def two_sinks(raw_path: str, plain_path: str, site_path: str, origin: str, default_url: str) -> Callable[[DataFrame, int], None]:
+def two_sinks(
+    raw_path: str, plain_path: str, site_path: str, origin: str, default_url: str, rules: DataFrame | None = None
+) -> Callable[[DataFrame, int], None]:
     """The work of one micro-batch.
 
-    Every output of a batch is a folder named by the batch number and site
-    codes are drawn from earlier batches only, so a replay writes the same.
+    The raw documents are written first and read back, so all else comes from the same rows.  Every output of a batch is
+    a folder named by the batch number and site codes are drawn from earlier batches only, so a replay writes the same.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        raw = raw_documents(batch, default_url, origin).persist()
-        try:
-            known = _batches(spark, site_path, SITE, number)
-            found = raw.select(urls.registered_domain(F.col("url")).alias("site"), F.lit(number).alias("first_seen"))
-            dim = sites.assign_site_codes(found, known)
-            fresh = dim.join(known.select("site"), "site", "left_anti")
-            fresh.write.mode("overwrite").parquet(f"{site_path}/batch={number}")
-            raw.write.mode("overwrite").parquet(f"{raw_path}/batch={number}")
-            all_sites = _batches(spark, site_path, SITE, number + 1)
-            plain_documents(raw, all_sites).write.mode("overwrite").parquet(f"{plain_path}/batch={number}")
-        finally:
-            raw.unpersist()
+        made = raw_documents(batch, default_url, origin)
+        made.write.mode("overwrite").parquet(f"{raw_path}/batch={number}")
+        raw = spark.read.schema(made.schema).parquet(f"{raw_path}/batch={number}")
+        known = _batches(spark, site_path, SITE, number)
+        found = _sited(raw.select("url"), rules).select("site", F.lit(number).alias("first_seen"))
+        dim = sites.assign_site_codes(found, known)
+        fresh = dim.join(known.select("site"), "site", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{site_path}/batch={number}")
+        all_sites = _batches(spark, site_path, SITE, number + 1)
+        plain_documents(raw, all_sites, rules).write.mode("overwrite").parquet(f"{plain_path}/batch={number}")
 
     return write
 
@@ -83,11 +87,15 @@ def stream_ingest(
     origin: str = "zh",
     *,
     default_url: str,
+    rules: DataFrame | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Start the stream of items into the raw and the plain table; ``default_url`` is for items without url and code."""
+    """Start the stream of items into the raw and the plain table; ``default_url`` is for items without url and code.
+
+    Sites are told by ``rules(suffix)``, a table of public suffixes, or by the short built-in list.
+    """
     return (
-        items.writeStream.foreachBatch(two_sinks(raw_path, plain_path, site_path, origin, default_url))
+        items.writeStream.foreachBatch(two_sinks(raw_path, plain_path, site_path, origin, default_url, rules))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
