@@ -196,6 +196,19 @@ def index_delete_search(spark, sf):
     return search.search(live_index.read_index(spark, changed_index(spark, sf, False)), WORDS, size=30)
 
 
+@query("index_created_and_deleted", "SELECT doc_id, lang, true AS was_there, false AS is_there FROM documents WHERE lang IS NOT NULL")
+def index_created_and_deleted(spark, sf):
+    """A declared index takes documents, is scanned by its name, and goes; its files stay readable by their path."""
+    docs, path = table(spark, sf, "documents").select("doc_id", "lang"), work_path(spark, "declared")
+    name = "declared_" + path[-32:]
+    tables.create_index(spark, name, docs.schema, path)
+    docs.write.insertInto(name)
+    was = tables.scan_all(spark, name, F.col("lang").isNotNull()).count() > 0
+    tables.delete_index(spark, name)
+    gone = spark.catalog.tableExists(name)
+    return spark.read.parquet(path).filter("lang is not null").select("doc_id", "lang", F.lit(was).alias("was_there"), F.lit(gone).alias("is_there"))
+
+
 _LAST_WRITE = """(SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'thion ' || text ELSE text END AS text FROM documents
     WHERE doc_id % 9 <> 5)"""
 
