@@ -24,6 +24,8 @@ BUCKET_BITS = 16
 SMOOTHING = 0.5
 PENALTY = 4.0  # times half a logarithm: neighbouring trigrams overlap, so their likelihoods count about thrice
 UNKNOWN = "und"
+STILL = 1e-4  # a text's EM stops when no share moves by this
+ROUNDS = 200
 BLOCK = 1 << 18
 LETTER = r"\p{L}"
 
@@ -106,22 +108,38 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, np.log(smoothed / smoothed.sum(axis=1, keepdims=True))
 
 
-def _expect(p: np.ndarray, count: np.ndarray, owner: np.ndarray, starts: np.ndarray, share: np.ndarray, rounds: int):
-    """EM rounds from ``share`` (texts x languages, zero for absent ones): new shares and log-likelihoods."""
+def _starts(owner: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+
+
+def _expect(p: np.ndarray, count: np.ndarray, owner: np.ndarray, share: np.ndarray, rounds: int):
+    """EM rounds from ``share`` (texts x languages, zero for absent ones): new shares and log-likelihoods.
+
+    Every text stops by itself, when none of its shares moves by ``STILL`` any more, and its rows are added up apart from
+    those of others: the result of a text does not depend on its neighbours.
+    """
+    share = share.copy()
+    live = np.arange(len(share))
+    rows, n, of, starts = p, count, owner, _starts(owner)
     total = np.add.reduceat(count, starts)
     for _ in range(rounds):
-        weight = p * share[owner]
-        weight *= (count / weight.sum(axis=1))[:, None]
-        new = np.add.reduceat(weight, starts, axis=0) / total[:, None]
-        done = np.abs(new - share).max() < 1e-3
-        share = new
-        if done:
+        now = share[live]
+        weight = rows * now[of]
+        weight *= (n / weight.sum(axis=1))[:, None]
+        share[live] = np.add.reduceat(weight, starts, axis=0) / total[:, None]
+        moving = np.abs(share[live] - now).max(axis=1) >= STILL
+        if not moving.any():
             break
-    likely = np.add.reduceat(count * np.log((p * share[owner]).sum(axis=1)), starts)
+        if not moving.all():
+            stay = moving[of]
+            live, total = live[moving], total[moving]
+            rows, n, of = rows[stay], n[stay], (np.cumsum(moving) - 1)[of[stay]]
+            starts = _starts(of)
+    likely = np.add.reduceat(count * np.log((p * share[owner]).sum(axis=1)), _starts(owner))
     return share, likely
 
 
-def mixture(bucket: np.ndarray, owner: np.ndarray, texts: int, logp: np.ndarray, rounds: int = 12) -> np.ndarray:
+def mixture(bucket: np.ndarray, owner: np.ndarray, texts: int, logp: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Shares (texts x languages) of ``texts`` texts; a text without trigrams has shares of 0."""
     shares = np.zeros((texts, len(logp)))
     if not len(bucket):
@@ -133,12 +151,9 @@ def mixture(bucket: np.ndarray, owner: np.ndarray, texts: int, logp: np.ndarray,
     p = np.exp(p - p.max(axis=1, keepdims=True))
     count = count.astype(float)
 
-    def starts_of(own: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-
-    total = np.add.reduceat(count, starts_of(owner))
+    total = np.add.reduceat(count, _starts(owner))
     share = np.full((len(there), len(logp)), 1 / len(logp))
-    share, likely = _expect(p, count, owner, starts_of(owner), share, rounds)
+    share, likely = _expect(p, count, owner, share, rounds)
     # a language that explains less than one trigram cannot pay its penalty
     faint = (share * total[:, None] < 1) & (share < share.max(axis=1, keepdims=True))
     share[faint] = 0
@@ -153,12 +168,11 @@ def mixture(bucket: np.ndarray, owner: np.ndarray, texts: int, logp: np.ndarray,
         rows = chosen[owner]
         renumber = np.cumsum(chosen) - 1
         sub_p, sub_count, sub_owner = p[rows], count[rows], renumber[owner[rows]]
-        starts = starts_of(sub_owner)
-        now, now_likely = _expect(sub_p, sub_count, sub_owner, starts, share[live], 2)
+        now, now_likely = _expect(sub_p, sub_count, sub_owner, share[live], 2)
         trial = now.copy()
         trial[np.arange(len(live)), np.where(now > 0, now, np.inf).argmin(axis=1)] = 0
         trial /= trial.sum(axis=1, keepdims=True)
-        trial, trial_likely = _expect(sub_p, sub_count, sub_owner, starts, trial, rounds)
+        trial, trial_likely = _expect(sub_p, sub_count, sub_owner, trial, rounds)
         better = trial_likely + PENALTY * 0.5 * np.log(total[live] + 1) > now_likely
         share[live] = np.where(better[:, None], trial, now)
         live = live[better]

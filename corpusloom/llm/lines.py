@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.binding import let
 from corpusloom.llm.work import store
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -40,7 +41,9 @@ def _identity() -> list[Column]:
 
 def line_rows(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(h1, h2, doc_id, text_hash, place) of every line whose key is long enough; the key has a 96-bit hash."""
-    lines = docs.select(*_identity(), F.posexplode(split_lines(F.col("text").cast("string"))).alias("place", "line"))
+    # the hash is made below the explode: beside it, every line would carry and hash the whole text
+    whole = docs.select(*_identity(), split_lines(F.col("text").cast("string")).alias("lines"))
+    lines = whole.select("doc_id", "text_hash", F.posexplode("lines").alias("place", "line"))
     keyed = lines.select("doc_id", "text_hash", "place", line_key(F.col("line")).alias("key"))
     return keyed.filter(F.char_length("key") >= least).select(
         F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), "doc_id", "text_hash", "place"
@@ -96,6 +99,23 @@ def keep_bitmaps(docs: DataFrame, least: int = LEAST) -> DataFrame:
     )
 
 
+def _kept_lines(lines: Column, words: Column) -> Column:
+    """The lines that stay, in one walk: per word of the bitmap the untouched lines before it and its own kept lines."""
+
+    def end(word: Column) -> Column:
+        return BITS * (word["word"] + 1)
+
+    def run(word: Column, i: Column) -> Column:
+        before = F.coalesce(end(F.get(words, i - 1)), F.lit(0))
+        begin = BITS * word["word"]
+        own = F.filter(F.slice(lines, begin + 1, F.lit(BITS)), lambda _, j: F.getbit(word["bits"], j) == 1)
+        return F.concat(F.slice(lines, before + 1, begin - before), own)
+
+    last = end(F.element_at(words, -1))
+    rest = F.slice(lines, last + 1, F.greatest(F.lit(0), F.size(lines) - last))
+    return F.flatten(F.concat(F.transform(words, run), F.array(rest)))
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with ``text`` cut to the kept lines, and the new columns n_lines and n_dropped.
 
@@ -108,18 +128,12 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         F.col("doc_id").alias("_m"),
         F.col("text_hash").alias("_1"),
         F.col("n_dropped").alias("_dropped"),
-        F.map_from_entries("words").alias("_words"),
+        F.sort_array("words").alias("_words"),
     )
     # null ids are equal here; joined on a second column too, so that they do not all meet in one task
     same = F.col("_0").eqNullSafe(F.col("_m")) & (tagged["_1"] == marks["_1"])
     joined = tagged.join(marks, same, "left")
-    place_word = lambda i: F.floor(i / BITS).cast("int")
-
-    def stays(_: Column, i: Column) -> Column:
-        word = F.try_element_at(F.col("_words"), place_word(i))
-        return word.isNull() | (F.getbit(word, i % BITS) == 1)
-
-    kept = F.array_join(F.filter(split_lines(F.col("text").cast("string")), stays), "\n")
+    kept = F.array_join(let(split_lines(F.col("text").cast("string")), lambda own: _kept_lines(own, F.col("_words"))), "\n")
     lines = F.size(split_lines(F.col("text").cast("string")))
     text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept)
     return joined.select(

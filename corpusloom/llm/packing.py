@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ CAPACITY = 4096
 END_ID = 1
 CACHE_PARTS = 1_000_000
 MAX_ROUNDS = 500
+FILE_ROWS = 1 << 32
 CLASSES = 8
 LITTLE = 0.05  # share of the unplaced volume; a round that places less opens sequences
 
@@ -148,12 +150,14 @@ def encoder(path: str) -> WordTokenizer:
     return _ENCODERS[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, order: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids) of every document; ids as little-endian unsigned 32-bit values.
 
     Only what is longer than ``capacity`` is cut, into full pieces and a last one.  A null or empty text is the end id
-    alone.  A row that repeats another is a document of its own.
+    alone.  A row that repeats another is a document of its own.  If ``order`` names a column of whole numbers, pieces
+    have it as ``position``.
     """
+    kept = ["doc_id"] if order is None else ["doc_id", "position"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
@@ -171,20 +175,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pc.take(batch.column("doc_id"), take),
+                    *[pc.take(batch.column(c), take) for c in kept],
                     pa.array(number, pa.int32()),
                     pa.array(start, pa.int64()),
                     pa.array(length, pa.int64()),
                     pa.array(ids, pa.binary()),
                 ],
-                names=["doc_id", "piece", "start", "length", "ids"],
+                names=[*kept, "piece", "start", "length", "ids"],
             )
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        *[F.col(c).cast("long").alias("position") for c in [order] if c is not None],
         F.col("text").cast("string").alias("text"),
     )
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in kept) + ", piece int, start long, length long, ids binary")
 
 
 def _class_of(sizes: np.ndarray) -> np.ndarray:
@@ -387,6 +392,38 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return kept.join(found, "id").drop("id").withColumn("offset", F.col("offset").cast("long"))
 
 
+def in_file_order(docs: DataFrame, name: str = "_position") -> DataFrame:
+    """``docs`` with the column ``name``, which grows in the order in which its Parquet files were written.
+
+    It is the number of the partition that wrote the row (0 for files of other names) times 2^32, and the row's place in
+    its file.  Rows that come from no Parquet file keep the order of their partitions.
+    """
+    number = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+    try:
+        return docs.withColumn(name, number * F.lit(FILE_ROWS) + F.col("_metadata.row_index"))
+    except AnalysisException:
+        row = F.monotonically_increasing_id()  # the partition's number times 2^33, and the row's place
+        return docs.withColumn(name, F.shiftright(row, 33) * F.lit(FILE_ROWS) + row % (1 << 33))
+
+
+def pack_in_order(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``pack`` for pieces with ``position``, sequences in the order of their content.
+
+    ``sequence_time`` is the mean position of a sequence's ids; rows come in ranges of it,
+    sorted by it, the sequence and the offset, so a reader that goes through the files trains in the order of positions.
+    """
+    kept = store(cut.withColumn("id", F.monotonically_increasing_id()), "pieces")
+    found = best_fit(kept.select("id", "length"), capacity)
+    placed = store(found.join(kept.select("id", "position", "length"), "id"), "placed")
+    # whole numbers, so that reruns agree: positions stay below 2^51 (2^19 files), a sequence below 2^12 ids
+    moment = F.sum(F.col("position") * F.col("length")) / F.sum("length")
+    times = placed.groupBy("sequence_id").agg(moment.alias("sequence_time"))
+    timed = placed.select("id", "sequence_id", F.col("offset").cast("long").alias("offset")).join(times, "sequence_id")
+    parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["sequence_time", "sequence_id", "offset"]
+    return kept.join(timed, "id").drop("id").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Packed pieces of ``docs`` with their token ids."""
     return pack(pieces(docs, tokenizer, capacity, end_id), capacity)

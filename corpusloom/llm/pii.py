@@ -16,6 +16,8 @@ All scans are linear in the text: a pattern never starts twice inside the same r
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -277,6 +279,30 @@ def _logistic(x: np.ndarray, share: np.ndarray, goal: np.ndarray, rounds: int, r
     return theta
 
 
+class Taken:
+    """Places of a text that spans hold: disjoint stretches in order, looked up by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, _, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def free(self, start: int, end: int) -> bool:
+        at = bisect.bisect_right(self.ends, start)
+        return at == len(self.starts) or self.starts[at] >= end
+
+    def add(self, start: int, end: int) -> None:
+        """``start`` to ``end`` must be free."""
+        at = bisect.bisect_right(self.ends, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+
 def personal_data(docs: DataFrame, certain: float = CERTAIN) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base, spans, added.
 
@@ -297,16 +323,19 @@ def personal_data(docs: DataFrame, certain: float = CERTAIN) -> DataFrame:
     weights = span_classifier([r.asDict() for r in patterns.collect()])
 
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @functools.lru_cache(maxsize=10_000)
+        def personal(kind: int, ballot: str, shape: str) -> bool:
+            score = sum(weights.get(n, 0.0) for n in _inputs(kind, ballot, shape))
+            return 1 / (1 + np.exp(-score)) >= certain
+
         for batch in batches:
             base_text, spans_text, digests, added = [], [], [], []
             for base, candidates in zip(batch.column("base").to_pylist(), batch.column("candidates").to_pylist()):
                 held = [(s["start"], s["kind"], s["end"]) for s in base]
-                taken = list(held)
+                taken, room = list(held), Taken(held)
                 for c in candidates:
-                    if c["base"] or any(a < c["end"] and c["start"] < b for a, _, b in taken):
-                        continue
-                    score = sum(weights.get(n, 0.0) for n in _inputs(c["kind"], c["votes"], c["features"]))
-                    if 1 / (1 + np.exp(-score)) >= certain:
+                    if not c["base"] and room.free(c["start"], c["end"]) and personal(c["kind"], c["votes"], c["features"]):
+                        room.add(c["start"], c["end"])
                         taken.append((c["start"], c["kind"], c["end"]))
                 line = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(held))
                 base_text.append(line)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -132,6 +133,24 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 59, 60, 61, 119, 120, 121, 600])
+def test_bitmaps_of_all_sizes(spark, n):
+    draw = random.Random(n)
+    docs = [(i, "\n".join(draw.choice(["", "short", f"a line of its own {i} {k}", f"a shared line {k % 40}"]) for k in range(n))) for i in range(12)]
+    docs += [(20 + i, "\n".join("the same line in all" for _ in range(n))) for i in range(3)]
+    got = lines.dedup_lines(table(spark, docs)).collect()
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got} == line_rule(docs)
+
+
+def test_line_dedup_of_a_million_lines(spark):
+    text = "\n".join(f"2026-01-01 entry {k} of a log file" for k in range(1_000_000))
+    frame = table(spark, [(1, text), (2, text + "\nthe end of it")])
+    began = time.monotonic()
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.n) for r in lines.dedup_lines(frame).selectExpr("*", "length(text) as n").collect()}
+    assert got == {1: (1_000_000, 0, len(text)), 2: (1_000_001, 1_000_000, 13)}
+    assert time.monotonic() - began < 60
+
+
 def test_line_dedup_with_odd_ids(spark):
     frame = table(spark, [(None, "some repeated line"), (4, "some repeated line"), (4, "some repeated line"), (None, "some repeated line\nx")])
     got = sorted((r.doc_id or -1, r.text) for r in lines.dedup_lines(frame).collect())

@@ -78,6 +78,35 @@ def test_pack_documents_gives_back_the_tokens(spark):
     assert zlib.crc32(b"") == 0 and len({r.sequence_id for r in rows}) <= math.ceil(sum(r.length for r in rows) / 512) + 1
 
 
+def test_sequences_follow_the_written_order(spark, tmp_path):
+    rows = [(i * 7 % 1000, f"word{i} " * (40 + i * 13 % 50), i) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, at long")
+    frame.repartitionByRange(5, "at").sortWithinPartitions("at").write.parquet(str(tmp_path / "mix"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        placed = packing.in_file_order(spark.read.parquet(str(tmp_path / "mix"))).collect()
+        order = [r.at for r in sorted(placed, key=lambda r: r["_position"])]
+        assert order == list(range(1000)) and len({r["_position"] for r in placed}) == 1000
+        docs = packing.in_file_order(spark.read.parquet(str(tmp_path / "mix")))
+        got = packing.pack_in_order(packing.pieces(docs, PATH, capacity=2048, order="_position"), 2048).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _, _ in rows)
+    assert [r.sequence_time for r in got] == sorted(r.sequence_time for r in got)
+    seen, held = [], defaultdict(list)
+    for r in got:
+        seen.append(r.sequence_id)
+        held[r.sequence_id].append(r)
+    assert sum(a != b for a, b in zip(seen, seen[1:])) == len(held) - 1
+    for own in held.values():
+        assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
+        mean = sum(r.position * r.length for r in own) / sum(r.length for r in own)
+        assert abs(mean - own[0].sequence_time) <= 1e-9 * mean
+    unordered = packing.in_file_order(spark.range(10).union(spark.range(10)))
+    assert [r["_position"] for r in unordered.collect()] == sorted(r["_position"] for r in unordered.collect())
+    assert packing.pack_in_order(packing.pieces(docs.limit(0), PATH, order="_position")).count() == 0
+
+
 def targets_by_rounds(sizes, most):
     """Reshare the excess until no source is above its limit."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
@@ -160,4 +189,13 @@ def test_pipeline_stages(spark):
             assert now.count() <= before.count()
     pieces = now.collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in before.collect()}
+    texts = {r.doc_id: r.text for r in before.collect()}
+    plain = Tokenizer.from_file(PATH)
+    whole = defaultdict(set)
+    for r in pieces:
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+        whole[r.doc_id].add((r.start, bytes(r.ids)))
+    for i, parts in whole.items():
+        ids = np.frombuffer(b"".join(p for _, p in sorted(parts)), "<u4").tolist()
+        assert ids == [*plain.encode(texts[i] or "", add_special_tokens=False).ids, 1]
     assert corpus_pipeline.run(spark, folder).count() > 0

@@ -7,9 +7,11 @@ import random
 import re
 import statistics
 import textwrap
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import cws, hamming, langid, licenses, pagetext, pii, warc
@@ -44,6 +46,72 @@ def test_language_mixtures_and_odd_texts(spark):
     assert {(r.lang_pred, r.score) for r in unknown} == {("und", 0.0)}
 
 
+def plain_mixture(bucket, logp):
+    """One text, one trigram kind at a time: EM from equal shares, faint languages away, then the least if it pays."""
+    kinds = sorted(Counter(bucket.tolist()).items())
+    p = np.exp(np.array([logp[:, k] for k, _ in kinds]) - np.array([logp[:, k].max() for k, _ in kinds])[:, None])
+    count = np.array([n for _, n in kinds], float)
+
+    def climb(share, rounds):
+        for _ in range(rounds):
+            own = p * share
+            new = (own / own.sum(axis=1)[:, None] * count[:, None]).sum(axis=0) / count.sum()
+            moved, share = np.abs(new - share).max(), new
+            if moved < langid.STILL:
+                break
+        return share, float((count * np.log((p * share).sum(axis=1))).sum())
+
+    share, _ = climb(np.full(len(logp), 1 / len(logp)), langid.ROUNDS)
+    share = np.where((share * count.sum() < 1) & (share < share.max()), 0, share)
+    share /= share.sum()
+    while (share > 0).sum() > 1:
+        now, now_likely = climb(share, 2)
+        trial = now.copy()
+        trial[np.where(now > 0, now, np.inf).argmin()] = 0
+        trial, likely = climb(trial / trial.sum(), langid.ROUNDS)
+        if likely + langid.PENALTY * 0.5 * np.log(count.sum() + 1) <= now_likely:
+            return now
+        share = trial
+    return share
+
+
+def test_mixtures_against_a_plain_em_and_alone(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    names, logp = langid.train(docs)
+    texts = [r.text or "" for r in docs.select("text").collect()][:250]
+    texts += [" ".join(w for pair in zip(a.split(), b.split()) for w in pair) for a, b in zip(texts[:100], texts[100:200])]
+
+    def shares_of(group):
+        return np.vstack([langid.mixture(b, o - first, stop - first, logp) for first, stop, b, o in langid._trigrams(pa.array(group))])
+
+    together = shares_of(texts)
+    assert np.array_equal(together, np.vstack([shares_of([t]) for t in texts]))
+    assert np.array_equal(together[::-1], shares_of(texts[::-1]))
+    assert (np.sort(together, axis=1)[:, -2] > 0.2).sum() > 20
+    for text, got in zip(texts, together):
+        found = [b for _, _, b, _ in langid._trigrams(pa.array([text]))][0]
+        if len(found):
+            assert np.abs(plain_mixture(found, logp) - got).max() < 1e-6
+    # rounds enough: twenty times as many and a hundredth of the step change little
+    long = [np.abs(a - b).max() for a, b in zip(together, converged(shares_of, texts))]
+    assert statistics.quantiles(long, n=50)[-1] < 0.02
+
+
+def converged(shares_of, texts):
+    still, langid.STILL = langid.STILL, langid.STILL / 100
+    try:
+        return shares_of(texts)
+    finally:
+        langid.STILL = still
+
+
+def test_scores_do_not_depend_on_the_partitioning(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    key = lambda r: (r.doc_id, r.lang_pred, r.score, [tuple(s) for s in r.shares])
+    one = sorted(map(key, langid.identify(docs.coalesce(1)).collect()))
+    assert one == sorted(map(key, langid.identify(docs.orderBy("text").repartition(7)).collect()))
+
+
 def test_unlearned_languages_go(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     draw = random.Random(4)
@@ -199,6 +267,31 @@ def test_spelled_addresses_are_added_whatever_the_corpus(spark, base, spelled):
     assert all(r.added == 0 for i, r in got.items() if i < 30_000)
 
 
+def test_taken_places_against_all_pairs():
+    draw = random.Random(8)
+    for _ in range(300):
+        spans = [(a, 0, a + draw.randint(1, 9)) for a in (draw.randrange(80) for _ in range(draw.randrange(6)))]
+        room, held = pii.Taken(spans), list(spans)
+        for _ in range(20):
+            start = draw.randrange(90)
+            end = start + draw.randint(1, 6)
+            free = not any(a < end and start < b for a, _, b in held)
+            assert room.free(start, end) == free
+            if free and draw.random() < 0.5:
+                room.add(start, end)
+                held.append((start, 0, end))
+
+
+def test_a_long_text_of_candidates(spark):
+    unit = "see name (at) example (dot) com, ring (212) 555-0134, "
+    n = 5_000_000 // len(unit)
+    frame = spark.createDataFrame([(1, unit * n), (2, unit), (3, "")], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r.added for r in pii.personal_data(frame).collect()}
+    assert got[2] >= 1 and got == {1: got[2] * n, 2: got[2], 3: 0}
+    assert time.monotonic() - began < 60
+
+
 def test_reliabilities_find_the_bad_labeler():
     draw = np.random.default_rng(0)
     truth = draw.random(4000) < 0.4
