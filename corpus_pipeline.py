@@ -6,13 +6,16 @@ Parquet and read again as the next stage's docs.  Every stage works on all rows
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import langid, lines, minhash, mixing
-from corpusloom.llm.queries import packed
+from corpusloom.llm import packing as packing_operator
 from corpusloom.llm.work import documents, store
 
+TOKENIZER = "word_bpe_49k.json"
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, without a language that has 30 percent of them, or of no learned language go."""
@@ -39,8 +42,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their sequence and place."""
-    return packed(docs)
+    """Pieces of at most 4096 token ids with their sequence and place, sequences in the order of the mix."""
+    cut = packing_operator.pieces(packing_operator.in_file_order(docs), public_tokenizers.path(TOKENIZER), order="_position")
+    return packing_operator.pack_in_order(cut.withColumn("ids_crc32", F.crc32("ids")))
 
 
 STAGES = [
