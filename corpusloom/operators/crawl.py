@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import html, urls
+from corpusloom.operators import bloom
 from corpusloom.operators.extract import same_site_links
 from corpusloom.session import checkpoint_root
 
@@ -68,10 +69,18 @@ def page_graph(pages: DataFrame, domains: str = "") -> DataFrame:
     return edges.join(chosen, ["fingerprint", "url"], "left_semi").select("fingerprint", "target", "target_url")
 
 
-def crawl_round(frontier: DataFrame, graph: DataFrame, seen: DataFrame) -> DataFrame:
-    """The next frontier ``(fingerprint, url)``: targets of the frontier's links that are not seen."""
+def crawl_round(
+    frontier: DataFrame, graph: DataFrame, seen: DataFrame, seen_filter: DataFrame | None = None, blocks: int = 0
+) -> DataFrame:
+    """The next frontier ``(fingerprint, url)``: targets of the frontier's links that are not seen.
+
+    With a Bloom filter of the seen fingerprints (``bloom.bloom`` with ``blocks``) only targets that pass it are looked
+    up in the seen-set.
+    """
     reached = graph.join(frontier.select("fingerprint"), "fingerprint", "left_semi")
     targets = reached.groupBy(F.col("target").alias("fingerprint")).agg(F.min("target_url").alias("url"))
+    if seen_filter is not None:
+        return bloom.without_known(targets, seen, "fingerprint", seen_filter, blocks)
     return targets.join(seen.select("fingerprint"), "fingerprint", "left_anti")
 
 
@@ -82,16 +91,13 @@ def seen_items(seen: DataFrame, pages: DataFrame) -> DataFrame:
     """
     read = pages.select(urls.url_fingerprint(F.col("url")).alias("fingerprint"), "url")
     chosen = read.join(seen.select("fingerprint", "depth"), "fingerprint").groupBy("fingerprint", "depth").agg(F.min("url").alias("url"))
-    texts = pages.select("url", "html").dropDuplicates(["url"]) if _repeats(pages) else pages.select("url", "html")
+    # texts that nobody asks for are left out before any of them moves; of several texts of one url the lowest counts
+    asked = pages.select("url", "html").join(chosen.select("url"), "url", "left_semi")
+    texts = asked.groupBy("url").agg(F.min("html").alias("html"))
     made = texts.join(chosen, "url").select("fingerprint", "depth", "url", html.item(F.col("html")).alias("_item"))
     return made.select("fingerprint", "depth", "url", "_item.*")
 
 
-def _repeats(pages: DataFrame) -> bool:
-    """Whether a url has several pages; asked on the urls alone."""
-    return not pages.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-
-
 def crawl(
     seeds: DataFrame, pages: DataFrame, max_rounds: int | None = None, domains: str = ""
 ) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +108,9 @@ def crawl(
     graph and each round's frontier are checkpointed, and every ``FOLD`` rounds
     the seen-set becomes one checkpointed table partitioned by fingerprint, so
     neither lineage nor plan grows with the number of rounds; only a frontier's
-    emptiness is asked on the driver.
+    emptiness is asked on the driver.  A Bloom filter of the seen fingerprints,
+    sized by the graph's targets and merged round by round, keeps new targets
+    away from the seen-set.
     """
     checkpoint_root(seeds.sparkSession)
     graph = page_graph(pages, domains).checkpoint()
@@ -111,10 +119,14 @@ def crawl(
     )
     frontier = first.groupBy("fingerprint").agg(F.min("url").alias("url")).checkpoint()
     seen = frontier.select("fingerprint", "url", F.lit(0).alias("depth"))
+    targets = graph.agg(F.approx_count_distinct("target")).first()[0]
+    blocks = bloom.blocks_for(targets + frontier.count())
+    known = bloom.bloom(frontier, "fingerprint", blocks).checkpoint()
     depth = 0
     while not frontier.isEmpty() and (max_rounds is None or depth < max_rounds):
         depth += 1
-        frontier = crawl_round(frontier, graph, seen).checkpoint()
+        frontier = crawl_round(frontier, graph, seen, known, blocks).checkpoint()
+        known = bloom.merged(known, bloom.bloom(frontier, "fingerprint", blocks)).checkpoint()
         seen = seen.unionByName(frontier.select("fingerprint", "url", F.lit(depth).alias("depth")))
         if depth % FOLD == 0:
             seen = seen.repartition("fingerprint").checkpoint()

@@ -239,6 +239,28 @@ def crawl_items(spark, sf):
     return items.select("fingerprint", "url", "depth")
 
 
+_SHOP = "https://www.shop.example/c/"
+
+
+@query(
+    "crawl_chain",
+    f"""WITH RECURSIVE links AS (
+      SELECT c_custkey AS a, unnest([3 * c_custkey, 3 * c_custkey + 1, c_custkey // 2, 7 * c_custkey + c_nationkey, c_custkey - 1]) AS b FROM customer),
+    r(k, depth) AS (SELECT 1::BIGINT, 0::INTEGER
+      UNION SELECT b, depth + 1 FROM r JOIN links ON a = k WHERE depth < 40)
+    SELECT '{_SHOP}' || k AS url, min(depth)::INTEGER AS depth, max(c_name) AS title FROM r LEFT JOIN customer ON c_custkey = k GROUP BY k""",
+)
+def crawl_chain(spark, sf):
+    """From the first customer's page over links to other customers' pages, with links back, until nothing new is found."""
+    n = F.col("c_custkey")
+    targets = F.array(3 * n, 3 * n + 1, F.floor(n / 2), 7 * n + F.col("c_nationkey"), n - 1)
+    links = F.array_join(F.transform(targets, lambda t: F.concat(F.lit('<a href="/c/'), t.cast("string"), F.lit('">x</a>'))), " ")
+    page = F.concat(F.lit("<html><head><title>"), "c_name", F.lit("</title></head><body>"), links, F.lit("</body></html>"))
+    shop = table(spark, sf, "customer").select(F.concat(F.lit(_SHOP), n.cast("string")).alias("url"), page.alias("html"))
+    items, seen = crawl.crawl(shop.filter(F.col("url") == _SHOP + "1").select("url"), shop)
+    return seen.join(items.select("url", "title"), "url", "left").select("url", "depth", "title")
+
+
 @query("seed_urls", "SELECT 'https://' || c_name || '/' AS url FROM customer WHERE c_name <> ''")
 def seed_urls(spark, sf):
     sheet = table(spark, sf, "customer").select(F.concat(F.lit("https://"), "c_name", F.lit("/")).alias("site"), "c_custkey")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import geo as gf
 from corpusloom.operators import (
-    bitmaps, crawl, geo, keys, lists, live_index, merge, pubsub, ranking, search, sets, sites, sketch, sorts, zsets,
+    bitmaps, bloom, crawl, geo, keys, lists, live_index, merge, pubsub, ranking, search, sets, sites, sketch, sorts, zsets,
 )
 from corpusloom.sources import files, tables
 
@@ -439,6 +439,24 @@ def test_crawl_follows_links_and_stops(spark):
     assert none.count() == 0
 
 
+def test_texts_of_one_url_and_bloom_filter(spark):
+    """The lowest text of a url counts; the filter misses no key, passes few others and merges."""
+    page = "<html><head><title>{}</title></head><body>x</body></html>"
+    pages = spark.createDataFrame([("http://a.com/", page.format(t)) for t in "cab"] + [("http://a.com/n", None)], "url string, html string")
+    items, _ = crawl.crawl(pages.select("url").distinct(), pages)
+    assert rows(items, "url", "title")[0] == ("http://a.com/", "a") and items.count() == 2
+    keys = spark.range(6000).select(F.sha1(F.col("id").cast("string")).alias("fp"))
+    blocks = bloom.blocks_for(3000)
+    first = bloom.merged(bloom.bloom(keys.limit(0), "fp", blocks), *[bloom.bloom(spark.range(a, a + 1500).select(F.sha1(F.col("id").cast("string")).alias("fp")), "fp", blocks) for a in (0, 1500)])
+    flags = bloom.with_maybe(keys.withColumn("n", F.lit(1)), "fp", first, blocks).groupBy("_maybe").count().collect()
+    passed = {r["_maybe"]: r["count"] for r in flags}[True]
+    assert 3000 <= passed <= 3030
+    known = spark.range(3000).select(F.sha1(F.col("id").cast("string")).alias("fp"))
+    odd = keys.unionByName(spark.createDataFrame([(None,)], "fp string"))
+    new = bloom.without_known(odd, known, "fp", first, blocks)
+    assert new.count() == 3001 and new.join(known, "fp", "left_semi").count() == 0
+
+
 def test_site_codes_are_stable(spark):
     known = spark.createDataFrame([("a.com", 7)], "site string, site_code long")
     seen = spark.createDataFrame([("c.com", 5), ("b.com", 5), ("a.com", 1), ("d.com", 2)], "site string, first_seen int")
