@@ -106,11 +106,11 @@ def crawl(
     ``seeds`` has ``url`` and ``pages`` has ``(url, html)``.  Returns the items
     with their depth, and the seen-set with the depth of first sight.  The link
     graph and each round's frontier are checkpointed, and every ``FOLD`` rounds
-    the seen-set becomes one checkpointed table partitioned by fingerprint, so
-    neither lineage nor plan grows with the number of rounds; only a frontier's
-    emptiness is asked on the driver.  A Bloom filter of the seen fingerprints,
-    sized by the graph's targets and merged round by round, keeps new targets
-    away from the seen-set.
+    the seen-set becomes one checkpointed table partitioned by fingerprint and
+    its filter is checkpointed, so neither lineage nor plan grows with the
+    number of rounds; only a frontier's emptiness is asked on the driver.  A
+    Bloom filter of the seen fingerprints, sized by the graph's targets and
+    merged round by round, keeps new targets away from the seen-set.
     """
     checkpoint_root(seeds.sparkSession)
     graph = page_graph(pages, domains).checkpoint()
@@ -126,8 +126,9 @@ def crawl(
     while not frontier.isEmpty() and (max_rounds is None or depth < max_rounds):
         depth += 1
         frontier = crawl_round(frontier, graph, seen, known, blocks).checkpoint()
-        known = bloom.merged(known, bloom.bloom(frontier, "fingerprint", blocks)).checkpoint()
+        known = bloom.merged(known, bloom.bloom(frontier, "fingerprint", blocks))
         seen = seen.unionByName(frontier.select("fingerprint", "url", F.lit(depth).alias("depth")))
         if depth % FOLD == 0:
             seen = seen.repartition("fingerprint").checkpoint()
+            known = known.checkpoint()
     return seen_items(seen, pages), seen

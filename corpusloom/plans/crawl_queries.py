@@ -6,15 +6,16 @@ import io
 import tarfile
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import urls
 from corpusloom.operators import crawl, merge, sites
-from corpusloom.plans.page_queries import SQL_LINKS, SQL_SITE, pages, sql_fingerprint
+from corpusloom.plans.page_queries import SQL_LINKS, SQL_SITE, SQL_TEXT, SQL_TITLE, pages, sql_fingerprint
 from corpusloom.plans.registry import query, quoted, table
 from corpusloom.session import work_path
-from corpusloom.sources import files
+from corpusloom.sources import archives, files
 
 # Sites are first seen in the order of their lowest page; half of the pages by time are known already.
 _FP = sql_fingerprint("url")
@@ -114,6 +115,20 @@ def expire_seen(spark, sf):
     return crawl.expire_seen(seen, visited(spark, sf), F.lit("2024-02-04").cast("timestamp"))
 
 
+@query(
+    "upsert_by_made_id",
+    """WITH a AS (SELECT md5(lang || ':' || source) AS _id, doc_id, n_chars FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
+    SELECT _id, max(doc_id) AS doc_id, arg_max(n_chars, doc_id) AS n_chars FROM a GROUP BY _id""",
+)
+def upsert_by_made_id(spark, sf):
+    """Documents upserted under an id that a function of the row gives: the last of each language and source stays."""
+    docs = table(spark, sf, "documents").filter("lang is not null and source is not null")
+    made = docs.select(F.md5(F.concat_ws(":", "lang", "source")).alias("_id"), "doc_id", "n_chars", F.col("doc_id").alias("seq"))
+    early = made.filter("doc_id % 2 = 0")
+    base = merge.upsert(early.drop("seq").filter(F.lit(False)), early, ["_id"], "seq")
+    return merge.upsert(base, made, ["_id"], "seq")
+
+
 @query(
     "upsert_last_write",
     """WITH base AS (SELECT user_id, 'none' AS event_type, CAST(0 AS DOUBLE) AS value, -1 AS seq FROM events
@@ -322,6 +337,66 @@ def archive_rows(spark, sf):
     return rows.select("code", F.md5("content").alias("digest"), "origin")
 
 
+def _tgz_writer(path: str):
+    """Each Arrow batch of lines becomes one archive file, named by its place, so a repeated task writes the same."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        for number, packed in enumerate(_pack(batches)):
+            system, base = archives.place(path)
+            system.create_dir(base, recursive=True)
+            name = f"part-{part}-{number}.jsonl.tgz"
+            with system.open_output_stream(f"{base}/{name}", compression=None) as out:
+                out.write(packed["content"][0])
+            yield pd.DataFrame({"name": [name]})
+
+    return run
+
+
+def _archive_files(spark, sf) -> str:
+    """Documents and bad lines in archive files, and a file of another kind beside them."""
+    good, bad = _lines(spark, sf)
+    path = work_path(spark, "archives")
+    good.unionByName(bad).mapInPandas(_tgz_writer(path), "name string").write.json(f"{path}-names")
+    bad.write.mode("append").text(path)
+    return path
+
+
+@query(
+    "jsonl_archive_files",
+    "SELECT CAST(doc_id AS VARCHAR) AS code, md5(text) AS digest, 'en' AS origin FROM documents",
+)
+def jsonl_archive_files(spark, sf):
+    """Archive files read member by member."""
+    rows = files.good_rows(files.read_jsonl_archives(spark, _archive_files(spark, sf), "en", JSONL_ITEM))
+    return rows.select("code", F.md5("content").alias("digest"), "origin")
+
+
+def _page_writer(path: str):
+    def run(batches):
+        system, base = archives.place(path)
+        for batch in batches:
+            for page_id, text in zip(batch["page_id"], batch["html"]):
+                folder = f"{base}/{page_id % 16}"
+                system.create_dir(folder, recursive=True)
+                with system.open_output_stream(f"{folder}/{page_id}.{'htm' if page_id % 3 else 'html'}", compression=None) as out:
+                    out.write(text.encode())
+            yield batch[["page_id"]]
+
+    return run
+
+
+@query("html_tree_items", f"SELECT page_id, {SQL_TITLE} AS title, md5({SQL_TEXT}) AS content, 'zh' AS origin FROM pages WHERE html IS NOT NULL")
+def html_tree_items(spark, sf):
+    """Pages written as single files in folders, read back as items."""
+    path = work_path(spark, "tree")
+    shown = pages(spark, sf).select("page_id", "html").filter("html is not null")
+    shown.mapInPandas(_page_writer(path), "page_id long").write.json(f"{path}-names")
+    items = files.read_html_tree(spark, path)
+    page_id = F.regexp_extract("path", r"(\d+)\.html?$", 1).cast("long").alias("page_id")
+    return items.select(page_id, "title", F.md5("content").alias("content"), "origin")
+
+
 @query("queue_values", "SELECT o_custkey AS value FROM orders")
 def queue_values(spark, sf):
     path = work_path(spark, "queue")

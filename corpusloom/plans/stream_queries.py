@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import html, text as tx, urls
+from corpusloom.plans import crawl_queries as cq
 from corpusloom.plans import key_queries as kq
 from corpusloom.plans import page_queries as pq
 from corpusloom.plans.registry import SQL, query, table
 from corpusloom.session import work_path
+from corpusloom.sources import files
 from corpusloom.streaming import ingest, keyed, moves
 
 
@@ -86,6 +88,29 @@ def stream_ingest_by_rules(spark, sf):
     return plain.select("_id", "site_code")
 
 
+@query(
+    "stream_items_files",
+    "SELECT CAST(doc_id AS VARCHAR) AS code, md5(text) AS digest FROM documents",
+)
+def stream_items_files(spark, sf):
+    """A folder of JSON-lines files with bad lines, read as a stream of a few files per batch."""
+    good, bad = cq._lines(spark, sf)
+    path = work_path(spark, "json-items")
+    good.unionByName(bad).repartition(6).write.text(path)
+    items = ingest.stream_items(spark, path, cq.JSONL_ITEM, files_per_batch=4)
+    return run_to_files(items.select("code", F.md5("content").alias("digest")), "items")
+
+
+@query(
+    "stream_archive_files",
+    "SELECT CAST(doc_id AS VARCHAR) AS code, md5(text) AS digest, 'en' AS origin FROM documents",
+)
+def stream_archive_files(spark, sf):
+    """A folder of archives, read as a stream of a few archives per batch."""
+    rows = files.stream_jsonl_archives(spark, cq._archive_files(spark, sf), "en", cq.JSONL_ITEM, files_per_batch=3)
+    return run_to_files(files.good_rows(rows).select("code", F.md5("content").alias("digest"), "origin"), "archived")
+
+
 @query("stream_dedupe", f"SELECT DISTINCT {_FP} AS fingerprint FROM pages")
 def stream_dedupe(spark, sf):
     pages = stream_of(spark, sf, "pages")

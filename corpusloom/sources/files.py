@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from corpusloom.functions import text, urls
 from corpusloom.operators.extract import extract_items
 from corpusloom.schemas import INGEST
+from corpusloom.sources import archives
 
 CORRUPT = "_corrupt_record"
 LINES_PER_BATCH = 2000
@@ -66,17 +67,25 @@ def read_jsonl_archives(
 ) -> DataFrame:
     """Members ending in ``jsonl`` of all ``*.jsonl.tgz`` files of a folder.
 
-    An archive is one task's work, its lines leave the task in small batches.
+    An archive is one task's work; its members are streamed, so it may have any size.
     ``spread`` repartitions the lines when there are few large archives.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl.tgz").load(path)
-    return archive_rows(files, origin, schema, spread)
+    lines = archives.archive_lines(archives.archive_paths(spark, path)).select("line").filter(F.trim("line") != "")
+    return parse_lines(lines if spread is None else lines.repartition(spread), origin, schema)
+
+
+def stream_jsonl_archives(
+    spark: SparkSession, path: str, origin: str = "en", schema: T.StructType = INGEST, files_per_batch: int | None = None
+) -> DataFrame:
+    """The same for a folder that receives archives, as a stream."""
+    paths = archives.stream_archive_paths(spark, path, files_per_batch=files_per_batch)
+    return parse_lines(archives.archive_lines(paths).select("line").filter(F.trim("line") != ""), origin, schema)
 
 
 def archive_rows(
     files: DataFrame, origin: str = "en", schema: T.StructType = INGEST, spread: int | None = None
 ) -> DataFrame:
-    """The same for a table with one archive per row in ``content``."""
+    """The same for a table with one archive of at most 2 GB per row in ``content``."""
     lines = files.select("content").mapInPandas(_archive_lines, "line string").filter(F.trim("line") != "")
     return parse_lines(lines if spread is None else lines.repartition(spread), origin, schema)
 

@@ -482,6 +482,31 @@ def test_json_lines_and_archives(spark, tmp_path):
     assert rows(files.good_rows(packed), "title", "origin") == [(f"t{i}", "en") for i in range(5)]
 
 
+def test_archives_as_a_stream(spark, tmp_path):
+    """Archives that arrive later are read once; members of many lines pass in pieces; an empty folder gives no rows."""
+    def put(name, lines):
+        with tarfile.open(tmp_path / "in" / name, "w:gz") as archive:
+            data = "\n".join(lines).encode()
+            info = tarfile.TarInfo("x.jsonl")
+            info.size = len(data)
+            archive.addfile(info, io.BytesIO(data))
+
+    (tmp_path / "in").mkdir()
+    def drain():
+        rows = files.good_rows(files.stream_jsonl_archives(spark, str(tmp_path / "in"), files_per_batch=1)).select("title", "origin")
+        job = rows.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+        job.format("parquet").start(str(tmp_path / "out")).awaitTermination()
+        return spark.read.schema(rows.schema).parquet(str(tmp_path / "out"))
+
+    put("a b.jsonl.tgz", [f'{{"title": "é{i}"}}' for i in range(4500)])
+    assert drain().count() == 4500
+    put("b.jsonl.tgz", ['{"title": "late"}', "", "broken"])
+    put("empty.jsonl.tgz", [])
+    got = drain()
+    assert got.count() == 4501 and {r.origin for r in got.collect()} == {"en"}
+    assert got.filter("title in ('late', 'é4499')").count() == 2
+
+
 def test_html_tree_pipe_text_and_queue(spark, tmp_path):
     deep = tmp_path / "tree" / "a" / "b"
     deep.mkdir(parents=True)
