@@ -362,7 +362,7 @@ def test_derived_records_and_files(spark, tmp_path):
     warc.write_warc(made, str(tmp_path / "derived"))
     read = warc.read_warc(spark, str(tmp_path / "derived")).collect()
     assert len(read) == 8 and all(r.whole for r in read)
-    assert {(r.headers["warc-record-id"], r.headers["warc-refers-to"], r.block) for r in read} == {(r.record_id, r.refers_to, r.block) for r in got}
+    assert {(r.headers["warc-record-id"], r.headers["warc-refers-to"], bytes(r.block).decode()) for r in read} == {(r.record_id, r.refers_to, r.block) for r in got}
     warc.write_warc(warc.response_records(responses), str(tmp_path / "responses"))
     back = warc.responses_of_records(warc.read_warc(spark, str(tmp_path / "responses")))
     assert sorted((r.record_id, r.payload, r.block_digest) for r in back.collect()) == sorted((r.record_id, r.payload, r.block_digest) for r in responses.collect())
@@ -386,14 +386,70 @@ def test_archives_of_other_writers(spark, tmp_path):
     records = warc.read_warc(spark, str(tmp_path / "in.warc"))
     seen = {r.headers["warc-record-id"]: r for r in records.collect() if "warc-record-id" in r.headers}
     assert set(seen) == {f"<urn:uuid:{i}>" for i in "012m345"}
-    assert [i for i, r in seen.items() if not r.whole] == ["<urn:uuid:4>"] and seen["<urn:uuid:m>"].block == ""
+    assert all(r.whole for r in seen.values()) and bytes(seen["<urn:uuid:m>"].block) == b""
+    assert bytes(seen["<urn:uuid:4>"].block).endswith(b"\r\n\r\nWARC/1.0\r\nnot a record")
     assert [f.value for f in seen["<urn:uuid:2>"].fields if f.name == "WARC-Concurrent-To"] == ["<urn:uuid:x>", "<urn:uuid:y>"]
     responses = warc.responses_of_records(records)
     by = {r.record_id[-2]: r for r in responses.collect()}
     assert sorted(by) == list("12345")
-    assert (by["1"].payload_digest, by["1"].block_digest, by["4"].block_digest) == ("sha256:abc", "md5:def", None)
+    assert (by["1"].payload_digest, by["1"].block_digest) == ("sha256:abc", "md5:def")
     assert by["3"].payload.endswith("\r\n\r\n") and by["2"].payload_digest.startswith("sha1:")
     made = {r.refers_to[-2]: r for r in warc.derive(responses).collect() if r.record_type == "metadata"}
     assert "source-payload-digest: sha256:abc\r\n" in made["1"].block and "source-warc-header: WARC-IP-Address: 192.0.2.7\r\n" in made["1"].block
-    assert "source-truncated: unspecified\r\n" in made["4"].block and "source-truncated" not in made["5"].block
+    assert "source-truncated" not in made["4"].block
     assert made["2"].block.count("source-warc-header: WARC-Concurrent-To: ") == 2
+
+
+def test_gzip_members_charsets_and_wrong_lengths(spark, tmp_path):
+    """Bytes go through unchanged: digests fit, payloads are decoded by their own charset, cut records are kept."""
+    import base64
+    import gzip
+
+    def record(i, block, length=None, kind="response"):
+        heads = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{i}>", "WARC-Target-URI: http://a.example/", f"Content-Length: {len(block) if length is None else length}"]
+        return "\r\n".join(["WARC/1.0", *heads]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    def http(body, *heads):
+        return "\r\n".join(["HTTP/1.1 200 OK", *heads]).encode("latin-1") + b"\r\n\r\n" + body
+
+    text = "<title>Größe</title>\r\n\r\nWARC/1.0 naïve"
+    meta = '<meta http-equiv="Content-Type" content="text/html; charset=koi8-r"><title>Привет</title>'
+    chunked = b"5\r\nabcde\r\n3;x=y\r\nfgh\r\n0\r\n\r\n"
+    blocks = {
+        1: http(text.encode("latin-1"), "Content-Type: text/html; charset=ISO-8859-1"),
+        2: http(meta.encode("koi8-r"), "Content-Type: text/html"),
+        3: http(gzip.compress(text.encode()), "Content-Encoding: gzip", "Content-Type: text/html"),
+        4: http(chunked, "Transfer-Encoding: chunked"),
+        5: http(b"\x89PNG\x00\xff", "Content-Type: image/png"),
+        6: http("日本".encode("utf-16"), "Content-Type: text/plain; charset=no-such"),
+        7: http(b"", "Content-Type: text/html; charset=zlib"),
+    }
+    want = {1: text, 2: meta, 3: text, 4: "abcdefgh", 5: "", 6: "日本", 7: ""}
+    (tmp_path / "in").mkdir()
+    members = b"".join(gzip.compress(record(i, b)) for i, b in blocks.items())
+    (tmp_path / "in" / "a.warc.gz").write_bytes(members)
+    got = {r.record_id: r for r in warc.responses_of_records(warc.read_warc(spark, str(tmp_path / "in"))).collect()}
+    assert len(got) == len(blocks)
+    for i, block in blocks.items():
+        row = got[f"<urn:uuid:{i}>"]
+        assert row.payload == want[i] and row.whole
+        assert row.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+        assert row.payload_digest == "sha1:" + base64.b32encode(hashlib.sha1(block.partition(b"\r\n\r\n")[2]).digest()).decode()
+    assert got["<urn:uuid:1>"].charset == "cp1252" and got["<urn:uuid:5>"].charset is None
+    made = warc.derive(warc.responses_of_records(warc.read_warc(spark, str(tmp_path / "in")))).collect()
+    assert any("title: Größe\r\n" in r.block for r in made) and any("title: Привет\r\n" in r.block for r in made)
+
+    # a length too long, too short, missing, and a file that ends inside a member; the records beside them stay whole
+    odd = [record(1, b"aa"), record(2, b"bbbb", length=9), record(3, b"cccc\r\ncc", length=2), record(4, b"dd", length="x"), record(5, b"ee"), record(6, b"f" * 90_000)]
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "b.warc").write_bytes(b"".join(odd))
+    for name, data in (("b.warc", b"".join(odd)), ("c.warc.gz", b"".join(map(gzip.compress, odd)))):
+        (tmp_path / "odd" / name).write_bytes(data[:-20] if name == "c.warc.gz" else data[:-100])
+        rows = warc.read_warc(spark, str(tmp_path / "odd" / name)).collect()
+        found = {r.headers["warc-record-id"][-2]: (bytes(r.block), r.whole) for r in rows}
+        assert len(rows) == 6
+        assert [found[i] for i in "12345"] == [(b"aa", True), (b"bbbb", False), (b"cccc\r\ncc", False), (b"dd", False), (b"ee", True)]
+        assert found["6"][0] == b"f" * len(found["6"][0]) and (not found["6"][1] or name == "c.warc.gz")
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.warc").write_bytes(b"")
+    assert warc.responses_of_records(warc.read_warc(spark, str(tmp_path / "none"))).count() == 0
