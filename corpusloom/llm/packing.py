@@ -406,13 +406,31 @@ def in_file_order(docs: DataFrame, name: str = "_position") -> DataFrame:
         return docs.withColumn(name, F.shiftright(row, 33) * F.lit(FILE_ROWS) + row % (1 << 33))
 
 
+def _narrowed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of a piece in two bytes each if all of them fit; ``length`` tells which it is."""
+    for batch in batches:
+        wide = [np.frombuffer(v, "<u4") for v in batch.column("ids").to_pylist()]
+        ids = [(v.astype("<u2") if not len(v) or v.max() < 1 << 16 else v).tobytes() for v in wide]
+        yield batch.set_column(batch.schema.get_field_index("ids"), "ids", pa.array(ids, pa.binary()))
+
+
+def _widened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist())
+        ids = [v if len(v) == 4 * n else np.frombuffer(v, "<u2").astype("<u4").tobytes() for v, n in pairs]
+        yield batch.set_column(batch.schema.get_field_index("ids"), "ids", pa.array(ids, pa.binary()))
+
+
 def pack_in_order(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pack`` for pieces with ``position``, sequences in the order of their content.
 
+    Ids that fit travel in two bytes through the shuffles, and come out as ``pieces`` gave them.
+
     ``sequence_time`` is the mean position of a sequence's ids; rows come in ranges of it,
     sorted by it, the sequence and the offset, so a reader that goes through the files trains in the order of positions.
     """
-    kept = store(cut.withColumn("id", F.monotonically_increasing_id()), "pieces")
+    narrow = cut.mapInArrow(_narrowed, cut.schema)
+    kept = store(narrow.withColumn("id", F.monotonically_increasing_id()), "pieces")
     found = best_fit(kept.select("id", "length"), capacity)
     placed = store(found.join(kept.select("id", "position", "length"), "id"), "placed")
     # whole numbers, so that reruns agree: positions stay below 2^51 (2^19 files), a sequence below 2^12 ids
@@ -421,7 +439,8 @@ def pack_in_order(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     timed = placed.select("id", "sequence_id", F.col("offset").cast("long").alias("offset")).join(times, "sequence_id")
     parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["sequence_time", "sequence_id", "offset"]
-    return kept.join(timed, "id").drop("id").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    sorted_rows = kept.join(timed, "id").drop("id").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return sorted_rows.mapInArrow(_widened, sorted_rows.schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

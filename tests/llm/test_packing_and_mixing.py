@@ -102,6 +102,12 @@ def test_sequences_follow_the_written_order(spark, tmp_path):
         assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
         mean = sum(r.position * r.length for r in own) / sum(r.length for r in own)
         assert abs(mean - own[0].sequence_time) <= 1e-9 * mean
+    want = {(r.doc_id, r.piece): bytes(r.ids) for r in packing.pieces(docs, PATH, capacity=2048).collect()}
+    assert {(r.doc_id, r.piece): bytes(r.ids) for r in got} == want
+    ids = {1: [1, 65_535], 2: [65_536, 3], 3: [2**32 - 1], 4: [0]}
+    raw = [(d, d, 0, 0, len(v), bytearray(b"".join(i.to_bytes(4, "little") for i in v))) for d, v in ids.items()]
+    cut = spark.createDataFrame(raw, "doc_id long, position long, piece int, start long, length long, ids binary")
+    assert {r.doc_id: bytearray(r.ids) for r in packing.pack_in_order(cut).collect()} == {r[0]: r[5] for r in raw}
     unordered = packing.in_file_order(spark.range(10).union(spark.range(10)))
     assert [r["_position"] for r in unordered.collect()] == sorted(r["_position"] for r in unordered.collect())
     assert packing.pack_in_order(packing.pieces(docs.limit(0), PATH, order="_position")).count() == 0
