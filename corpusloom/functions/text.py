@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import re
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ STOP_WORDS = (
 ).split()
 
 CJK = "一-龥"
+ROWS_OUT = 20_000  # terms that a task holds as Python values before they leave as one Arrow batch
+
 # Letters and digits of Latin, Greek and Cyrillic; a run of them is one term.
 WORD = "0-9a-zA-ZÀ-ÖØ-öø-ɏͰ-ϿЀ-ӿ"
 
@@ -77,6 +80,86 @@ def positioned_terms(text: Column, stop_words: Iterable[str] = STOP_WORDS, dicti
     return locate(text)
 
 
+def _located(
+    fields: Sequence[str], stop_words: Iterable[str], dictionary: Iterable[str], batches: Iterable[pa.RecordBatch]
+) -> Iterator[tuple[pa.RecordBatch, int, str, Iterator[tuple[str, int, int, int]]]]:
+    """Batch, row, field and a lazy (term, pos, start, end) of every text; one text at a time is a Python value."""
+    find, stop = re.compile(token_pattern(dictionary)).finditer, frozenset(stop_words)
+    for batch in batches:
+        for row in range(batch.num_rows):
+            for field in fields:
+                text = (batch.column(field)[row].as_py() or "").lower()
+                yield batch, row, field, ((m.group(), i, *m.span()) for i, m in enumerate(find(text)) if m.group() not in stop)
+
+
+def located_terms(fields: Sequence[str], stop_words: Iterable[str] = STOP_WORDS, dictionary: Iterable[str] = ()) -> Callable:
+    """For ``mapInArrow`` of (_id, *fields): rows (_id, field, term, pos, start, end), as ``positioned_terms`` has them.
+
+    At most ``ROWS_OUT`` rows are held, however many texts a batch has and however long they are.
+    """
+    fields, stop_words, dictionary = tuple(fields), tuple(stop_words), tuple(dictionary)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = batch.column("_id").take(pa.array(rows, pa.int64()))
+            columns = [pa.array(values, kind) for values, kind in zip(zip(*found), (pa.string(), pa.int32(), pa.int32(), pa.int32()))]
+            return pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), *columns], names=["_id", "field", "term", "pos", "start", "end"])
+
+        rows, names, found, last = [], [], [], None
+        for batch, row, field, places in _located(fields, stop_words, dictionary, batches):
+            if batch is not last and found:
+                yield made(last)
+                rows, names, found = [], [], []
+            last = batch
+            for place in places:
+                rows.append(row)
+                names.append(field)
+                found.append(place)
+                if len(found) >= ROWS_OUT:
+                    yield made(batch)
+                    rows, names, found = [], [], []
+        if found:
+            yield made(last)
+
+    return run
+
+
+def grouped_terms(fields: Sequence[str], stop_words: Iterable[str] = STOP_WORDS, dictionary: Iterable[str] = ()) -> Callable:
+    """The same with one row per text and term: (_id, field, term, places<pos, start, end>), places in order.
+
+    Held are the places of one text and at most ``ROWS_OUT`` more.
+    """
+    fields, stop_words, dictionary = tuple(fields), tuple(stop_words), tuple(dictionary)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = batch.column("_id").take(pa.array(rows, pa.int64()))
+            parts = [pa.array(values, pa.int32()) for values in zip(*places)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, names=["pos", "start", "end"]))
+            columns = [ids, pa.array(names, pa.string()), pa.array(words, pa.string()), lists]
+            return pa.RecordBatch.from_arrays(columns, names=["_id", "field", "term", "places"])
+
+        rows, names, words, places, ends, last = [], [], [], [], [0], None
+        for batch, row, field, found in _located(fields, stop_words, dictionary, batches):
+            if words and (batch is not last or len(places) >= ROWS_OUT):
+                yield made(last)
+                rows, names, words, places, ends = [], [], [], [], [0]
+            last = batch
+            by_term: dict[str, list[tuple[int, int, int]]] = {}
+            for term, *place in found:
+                by_term.setdefault(term, []).append(place)
+            for term, at in by_term.items():
+                rows.append(row)
+                names.append(field)
+                words.append(term)
+                places.extend(at)
+                ends.append(len(places))
+        if words:
+            yield made(last)
+
+    return run
+
+
 def terms_at(text: Column, starts: Column) -> Column:
     """Terms of a text in order, dictionary words at the places ``array<struct<at, n>>``, from 0, where they start."""
     other = re.compile(f"[{WORD}]+|[{CJK}]")

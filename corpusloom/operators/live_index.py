@@ -15,15 +15,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
-from corpusloom.operators.search import Index, analyze
+from corpusloom.operators.search import Index, term_places
 
 _POSTING = "_id, field, term, tf, length, places"
 TIER = 2
+TEXTS_AT_ONCE = 64  # texts whose places a task holds as Python values
 _MANIFEST = "part string, place int, size bigint"
 
 
@@ -32,6 +34,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def last_version(spark: SparkSession, path: str) -> int:
     """The number of the last complete version, 0 if there is none."""
     if not _exists(spark, f"{path}/manifest"):
@@ -136,14 +143,15 @@ def change(
         write(spark.createDataFrame([], schema), "postings")
         write(spark.createDataFrame([], f"_id {kind}, field string, length bigint"), "lengths")
     else:
-        terms = analyze(docs, id_col, fields, stop_words).withColumnRenamed(id_col, "_id")
-        places = F.array_sort(F.collect_list(F.struct("pos", "start", "end")))
-        counted = terms.groupBy("_id", "field", "term").agg(F.count(F.lit(1)).alias("tf"), places.alias("places"))
+        # analyzed once: lengths, the ranges of the postings and the postings are made from the stored rows
+        write(term_places(docs, id_col, fields, stop_words), "terms")
+        counted = spark.read.parquet(f"{path}/{part}/terms")
         each = F.explode(F.array(*[F.lit(f) for f in fields])).alias("field")
         sums = counted.groupBy("_id", "field").agg(F.sum("tf").alias("length"))
         lengths = docs.select(F.col(id_col).alias("_id"), each).join(sums, ["_id", "field"], "left")
         write(lengths.select("_id", "field", F.coalesce("length", F.lit(0)).cast("long").alias("length")), "lengths")
         _write_postings(counted.join(spark.read.parquet(f"{path}/{part}/lengths"), ["_id", "field"]), f"{path}/{part}/postings")
+        _remove(spark, f"{path}/{part}/terms")
     freq, stats = _changes(*[spark.read.parquet(f"{path}/{part}/{n}") for n in ("postings", "lengths")], 1)
     if before:
         old = [_live(spark, path, [name for name, _ in before], kind).join(gone, "_id", "left_semi") for kind in ("postings", "lengths")]
@@ -194,8 +202,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     old += [f"part-{v}" for v in range(1, last + 1) if _exists(spark, f"{path}/part-{v}-merged") and f"part-{v}" not in old]
     numbers = [r["version"] for r in rows.select("version").distinct().collect() if r["version"] <= last - keep]
     for name in [*[f"manifest/version={v}" for v in numbers], *old]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _remove(spark, f"{path}/{name}")
     return sorted(old)
 
 
@@ -229,7 +236,7 @@ def snippets(postings: DataFrame, docs: DataFrame, query: str, field: str, width
     rows = postings.filter((F.col("field") == field) & F.col("term").isin(wanted))
     flat = F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.col("term").alias("term")))))
     placed = rows.groupBy("_id").agg(F.array_sort(flat).alias("_p"))
-    best = placed.mapInPandas(_covers(width), f"_id {postings.schema['_id'].dataType.simpleString()}, start bigint, terms int, spans array<struct<start:int,end:int>>")
+    best = placed.mapInArrow(_covers(width), f"_id {postings.schema['_id'].dataType.simpleString()}, start bigint, terms int, spans array<struct<start:int,end:int>>")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(field).alias("_text"))
     found = best.join(texts, "_id")
 
@@ -267,11 +274,13 @@ def _covers(width: int):
         # a single term longer than the piece is marked all the same
         return start, -top[0], inside or [{"start": p["start"], "end": p["end"]} for p in places if p["start"] == start]
 
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            found = [best(list(p)) for p in frame["_p"]]
-            yield pd.DataFrame({"_id": frame["_id"], "start": [f[0] for f in found], "terms": [f[1] for f in found], "spans": [f[2] for f in found]})
+    def run(batches):
+        spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                rows = batch.slice(at, TEXTS_AT_ONCE)
+                found = [best(places) for places in rows.column("_p").to_pylist()]
+                columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int32(), spans))]
+                yield pa.RecordBatch.from_arrays([rows.column("_id"), *columns], names=["_id", "start", "terms", "spans"])
 
     return run

@@ -31,18 +31,22 @@ def analyze(
     docs: DataFrame, id_col: str, fields: Sequence[str], stop_words=tx.STOP_WORDS, dictionary: Sequence[str] = ()
 ) -> DataFrame:
     """Term vectors: ``(id, field, term, pos, start, end)``."""
-    parts = [
-        docs.select(
-            F.col(id_col),
-            F.lit(field).alias("field"),
-            F.explode(tx.positioned_terms(F.col(field), stop_words, dictionary)).alias("_t"),
-        )
-        for field in fields
-    ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows.select(id_col, "field", "_t.term", "_t.pos", "_t.start", "_t.end")
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = docs.select(F.col(id_col).alias("_id"), *fields).mapInArrow(
+        tx.located_terms(fields, stop_words, dictionary), f"_id {kind}, field string, term string, pos int, start int, end int"
+    )
+    return found.withColumnRenamed("_id", id_col)
+
+
+def term_places(docs: DataFrame, id_col: str, fields: Sequence[str], stop_words=tx.STOP_WORDS) -> DataFrame:
+    """``(_id, field, term, tf, places<pos, start, end>)`` with the places in order; rows of one id count as one text."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    places = "array<struct<pos:int,start:int,end:int>>"
+    found = docs.select(F.col(id_col).alias("_id"), *fields).mapInArrow(
+        tx.grouped_terms(fields, stop_words), f"_id {kind}, field string, term string, places {places}"
+    )
+    merged = F.array_sort(F.flatten(F.collect_list("places")))
+    return found.groupBy("_id", "field", "term").agg(F.sum(F.size("places")).alias("tf"), merged.alias("places"))
 
 
 def field_terms(docs: DataFrame, id_col: str, fields: Sequence[str], stop_words=tx.STOP_WORDS, dictionary=()) -> DataFrame:

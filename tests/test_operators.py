@@ -645,3 +645,22 @@ def test_live_index_changes_and_phrases(spark, tmp_path):
     index = live_index.read_index(spark, path)
     assert found("attack heart") == [] and {r.term: r.df for r in index.freq.collect()} == {"lung": 1}
     assert [(r.n_docs, r.avg_length) for r in index.stats.collect()] == [(2, 0.5)]
+
+
+def test_analysis_holds_few_terms(spark, tmp_path, monkeypatch):
+    """Terms leave a task in small batches, in the middle of a text too; rows of one id count as one text."""
+    import pyarrow as pa
+
+    from corpusloom.functions import text as tx
+
+    monkeypatch.setattr(tx, "ROWS_OUT", 10)
+    batch = pa.RecordBatch.from_pydict({"_id": [1, 2, None, 4], "text": ["w " * 25, None, "x y", "Heart of heart"]})
+    sizes = [b.num_rows for b in tx.located_terms(["text"])([batch])]
+    assert max(sizes) <= 10 and sum(sizes) == 29
+    grouped = [r for b in tx.grouped_terms(["text"])([batch, batch]) for r in b.to_pylist()]
+    assert [(r["_id"], r["term"], len(r["places"])) for r in grouped[:4]] == [(1, "w", 25), (None, "x", 1), (None, "y", 1), (4, "heart", 2)]
+    assert grouped[3]["places"] == [{"pos": 0, "start": 0, "end": 5}, {"pos": 2, "start": 9, "end": 14}] and len(grouped) == 8
+    docs = spark.createDataFrame([("a", "b c b", "t"), ("a", "c", None), (None, "c", "c")], "_id string, text string, title string")
+    places = {(r._id, r.field, r.term): (r.tf, [tuple(p) for p in r.places]) for r in search.term_places(docs, "_id", ["text", "title"]).collect()}
+    assert places["a", "text", "c"] == (2, [(0, 0, 1), (1, 2, 3)]) and places["a", "text", "b"] == (2, [(0, 0, 1), (2, 4, 5)])
+    assert set(places) == {("a", "text", "b"), ("a", "text", "c"), ("a", "title", "t"), (None, "text", "c"), (None, "title", "c")}
