@@ -664,3 +664,12 @@ def test_analysis_holds_few_terms(spark, tmp_path, monkeypatch):
     places = {(r._id, r.field, r.term): (r.tf, [tuple(p) for p in r.places]) for r in search.term_places(docs, "_id", ["text", "title"]).collect()}
     assert places["a", "text", "c"] == (2, [(0, 0, 1), (1, 2, 3)]) and places["a", "text", "b"] == (2, [(0, 0, 1), (2, 4, 5)])
     assert set(places) == {("a", "text", "b"), ("a", "text", "c"), ("a", "title", "t"), (None, "text", "c"), (None, "title", "c")}
+
+
+def test_glob_keys_of_long_numbers(spark, tmp_path):
+    """A sign other than zero before the last four: the glob's star takes it, the SQL does not."""
+    from corpusloom.plans import QUERIES
+
+    names = ["Customer#000001007", "Customer#000011007", "Customer#000101007", "customer#01007", "Customer#001a1007", "Customer#1007", None]
+    sf = _written(spark, tmp_path, customer=spark.createDataFrame([(n, "x") for n in [*names, names[0]]], "c_name string, c_mktsegment string"))
+    assert sorted(r.key for r in QUERIES["glob_keys"](spark, sf).collect()) == ["Customer#000001007", "customer#01007"]
