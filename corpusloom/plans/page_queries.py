@@ -167,7 +167,8 @@ def allowed_domains(spark, sf):
 
 @query("same_site_links", f"SELECT url, link FROM {SQL_LINKS}")
 def same_site_links(spark, sf):
-    return extract.same_site_links(pages(spark, sf)).select("url", "link")
+    """Links of every url; of several pages with one url each link counts once."""
+    return extract.same_site_links(pages(spark, sf)).select("url", "link").distinct()
 
 
 @query(

@@ -673,3 +673,13 @@ def test_glob_keys_of_long_numbers(spark, tmp_path):
     names = ["Customer#000001007", "Customer#000011007", "Customer#000101007", "customer#01007", "Customer#001a1007", "Customer#1007", None]
     sf = _written(spark, tmp_path, customer=spark.createDataFrame([(n, "x") for n in [*names, names[0]]], "c_name string, c_mktsegment string"))
     assert sorted(r.key for r in QUERIES["glob_keys"](spark, sf).collect()) == ["Customer#000001007", "customer#01007"]
+
+
+def test_links_of_pages_with_one_url(spark, tmp_path):
+    from corpusloom.plans import QUERIES
+
+    page = lambda *hrefs: "".join(f'<a href="{h}">x</a>' for h in hrefs)
+    data = [(1, "http://a.example/p", page("/x", "/y")), (2, "http://a.example/p", page("/y", "/z")), (3, "http://a.example/q", page("/y"))]
+    sf = _written(spark, tmp_path, pages=spark.createDataFrame(data, "page_id long, url string, html string"))
+    found = sorted((r.url[-1], r.link[-1]) for r in QUERIES["same_site_links"](spark, sf).collect())
+    assert found == [("p", "x"), ("p", "y"), ("p", "z"), ("q", "y")]
