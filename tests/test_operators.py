@@ -683,3 +683,21 @@ def test_links_of_pages_with_one_url(spark, tmp_path):
     sf = _written(spark, tmp_path, pages=spark.createDataFrame(data, "page_id long, url string, html string"))
     found = sorted((r.url[-1], r.link[-1]) for r in QUERIES["same_site_links"](spark, sf).collect())
     assert found == [("p", "x"), ("p", "y"), ("p", "z"), ("q", "y")]
+
+
+def test_radius_join_shares_pairs(spark, monkeypatch):
+    """Two small tables with many pairs are many tasks' work, also if all rows lie in one place."""
+    from corpusloom.operators import joins
+
+    monkeypatch.setattr(joins, "PAIRS", 1000)
+    near = [(i, 5.0 + i * 1e-5, 50.0) for i in range(200)]
+    points = spark.createDataFrame([*near, (200, None, None)], "member int, lon double, lat double")
+    centers = spark.createDataFrame([(f"c{i % 40}", 5.0, 50.0 + i * 1e-5) for i in range(60)], "center string, lon double, lat double")
+    found = geo.geo_radius(points, centers, 50_000.0)
+    sizes = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in sizes) == 200 * 60 and len(sizes) >= 4 and max(r["count"] for r in sizes) <= 6000
+    large, small = spark.range(3).select("id", F.lit(1).alias("k")), spark.range(5000).select(F.lit(1).alias("k"), F.col("id").alias("s"))
+    pairs = joins.pair_join(large, small, ["k"], ["id"], ["s"])
+    assert pairs.count() == pairs.distinct().count() == 15000
+    nearest = geo.geo_radius(points, centers, 50_000.0, count=3, order="asc").collect()
+    assert [(r.center, r.member) for r in nearest[:3]] == [("c0", 0), ("c0", 1), ("c0", 2)] and len(nearest) == 120
