@@ -149,14 +149,14 @@ def _hold_pre(shown: Column) -> Column:
 
 
 def _text(shown: Column) -> Column:
-    shown = _hold_pre(shown)
+    shown = let(shown, _hold_pre)
     for pattern, new in _LAYOUT:
         shown = F.regexp_replace(shown, pattern, new)
     for sign, marks in _HEADINGS.items():
         shown = F.replace(shown, F.lit(sign), F.lit(marks))
-    text = F.regexp_replace(unescape(shown), r"\n(?:[ \t]*+\n)++", "\n\n")
-    text = F.btrim(text, F.lit(" \n"))
-    return F.when(text.contains(_PRE_SIGNS[0]) | text.contains(_PRE_SIGNS[2]) | text.contains(_PRE_SIGNS[1]), F.translate(text, _PRE_SIGNS, _PRE_SPACE)).otherwise(text)
+    text = F.btrim(F.regexp_replace(unescape(shown), r"\n(?:[ \t]*+\n)++", "\n\n"), F.lit(" \n"))
+    # bound, as each mention of the text inside an expression would run all rules anew
+    return let(text, lambda t: F.when(t.contains(_PRE_SIGNS[0]) | t.contains(_PRE_SIGNS[2]) | t.contains(_PRE_SIGNS[1]), F.translate(t, _PRE_SIGNS, _PRE_SPACE)).otherwise(t))
 
 
 def html_to_text(html: Column) -> Column:

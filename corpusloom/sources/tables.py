@@ -5,8 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+PIECES = 4  # per core, so that a few long texts in one of them hold up little
+
 
 def create_index(spark: SparkSession, name: str, schema: T.StructType, path: str) -> None:
     """Declare an empty typed table at a path."""
@@ -43,9 +46,16 @@ def scan_all(spark: SparkSession, name: str, clause: Column | None = None) -> Da
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A stored table over all cores, even if it lies in fewer pieces.
+    """A stored table over all cores, even if its rows lie in fewer pieces.
 
-    Only a table of fewer pieces than cores is shuffled; a large one stays as it is.
+    A file of few row groups is cut into as many pieces as its size asks for, but only those with the start of a group
+    have rows; so pieces count by their rows, which the files' footers tell.  A table whose largest piece is more than
+    twice a core's share is shuffled; a large one in many pieces stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if df.rdd.getNumPartitions() >= cores:
+        sizes = df.groupBy(F.spark_partition_id().alias("piece")).agg(F.count(F.lit(1)).alias("n"))
+        most, total = sizes.agg(F.max("n"), F.sum("n")).first()
+        if (most or 0) * cores <= 2 * (total or 0):
+            return df
+    return df.repartition(PIECES * cores)

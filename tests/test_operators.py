@@ -701,3 +701,30 @@ def test_radius_join_shares_pairs(spark, monkeypatch):
     assert pairs.count() == pairs.distinct().count() == 15000
     nearest = geo.geo_radius(points, centers, 50_000.0, count=3, order="asc").collect()
     assert [(r.center, r.member) for r in nearest[:3]] == [("c0", 0), ("c0", 1), ("c0", 2)] and len(nearest) == 120
+
+
+def test_page_rules_run_once(spark):
+    """Inside an expression every mention of a value is another evaluation, so the text's last rule is there once."""
+    from corpusloom.functions import html
+
+    frame = spark.createDataFrame([("<body><pre>a\n\tb</pre><p>c</body>",), ("<p>x</p>",), (None,)], "html string")
+    item = frame.select(html.item(F.col("html")).alias("i"))
+    plan = item._jdf.queryExecution().analyzed().toString()
+    assert plan.count(r"\n(?:[ \t]*+\n)++") == 1 and plan.count("<blockquote") == 1
+    assert [r[0] and r[0].content for r in item.collect()] == ["a\n\tb\n\nc", "x", None]
+
+
+def test_spread_of_one_row_group(spark, tmp_path):
+    """A file of one row group in many pieces has all rows in one of them."""
+    from corpusloom.sources import tables
+
+    spark.range(20000).selectExpr("id", "sha2(string(id), 256) as text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        stored = spark.read.parquet(str(tmp_path / "t"))
+        assert stored.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        sizes = [r["count"] for r in tables.spread(stored).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(sizes) == 20000 and max(sizes) <= 5000
