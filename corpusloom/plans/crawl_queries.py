@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +17,8 @@ from corpusloom.plans.registry import query, quoted, table
 from corpusloom.session import work_path
 from corpusloom.sources import archives, files
 
+LINES_PER_ARCHIVE = 1000  # lines that a packing task holds as Python values
+
 # Sites are first seen in the order of their lowest page; half of the pages by time are known already.
 _FP = sql_fingerprint("url")
 
@@ -313,16 +315,18 @@ def jsonl_bad_lines(spark, sf):
 
 
 def _pack(batches):
-    """Each Arrow batch of lines becomes one archive with two members, one of another kind."""
+    """Some lines of an Arrow batch at a time become one archive with two members, one of another kind."""
     for batch in batches:
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w:gz") as archive:
-            for name, body in (("a/part.jsonl", "\n".join(batch["value"])), ("a/notes.txt", "no line")):
-                data = body.encode()
-                info = tarfile.TarInfo(name)
-                info.size = len(data)
-                archive.addfile(info, io.BytesIO(data))
-        yield pd.DataFrame({"content": [out.getvalue()]})
+        for at in range(0, batch.num_rows, LINES_PER_ARCHIVE):
+            lines = batch.column("value").slice(at, LINES_PER_ARCHIVE).to_pylist()
+            out = io.BytesIO()
+            with tarfile.open(fileobj=out, mode="w:gz") as archive:
+                for name, body in (("a/part.jsonl", "\n".join(lines)), ("a/notes.txt", "no line")):
+                    data = body.encode()
+                    info = tarfile.TarInfo(name)
+                    info.size = len(data)
+                    archive.addfile(info, io.BytesIO(data))
+            yield pa.RecordBatch.from_pydict({"content": pa.array([out.getvalue()], pa.binary())})
 
 
 @query(
@@ -332,13 +336,13 @@ def _pack(batches):
 def archive_rows(spark, sf):
     """Documents packed into archives by the tasks, and read back."""
     good, bad = _lines(spark, sf)
-    archives = good.unionByName(bad).mapInPandas(_pack, "content binary")
+    archives = good.unionByName(bad).mapInArrow(_pack, "content binary")
     rows = files.good_rows(files.archive_rows(archives, "en", JSONL_ITEM))
     return rows.select("code", F.md5("content").alias("digest"), "origin")
 
 
 def _tgz_writer(path: str):
-    """Each Arrow batch of lines becomes one archive file, named by its place, so a repeated task writes the same."""
+    """Each archive of ``_pack`` becomes a file, named by its place, so a repeated task writes the same."""
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -347,8 +351,8 @@ def _tgz_writer(path: str):
             system.create_dir(base, recursive=True)
             name = f"part-{part}-{number}.jsonl.tgz"
             with system.open_output_stream(f"{base}/{name}", compression=None) as out:
-                out.write(packed["content"][0])
-            yield pd.DataFrame({"name": [name]})
+                out.write(packed.column("content")[0].as_py())
+            yield pa.RecordBatch.from_pydict({"name": [name]})
 
     return run
 
@@ -357,7 +361,7 @@ def _archive_files(spark, sf) -> str:
     """Documents and bad lines in archive files, and a file of another kind beside them."""
     good, bad = _lines(spark, sf)
     path = work_path(spark, "archives")
-    good.unionByName(bad).mapInPandas(_tgz_writer(path), "name string").write.json(f"{path}-names")
+    good.unionByName(bad).mapInArrow(_tgz_writer(path), "name string").write.json(f"{path}-names")
     bad.write.mode("append").text(path)
     return path
 

@@ -728,3 +728,21 @@ def test_spread_of_one_row_group(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sum(sizes) == 20000 and max(sizes) <= 5000
+
+
+def test_archives_of_some_lines(spark):
+    """A batch of many lines becomes several archives, so that a packing task holds few lines."""
+    import io
+    import tarfile
+
+    import pyarrow as pa
+
+    from corpusloom.plans import crawl_queries
+
+    made = list(crawl_queries._pack([pa.RecordBatch.from_pydict({"value": [f"line {i}" for i in range(2500)]})]))
+    assert len(made) == 3
+    read = []
+    for batch in made:
+        with tarfile.open(fileobj=io.BytesIO(batch.column("content")[0].as_py()), mode="r:gz") as archive:
+            read += archive.extractfile("a/part.jsonl").read().decode().split("\n")
+    assert read == [f"line {i}" for i in range(2500)]
