@@ -26,7 +26,9 @@ def page_links(pages: DataFrame, url: str = "url", body: str = "html") -> DataFr
         urls.parts(F.col(url)), lambda base: F.transform(hrefs, lambda href: urls.resolve_parts(base, href))
     )
     found = pages.select(url, *kept, F.array_distinct(absolute).alias("_links"))
-    return found.select(F.col(url).alias("url"), *kept, F.explode("_links").alias("link"))
+    # a plain explode would have the optimizer ask below any shuffle whether there are links, which finds them all twice
+    rows = found.select(F.col(url).alias("url"), *kept, F.posexplode_outer("_links").alias("_at", "link"))
+    return rows.filter("_at is not null").drop("_at")
 
 
 def same_site_links(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:

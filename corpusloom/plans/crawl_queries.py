@@ -15,7 +15,7 @@ from corpusloom.operators import crawl, merge, sites
 from corpusloom.plans.page_queries import SQL_LINKS, SQL_SITE, SQL_TEXT, SQL_TITLE, pages, sql_fingerprint
 from corpusloom.plans.registry import query, quoted, table
 from corpusloom.session import work_path
-from corpusloom.sources import archives, files
+from corpusloom.sources import archives, files, tables
 
 LINES_PER_ARCHIVE = 1000  # lines that a packing task holds as Python values
 
@@ -273,7 +273,8 @@ def crawl_chain(spark, sf):
     targets = F.array(3 * n, 3 * n + 1, F.floor(n / 2), 7 * n + F.col("c_nationkey"), n - 1)
     links = F.array_join(F.transform(targets, lambda t: F.concat(F.lit('<a href="/c/'), t.cast("string"), F.lit('">x</a>'))), " ")
     page = F.concat(F.lit("<html><head><title>"), "c_name", F.lit("</title></head><body>"), links, F.lit("</body></html>"))
-    shop = table(spark, sf, "customer").select(F.concat(F.lit(_SHOP), n.cast("string")).alias("url"), page.alias("html"))
+    # links and fingerprints cost far more than reading: few pieces of the table would be few long tasks
+    shop = tables.spread(table(spark, sf, "customer")).select(F.concat(F.lit(_SHOP), n.cast("string")).alias("url"), page.alias("html"))
     items, seen = crawl.crawl(shop.filter(F.col("url") == _SHOP + "1").select("url"), shop)
     return seen.join(items.select("url", "title"), "url", "left").select("url", "depth", "title")
 

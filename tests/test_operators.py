@@ -746,3 +746,13 @@ def test_archives_of_some_lines(spark):
         with tarfile.open(fileobj=io.BytesIO(batch.column("content")[0].as_py()), mode="r:gz") as archive:
             read += archive.extractfile("a/part.jsonl").read().decode().split("\n")
     assert read == [f"line {i}" for i in range(2500)]
+
+
+def test_links_are_found_once(spark):
+    """No filter below asks for links before the rows that have them are made; a null link stays a row."""
+    from corpusloom.operators import extract
+
+    data = [("http://a.example/", '<a href="/x">1</a><a href="/x">2</a>'), (None, '<a href="/y">3</a>'), ("http://a.example/n", None), ("http://a.example/e", "")]
+    links = extract.page_links(spark.createDataFrame(data, "url string, html string").repartition(3))
+    assert "Filter ((size" not in links._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in links.collect()} == {(None, None), ("http://a.example/", "http://a.example/x")}
