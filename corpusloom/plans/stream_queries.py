@@ -11,7 +11,7 @@ from corpusloom.plans import key_queries as kq
 from corpusloom.plans import page_queries as pq
 from corpusloom.plans.registry import SQL, query, table
 from corpusloom.session import work_path
-from corpusloom.sources import files
+from corpusloom.sources import files, tables
 from corpusloom.streaming import ingest, keyed, moves
 
 
@@ -45,7 +45,8 @@ def run_updates(stream: DataFrame, name: str, mode: str = "update") -> DataFrame
 
 def _ingested(spark: SparkSession, sf: str, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     path = work_path(spark, "ingest")
-    pages = stream_of(spark, sf, "pages")
+    # a batch of few files, or of files of one row group, would be few tasks' work
+    pages = stream_of(spark, sf, "pages").repartition(tables.PIECES * spark.sparkContext.defaultParallelism)
     items = pages.select("url", F.col("page_id").alias("seq"), html.item(F.col("html")).alias("_i")).select("url", "seq", "_i.*")
     job = ingest.stream_ingest(items, f"{path}/raw", f"{path}/plain", f"{path}/sites", f"{path}/state", default_url=pq.NO_URL, rules=rules)
     job.awaitTermination()

@@ -756,3 +756,28 @@ def test_links_are_found_once(spark):
     links = extract.page_links(spark.createDataFrame(data, "url string, html string").repartition(3))
     assert "Filter ((size" not in links._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in links.collect()} == {(None, None), ("http://a.example/", "http://a.example/x")}
+
+
+def test_chain_and_ingest_are_spread(spark, tmp_path, monkeypatch):
+    """One file of a small table is no single task's work where its rows cost much."""
+    from corpusloom.plans import QUERIES, crawl_queries, stream_queries
+
+    class Seen(Exception):
+        pass
+
+    def crawled(seeds, pages, *_):
+        raise Seen(pages.rdd.getNumPartitions())
+
+    def ingested(items, *_, **__):
+        raise Seen(items._jdf.queryExecution().analyzed().toString())
+
+    monkeypatch.setattr(crawl_queries.crawl, "crawl", crawled)
+    monkeypatch.setattr(stream_queries.ingest, "stream_ingest", ingested)
+    customers = spark.createDataFrame([(1, "a", 2)], "c_custkey long, c_name string, c_nationkey int").coalesce(1)
+    sf = _written(spark, tmp_path, customer=customers, pages=spark.createDataFrame([(1, "http://a.example/", "x")], "page_id long, url string, html string"))
+    with pytest.raises(Seen) as chain:
+        QUERIES["crawl_chain"](spark, sf)
+    assert chain.value.args[0] >= spark.sparkContext.defaultParallelism
+    with pytest.raises(Seen) as stream:
+        QUERIES["stream_ingest_plain"](spark, sf)
+    assert "Repartition" in stream.value.args[0]
