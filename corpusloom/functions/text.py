@@ -7,8 +7,10 @@ import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ STOP_WORDS = (
 CJK = "一-龥"
 ROWS_OUT = 20_000  # terms that a task holds as Python values before they leave as one Arrow batch
 
+TEXT_BYTES = 8_000_000  # of texts that a task counts at once, some 100 MB of its memory
+BLOCK_DOCS = 1000  # postings in a row, at most
+
 # Letters and digits of Latin, Greek and Cyrillic; a run of them is one term.
 WORD = "0-9a-zA-ZÀ-ÖØ-öø-ɏͰ-ϿЀ-ӿ"
 
@@ -160,6 +165,82 @@ def grouped_terms(fields: Sequence[str], stop_words: Iterable[str] = STOP_WORDS,
     return run
 
 
+def _text_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of about ``TEXT_BYTES`` of text, or one row with more."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = sum(pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:])
+        at = 0
+        while at < batch.num_rows:
+            fits = int(np.searchsorted(np.cumsum(sizes[at:]), TEXT_BYTES - size, side="right"))
+            n = min(max(fits, 0 if held else 1), batch.num_rows - at)
+            if n:
+                held.append(batch.slice(at, n))
+                size += int(sizes[at : at + n].sum())
+                at += n
+            if at < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def term_blocks(fields: Sequence[str], stop_words: Iterable[str] = STOP_WORDS, dictionary: Iterable[str] = ()) -> Callable:
+    """For ``mapInArrow`` of (_id, lower-case texts of the fields, none null): postings in rows by term.
+
+    Rows (field, term, ids, tfs, lengths, n, total): up to ``BLOCK_DOCS`` documents that have the term, n of them, in
+    arrays of one order.  A row without a term has the number of texts in n and of their terms in total.
+    """
+    fields, dictionary = tuple(fields), tuple(dictionary)
+    left_out = pa.array(["", *stop_words], pa.string())
+    find = re.compile(token_pattern(dictionary)).findall
+
+    def cut(texts: pa.Array) -> pa.Array:
+        if dictionary:
+            return pa.array([find(text) for text in texts.to_pylist()], pa.list_(pa.string()))
+        if pc.any(pc.match_substring_regex(texts, f"[{CJK}]")).as_py():
+            texts = pc.replace_substring_regex(texts, f"([{CJK}])", r" \1 ")
+        return pc.split_pattern_regex(texts, f"[^{WORD}{CJK}]+")
+
+    def counted(ids: pa.Array, field: str, texts: pa.Array) -> pa.RecordBatch:
+        found, n = cut(texts), len(texts)
+        coded = found.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        row = np.repeat(np.arange(n), found.value_lengths().to_numpy())
+        wanted = pc.invert(pc.is_in(coded.dictionary, left_out)).to_numpy(zero_copy_only=False)[code]
+        code, row = code[wanted], row[wanted]
+        length = np.bincount(row, minlength=n).astype(np.int32)
+        pair, tf = np.unique(code.astype(np.int64) * n + row, return_counts=True)
+        code, row = pair // n, pair % n
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        place = np.arange(len(code)) - np.repeat(first, np.diff(first, append=len(code)))
+        begins = np.flatnonzero(place % BLOCK_DOCS == 0)
+        ends = np.append(begins, len(code))
+        sizes = np.diff(ends)
+        ends = pa.array(ends.astype(np.int32))
+        parts = ids.take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(length[row])
+        lists = [pa.ListArray.from_arrays(ends, part) for part in parts]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([field] * (len(begins) + 1), pa.string()),
+                pa.concat_arrays([coded.dictionary.take(pa.array(code[begins])), pa.nulls(1, pa.string())]),
+                *[pa.concat_arrays([part, pa.nulls(1, part.type)]) for part in lists],
+                pa.array([*sizes.tolist(), n], pa.int64()),
+                pa.concat_arrays([pa.nulls(len(begins), pa.int64()), pa.array([int(length.sum())], pa.int64())]),
+            ],
+            names=["field", "term", "ids", "tfs", "lengths", "n", "total"],
+        )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _text_pieces(batches):
+            piece = piece.combine_chunks()
+            ids, *texts = (column.chunk(0) for column in piece.columns)
+            for field, column in zip(fields, texts):
+                yield counted(ids, field, column)
+
+    return run
+
+
 def terms_at(text: Column, starts: Column) -> Column:
     """Terms of a text in order, dictionary words at the places ``array<struct<at, n>>``, from 0, where they start."""
     other = re.compile(f"[{WORD}]+|[{CJK}]")

@@ -3,28 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import work_path
-
-BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 1000
-
-
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Jobs that start inside have Arrow batches of ``rows`` rows, as rows with texts are wide."""
-    before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH_SETTING, before)
+from corpusloom.session import BATCH_ROWS, small_batches, work_path
 
 
 def store(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:

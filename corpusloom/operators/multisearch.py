@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.ranking import top_per_key
 from corpusloom.operators.search import Index, _exact, query_terms, term_weight
+from corpusloom.session import work_path
 
 BLOCK_BITS = 5  # 32 documents
 PART_POSTINGS = 1_000_000  # postings of wanted terms per document partition, about 40 MB in a task
@@ -131,6 +132,10 @@ def msearch(index: Index, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     )
     asked = query_terms(queries).join(bodies, "qid").join(index.freq, "term")
     asked = asked.filter(F.col("_fields").isNull() | F.array_contains("_fields", F.col("field")))
+    # Stored, the few rows are made once and their size is known, so the optimizer broadcasts them if they are small.
+    path = work_path(queries.sparkSession, "asked")
+    asked.select("qid", "need", "skip", "field", "term", "df").write.parquet(path)
+    asked = queries.sparkSession.read.parquet(path)
     key = F.xxhash64("field", "term").alias("key")
     wanted = asked.select("field", "term", "df").distinct()
     facts = wanted.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("postings")).first()
@@ -138,9 +143,8 @@ def msearch(index: Index, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     spark = queries.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts["postings"] // PART_POSTINGS))
     weight = term_weight(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("avg_length"), k1, b)
-    weighted = index.postings.join(wanted, ["field", "term"]).join(F.broadcast(index.stats), "field")
     part = F.pmod(F.xxhash64("_id"), F.lit(parts)).alias("part")
-    rows = weighted.select(part, "_id", key, weight.alias("weight"))
+    rows = index.wanted(wanted.withColumn("key", key)).select(part, "_id", "key", weight.alias("weight"))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
     bids = asked.select("qid", key, "need", "skip", each)
     kinds = {c: t.simpleString() for c, t in [("qid", queries.schema["qid"].dataType), ("_id", index.postings.schema["_id"].dataType)]}

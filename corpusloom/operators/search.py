@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators.joins import salted_join
-from corpusloom.session import checkpoint_root, work_path
+from corpusloom.session import checkpoint_root, small_batches, work_path
 
 AUTOMATON_CHARS = 8_000_000  # about 400 MB in a worker
 
@@ -19,12 +19,20 @@ AUTOMATON_CHARS = 8_000_000  # about 400 MB in a worker
 class Index:
     """``postings(_id, field, term, tf, length)``, ``stats(field, n_docs, avg_length)``, ``freq(field, term, df)``.
 
-    A posting carries its field length, so scoring needs no join with the documents.
+    A posting carries its field length, so scoring needs no join with the documents.  An index that keeps its postings in
+    ``blocks(field, term, ids, tfs, lengths)`` meets wanted terms block by block, before the postings become rows.
     """
 
     postings: DataFrame
     stats: DataFrame
     freq: DataFrame
+    blocks: DataFrame | None = None
+
+    def wanted(self, terms: DataFrame) -> DataFrame:
+        """Postings of a table of terms ``(field, term, ...)`` with its other columns and the fields' statistics."""
+        rows = self.postings if self.blocks is None else self.blocks
+        rows = rows.join(terms, ["field", "term"]).join(F.broadcast(self.stats), "field")
+        return rows if self.blocks is None else _unfolded(rows)
 
 
 def analyze(
@@ -119,13 +127,29 @@ def build_index(
 ) -> Index:
     """Postings and statistics as lazy tables; ``write_index`` stores them for many searches.
 
-    Term counts of a document are made inside its row, so postings need no shuffle.
+    Terms of a document are counted inside its task, so postings need no shuffle.
     """
-    rows = field_terms(docs, id_col, fields, stop_words, dictionary)
-    lengths = rows.select("_id", "field", F.size("terms").alias("length"), "terms")
-    vectors = lengths.select("_id", "field", "length", tx.term_counts(F.col("terms")).alias("counts"))
-    postings = _postings(vectors)
-    return Index(postings, _field_stats(lengths), doc_freq(postings))
+    return _index(_term_blocks(docs, fields, id_col, stop_words, dictionary))
+
+
+def _term_blocks(docs: DataFrame, fields: Sequence[str], id_col: str, stop_words=tx.STOP_WORDS, dictionary=()) -> DataFrame:
+    """``(field, term, ids, tfs, lengths, n, total)`` of all texts, each analyzed once; see ``text.term_blocks``."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = [F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f"_text{i}") for i, f in enumerate(fields)]
+    schema = f"field string, term string, ids array<{kind}>, tfs array<int>, lengths array<int>, n bigint, total bigint"
+    return docs.select(F.col(id_col).alias("_id"), *texts).mapInArrow(tx.term_blocks(fields, stop_words, dictionary), schema)
+
+
+def _unfolded(blocks: DataFrame) -> DataFrame:
+    rows = blocks.withColumn("_docs", F.explode(F.arrays_zip("ids", "tfs", "lengths"))).drop("ids", "tfs", "lengths")
+    return rows.select("*", F.col("_docs.ids").alias("_id"), F.col("_docs.tfs").alias("tf"), F.col("_docs.lengths").alias("length")).drop("_docs")
+
+
+def _index(counted: DataFrame, blocks: DataFrame | None = None) -> Index:
+    blocks = counted.filter("term is not null").select("field", "term", "ids", "tfs", "lengths") if blocks is None else blocks
+    stats = counted.filter("term is null").groupBy("field").agg(F.sum("n").alias("n_docs"), (F.sum("total") / F.sum("n")).alias("avg_length"))
+    freq = counted.filter("term is not null").groupBy("field", "term").agg(F.sum("n").alias("df"))
+    return Index(_unfolded(blocks).select("_id", "field", "term", "tf", "length"), stats, freq, blocks)
 
 
 def write_index(
@@ -136,33 +160,26 @@ def write_index(
     Without ``partitions`` the size decides: range partitions are merged or split
     by adaptive execution to its advisory size.
 
-    The texts are analyzed once, into one row of term counts per document and
-    field; postings, document frequencies and statistics are made from those.
+    The texts are analyzed once, into blocks of postings with a term; a block is one row of every shuffle.
     """
     spark = docs.sparkSession
-    rows = field_terms(docs, id_col, fields, **analyzer)
-    counted = rows.select("_id", "field", F.size("terms").alias("length"), tx.term_counts(F.col("terms")).alias("counts"))
-    counted.write.mode("overwrite").parquet(f"{path}/vectors")
-    vectors = spark.read.parquet(f"{path}/vectors")
-    _field_stats(vectors).write.mode("overwrite").parquet(f"{path}/stats")
-    rows = _postings(vectors)
-    by_term = rows.repartitionByRange(partitions, "term", "_id") if partitions else rows.repartitionByRange("term", "_id")
-    by_term.sortWithinPartitions("term", "field", "_id").write.mode("overwrite").parquet(f"{path}/postings")
-    freq = doc_freq(spark.read.parquet(f"{path}/postings")).repartitionByRange("term")
-    freq.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/freq")
+    with small_batches(spark):
+        _term_blocks(docs, fields, id_col, **analyzer).write.mode("overwrite").parquet(f"{path}/counted")
+    index = _index(spark.read.parquet(f"{path}/counted"))
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    by = ["term", F.get("ids", F.lit(0))]
+    by_term = index.blocks.repartitionByRange(partitions, *by) if partitions else index.blocks.repartitionByRange(*by)
+    by_term.sortWithinPartitions("term", "field").write.mode("overwrite").parquet(f"{path}/blocks")
+    index.freq.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/freq")
 
 
 def _field_stats(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
 
 
-def _postings(vectors: DataFrame) -> DataFrame:
-    rows = vectors.select("_id", "field", "length", F.explode("counts").alias("_t"))
-    return rows.select("_id", "field", "_t.term", "_t.tf", "length")
-
-
 def read_index(spark, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "stats", "freq")])
+    blocks, stats, freq = (spark.read.parquet(f"{path}/{part}") for part in ("blocks", "stats", "freq"))
+    return Index(_unfolded(blocks).select("_id", "field", "term", "tf", "length"), stats, freq, blocks)
 
 
 def term_documents(docs: DataFrame, id_col: str, fields: Sequence[str], stop_words=tx.STOP_WORDS, dictionary=()) -> DataFrame:
@@ -193,11 +210,10 @@ def _exact(score: str) -> Column:
     return F.round(score, 12)
 
 
-def _scored(
-    postings: DataFrame, freq: DataFrame, stats: DataFrame, k1: float, b: float, boosts: Mapping[str, float] | None
-) -> DataFrame:
-    """Postings of the wanted terms with their weight; ``stats`` has one row per field."""
-    joined = postings.join(freq, ["field", "term"]).join(F.broadcast(stats), "field")
+def _scored(index: Index, asked: Column, k1: float, b: float, boosts: Mapping[str, float] | None) -> DataFrame:
+    """Postings of the terms that ``asked`` lets through, a few literals, with their weight."""
+    asked_only = Index(index.postings.filter(asked), index.stats, index.freq, None if index.blocks is None else index.blocks.filter(asked))
+    joined = asked_only.wanted(F.broadcast(index.freq.filter(asked)))
     weight = term_weight(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("avg_length"), k1, b)
     for field, factor in (boosts or {}).items():
         weight = F.when(F.col("field") == field, weight * factor).otherwise(weight)
@@ -221,7 +237,7 @@ def search(
     asked = F.col("term").isin(sorted(set(tx.terms_of(query))))
     if fields is not None:
         asked = asked & F.col("field").isin(list(fields))
-    weights = _scored(index.postings.filter(asked), index.freq.filter(asked), index.stats, k1, b, boosts)
+    weights = _scored(index, asked, k1, b, boosts)
     scores = weights.groupBy("_id").agg(F.sum("weight").alias("score"))
     top = scores.orderBy(_exact("score").desc(), "_id").offset(offset).limit(size)
     return top.withColumn("score", F.round("score", 6))
@@ -308,7 +324,7 @@ def bool_scored(
     asked = F.lit(False)
     for test in within:
         asked = asked | test
-    weights = _scored(index.postings.filter(asked), index.freq.filter(asked), index.stats, k1, b, None)
+    weights = _scored(index, asked, k1, b, None)
     per_clause = [F.sum(F.when(test, F.col("weight")).otherwise(0.0)).alias(f"_s{i}") for i, test in enumerate(within)]
     hits = [F.max(test).alias(f"_h{i}") for i, test in enumerate(within)]
     rows = weights.groupBy("_id").agg(*per_clause, *hits)

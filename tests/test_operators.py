@@ -7,11 +7,14 @@ import json
 import math
 import random
 import tarfile
+from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import geo as gf
+from corpusloom.functions import text as tx
 from corpusloom.operators import (
     bitmaps, bloom, crawl, geo, keys, lists, live_index, merge, pubsub, ranking, search, sets, sites, sketch, sorts, zsets,
 )
@@ -787,3 +790,37 @@ def test_links_are_found_once(spark):
     links = extract.page_links(spark.createDataFrame(data, "url string, html string").repartition(3))
     assert "Filter ((size" not in links._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in links.collect()} == {(None, None), ("http://a.example/", "http://a.example/x")}
+
+
+@pytest.mark.parametrize("dictionary", [(), ("甲乙",)])
+def test_postings_move_in_blocks(spark, tmp_path, monkeypatch, dictionary):
+    """An index is shuffled and stored with many postings in a row, and they are those of a plain count."""
+    texts = [f"Cat cat the {'dog' if i % 2 else 'Ähre'} 甲乙x{i % 3} ÉTÉ-Σ" for i in range(900)] + [None, "", "the", "  \n"]
+    docs = spark.createDataFrame([(i % 700 if i % 50 else None, t, "src1") for i, t in enumerate(texts)], "_id int, text string, source string")
+    path = str(tmp_path / "i")
+    search.write_index(docs.repartition(3), ["text", "source"], path, dictionary=dictionary)
+    expected, lengths = Counter(), defaultdict(list)
+    for i, text in enumerate(texts):
+        for field, value in (("text", text or ""), ("source", "src1")):
+            found = tx.terms_of(value, dictionary=dictionary)
+            lengths[field].append(len(found))
+            expected.update((i % 700 if i % 50 else None, field, t, n, len(found)) for t, n in Counter(found).items())
+    lazy = search.build_index(docs, ["text", "source"], dictionary=dictionary)
+    for index in (search.read_index(spark, path), lazy):
+        assert Counter(tuple(r) for r in index.postings.select("_id", "field", "term", "tf", "length").collect()) == expected
+        assert {r.field: (r.n_docs, r.avg_length) for r in index.stats.collect()} == {f: (len(n), sum(n) / len(n)) for f, n in lengths.items()}
+        df = Counter()
+        for (_, field, term, _, _), n in expected.items():
+            df[field, term] += n
+        assert {(r.field, r.term): r.df for r in index.freq.collect()} == df
+    stored = [spark.read.parquet(str(part)).count() for part in (tmp_path / "i").iterdir() if part.name not in ("stats", "freq")]
+    assert max(stored) < sum(expected.values()) / 10
+    # little text at once and few documents in a row: the same postings, a long text alone
+    monkeypatch.setattr(tx, "TEXT_BYTES", 100)
+    monkeypatch.setattr(tx, "BLOCK_DOCS", 2)
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3, 4]), pa.array(["b d d", "b", "", "b " * 90, "b c"])], names=["_id", "_text0"])
+    rows_ = [r for out in tx.term_blocks(["text"])(iter([batch.slice(0, 0), batch, batch.slice(4)])) for r in out.to_pylist()]
+    assert all(len(r["ids"]) == r["n"] <= 2 for r in rows_ if r["term"])
+    made = sorted((i, r["term"], tf, n) for r in rows_ if r["term"] for i, tf, n in zip(r["ids"], r["tfs"], r["lengths"]))
+    assert made == [(0, "b", 1, 3), (0, "d", 2, 3), (1, "b", 1, 1), (3, "b", 90, 90), (4, "b", 1, 2), (4, "b", 1, 2), (4, "c", 1, 2), (4, "c", 1, 2)]
+    assert sum(r["n"] for r in rows_ if r["term"] is None) == 6 and sum(r["total"] for r in rows_ if r["term"] is None) == 98
