@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.wordhash import text_bytes
+from corpusloom.llm.work import lean
 
 BUCKET_BITS = 16
 SMOOTHING = 0.5
@@ -89,7 +90,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    each = rows.filter("lang is not null and text is not null").mapInArrow(run, "lang string, bucket int, n long")
+    each = rows.filter("lang is not null and text is not null").mapInArrow(lean(run), "lang string, bucket int, n long")
     return each.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -216,7 +217,7 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
     letters = F.coalesce(text.rlike(LETTER), F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), letters.alias("letters"))
     return rows.mapInArrow(
-        run, "doc_id long, lang_pred string, score double, shares array<struct<lang: string, share: double>>"
+        lean(run), "doc_id long, lang_pred string, score double, shares array<struct<lang: string, share: double>>"
     )
 
 
@@ -248,7 +249,7 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
                 known[first:stop] = (most >= least) & (most >= shares[:, -1])
             yield batch.filter(pa.array(known))
 
-    return lettered.mapInArrow(run, docs.schema)
+    return lettered.mapInArrow(lean(run), docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
 from corpusloom.llm.wordhash import WIDTH, constants, mix, shingle_sets
-from corpusloom.llm.work import binary_views, runs, store
+from corpusloom.llm.work import binary_views, lean, runs, store
 
 BANDS, ROWS = 25, 5
 BLOCK_DOCS = 256
@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: in
             )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    return narrow.mapInArrow(lean(run), "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 
 
 def band_keys(sigs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -235,12 +235,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bloc
         .sortWithinPartitions("band", "one", "other", "doc_id")
         .select("band", "one", "other", "own", "doc_id", "sig")
     )
-    near = components(compared.mapInArrow(_signature_links(least), "u long, v long"))
+    near = components(compared.mapInArrow(lean(_signature_links(least)), "u long, v long"))
 
     clusters = store(near.withColumnsRenamed({"node": "doc_id", "component": "cluster"}), "clusters")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = texts.join(clusters.select("doc_id"), "doc_id", "left_semi").mapInArrow(
-        _shingle_rows(width), "doc_id long, shingles binary"
+        lean(_shingle_rows(width)), "doc_id long, shingles binary"
     )
     # a doc_id with several texts: any of them may stand here, links are confirmed on what stands
     members = blocks_of(clusters, "cluster", "doc_id", block)
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bloc
         .sortWithinPartitions("cluster", "one", "other", "doc_id")
         .select("cluster", "one", "other", "own", "doc_id", "sig", "shingles")
     )
-    found = components(confirmed.mapInArrow(_confirmed_links(percent, least), "u long, v long"))
+    found = components(confirmed.mapInArrow(lean(_confirmed_links(percent, least)), "u long, v long"))
     labels = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("_component")
     )

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.wordhash import text_bytes, word_hashes
-from corpusloom.llm.work import store
+from corpusloom.llm.work import lean, store
 
 CAPACITY = 4096
 END_ID = 1
@@ -189,7 +189,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         *[F.col(c).cast("long").alias("position") for c in [order] if c is not None],
         F.col("text").cast("string").alias("text"),
     )
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in kept) + ", piece int, start long, length long, ids binary")
+    return rows.mapInArrow(lean(run), ", ".join(f"{c} long" for c in kept) + ", piece int, start long, length long, ids binary")
 
 
 def _class_of(sizes: np.ndarray) -> np.ndarray:
@@ -309,7 +309,7 @@ def best_fit(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     state = sizes.filter(length < capacity).select(F.lit(PIECE).alias("kind"), "id", length.alias("size"))
     for _ in range(MAX_ROUNDS):
         ranged = state.repartitionByRange(parts, F.desc("size"), "kind", "id")
-        swept = store(ranged.mapInArrow(_sweep_range, _SWEPT), "swept", batch_rows=10_000)
+        swept = store(ranged.mapInArrow(lean(_sweep_range), _SWEPT), "swept", batch_rows=10_000)
         open_rows = swept.filter((F.col("kind") == GAP) | F.col("seq").isNull())
         counts = (
             open_rows.groupBy("part", "kind", "class")
@@ -429,7 +429,7 @@ def pack_in_order(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ``sequence_time`` is the mean position of a sequence's ids; rows come in ranges of it,
     sorted by it, the sequence and the offset, so a reader that goes through the files trains in the order of positions.
     """
-    narrow = cut.mapInArrow(_narrowed, cut.schema)
+    narrow = cut.mapInArrow(lean(_narrowed), cut.schema)
     kept = store(narrow.withColumn("id", F.monotonically_increasing_id()), "pieces")
     found = best_fit(kept.select("id", "length"), capacity)
     placed = store(found.join(kept.select("id", "position", "length"), "id"), "placed")
@@ -440,7 +440,7 @@ def pack_in_order(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["sequence_time", "sequence_id", "offset"]
     sorted_rows = kept.join(timed, "id").drop("id").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return sorted_rows.mapInArrow(_widened, sorted_rows.schema)
+    return sorted_rows.mapInArrow(lean(_widened), sorted_rows.schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
