@@ -6,6 +6,7 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -165,22 +166,32 @@ def grouped_terms(fields: Sequence[str], stop_words: Iterable[str] = STOP_WORDS,
     return run
 
 
-def _text_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows of about ``TEXT_BYTES`` of text, or one row with more."""
-    held, size = [], 0
+def _text_sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each row's text, or list of texts."""
+    if not pa.types.is_list(column.type):
+        return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    till = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+    sizes = pc.fill_null(pc.binary_length(column.flatten()), 0).to_numpy(zero_copy_only=False)
+    return np.diff(np.append(0, np.cumsum(sizes, dtype=np.int64))[till], prepend=0)
+
+
+def text_pieces(batches: Iterable[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
+    """Rows of about ``TEXT_BYTES`` of text, ``most`` of them, or one row with more."""
+    held, size, rows = [], 0, 0
     for batch in batches:
-        sizes = sum(pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:])
+        sizes = sum(_text_sizes(c) for c in batch.columns[1:])
         at = 0
         while at < batch.num_rows:
             fits = int(np.searchsorted(np.cumsum(sizes[at:]), TEXT_BYTES - size, side="right"))
-            n = min(max(fits, 0 if held else 1), batch.num_rows - at)
+            n = min(max(fits, 0 if held else 1), batch.num_rows - at, batch.num_rows if most is None else most - rows)
             if n:
                 held.append(batch.slice(at, n))
                 size += int(sizes[at : at + n].sum())
+                rows += n
                 at += n
             if at < batch.num_rows:
                 yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, size, rows = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
 
@@ -232,7 +243,7 @@ def term_blocks(fields: Sequence[str], stop_words: Iterable[str] = STOP_WORDS, d
         )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _text_pieces(batches):
+        for piece in text_pieces(batches):
             piece = piece.combine_chunks()
             ids, *texts = (column.chunk(0) for column in piece.columns)
             for field, column in zip(fields, texts):
@@ -241,6 +252,37 @@ def term_blocks(fields: Sequence[str], stop_words: Iterable[str] = STOP_WORDS, d
     return run
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """Per character below U+10000: 1 in a run that is one term, 2 if it is a term alone, else 0, as for all above."""
+    kinds, every = np.zeros(0x10001, np.uint8), "".join(map(chr, range(0x10000)))
+    for kind, letters in ((1, WORD), (2, CJK)):
+        kinds[[m.start() for m in re.finditer(f"[{letters}]", every)]] = kind
+    return kinds
+
+
+def located(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Number of the text, position, start in characters, and the term itself of all terms of lower-case texts."""
+    joined = "".join(f"{text}\n" for text in texts)
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    kind = _kinds()[np.minimum(points, 0x10000)]
+    word, alone = kind == 1, kind == 2
+    begins = np.flatnonzero(alone | (word & ~np.append(False, word[:-1])))
+    ends = np.flatnonzero(alone | (word & ~np.append(word[1:], False))) + 1
+    utf8 = np.frombuffer(joined.encode(), np.uint8)
+    inside, sizes = kind > 0, ends - begins
+    if len(utf8) > len(points):
+        width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+        till = np.append(0, np.cumsum(width, dtype=np.int64))
+        inside, sizes = np.repeat(inside, width), till[ends] - till[begins]
+    letters, offsets = utf8[inside], np.append(0, np.cumsum(sizes)).astype(np.int32)
+    terms = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(letters))
+    bounds = np.append(0, np.cumsum([len(text) + 1 for text in texts], dtype=np.int64))
+    first = np.searchsorted(begins, bounds)
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    return text, np.arange(len(begins)) - first[text], begins - bounds[text], terms
+
+
 def terms_at(text: Column, starts: Column) -> Column:
     """Terms of a text in order, dictionary words at the places ``array<struct<at, n>>``, from 0, where they start."""
     other = re.compile(f"[{WORD}]+|[{CJK}]")

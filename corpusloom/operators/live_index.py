@@ -1,8 +1,13 @@
 """A stored text index that takes upserts and deletes by id, and phrase search over positions.
 
-Every change is a part: the positional postings of its documents, their lengths, the ids that it replaces or deletes, and
-what changes in document frequencies and field statistics.  A version is a manifest of parts in order; a posting is live
-if no later part of the version names its document.  A change reads the old postings of its own ids only.
+Every change is a part: the positional postings of its documents, their lengths, the ids that it replaces or deletes, what
+it takes away of earlier parts' document frequencies, and what changes in field statistics.  A version is a manifest of
+parts in order; a posting is live if no later part of the version names its document.
+
+Postings are blocks of a term (``functions/blocks.py``) in segments, slices of the documents that one task analyzed.  They
+name documents by their number in the segment; the lengths tell whose it is.  A task writes its blocks sorted by term, so
+a term is a few pages in each file and blocks are never shuffled.  What a change takes away is one row of bits per
+segment that loses documents; a task that reads blocks holds those rows, a bit per document.
 
 Parts are merged by size: when a part is not at least ``TIER`` times as large as all after it together, it is merged with
 those.  So sizes fall by a factor from part to part, there are at most as many parts as the logarithm of the index's size
@@ -16,16 +21,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions import blocks
 from corpusloom.functions import text as tx
-from corpusloom.operators.search import Index, term_places
+from corpusloom.operators.search import Index
+from corpusloom.session import small_batches
 
-_POSTING = "_id, field, term, tf, length, places"
 TIER = 2
 TEXTS_AT_ONCE = 64  # texts whose places a task holds as Python values
+_FREQ = "field string, term string, df bigint"
 _MANIFEST = "part string, place int, size bigint"
 
 
@@ -64,23 +71,54 @@ def _read(spark: SparkSession, path: str, names: Sequence[str], kind: str) -> Da
     return rows
 
 
-def _live(spark: SparkSession, path: str, names: Sequence[str], kind: str) -> DataFrame:
-    """Rows of postings or lengths that no later part replaces."""
-    rows = _read(spark, path, names, kind)
+def _blocks(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """Blocks of postings, dead ones among them; segments have other numbers in each part."""
+    rows = None
+    for name in names:
+        table = spark.read.parquet(f"{path}/{name}/postings").filter("term is not null").select(*blocks.NAMES)
+        rows = table if rows is None else rows.unionByName(table)
+    return rows
+
+
+def _lengths(spark: SparkSession, path: str, names: Sequence[str], live: bool = True) -> DataFrame:
+    """(_id, field, length, segment, no) of the documents that no later part replaces, or of those that one does."""
+    rows = _read(spark, path, names, "lengths")
     if len(names) == 1:
-        return rows.drop("_place")
+        return rows.drop("_place") if live else rows.drop("_place").limit(0)
     last = _read(spark, path, names, "gone").groupBy("_id").agg(F.max("_place").alias("_last"))
     joined = rows.join(last, "_id", "left")
-    return joined.filter(F.col("_last").isNull() | (F.col("_place") >= F.col("_last"))).drop("_last", "_place")
+    stays = F.col("_last").isNull() | (F.col("_place") >= F.col("_last"))
+    return joined.filter(stays if live else ~stays).drop("_last", "_place")
+
+
+def _write_marks(lengths: DataFrame, place: str) -> None:
+    """(segment, bits) of the documents of some rows of lengths; document i is bit i % 8 of byte i / 8."""
+    bits = F.call_function("bitmap_construct_agg", F.col("no").cast("long"))
+    lengths.filter("segment is not null").groupBy("segment").agg(bits.substr(1, blocks.SEGMENT_DOCS // 8).alias("bits")).write.mode("overwrite").parquet(place)
+
+
+def _marked_counts(spark: SparkSession, path: str, names: Sequence[str], marks: str) -> DataFrame:
+    """(field, term, df): how many marked documents the blocks have, below zero."""
+    return _blocks(spark, path, names).drop("places").mapInArrow(blocks.marked_counts(marks), _FREQ)
+
+
+def _postings(spark: SparkSession, path: str, names: Sequence[str], unfolded: Column) -> DataFrame:
+    """Live postings with the columns of the structs that a block unfolds to."""
+    rows = _blocks(spark, path, names).select("segment", "field", "term", F.explode(unfolded).alias("_doc")).select("segment", "field", "term", "_doc.*")
+    return rows.join(_lengths(spark, path, names).filter("segment is not null"), ["segment", "no", "field"])
 
 
 def live_postings(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """(_id, field, term, tf, length, places<pos, start, end>) of the documents as they are at a version."""
-    return _live(spark, path, [name for name, _ in parts(spark, path, version)], "postings")
+    unfolded = blocks.postings(F.col("term"), F.col("n"), F.col("docs"), F.col("places"))
+    rows = _postings(spark, path, [name for name, _ in parts(spark, path, version)], unfolded)
+    return rows.select("_id", "field", "term", "tf", "length", "places")
 
 
 def _freq(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    rows = _read(spark, path, names, "freq")
+    """(field, term, df): the sizes of the blocks, and what the parts take away of earlier ones."""
+    rows = _blocks(spark, path, names).select("field", "term", F.col("n").cast("long").alias("df"))
+    rows = rows.unionByName(_read(spark, path, names, "freq").drop("_place"))
     return rows.groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df <> 0")
 
 
@@ -93,20 +131,29 @@ def read_index(spark: SparkSession, path: str, version: int | None = None) -> In
     """The index at a version, for every search that takes one."""
     names = [name for name, _ in parts(spark, path, version)]
     stats = _stats(spark, path, names).select("field", "n_docs", (F.col("total") / F.col("n_docs")).alias("avg_length"))
-    return Index(_live(spark, path, names, "postings"), stats, _freq(spark, path, names))
+    postings = _postings(spark, path, names, blocks.documents(F.col("n"), F.col("docs"))).select("_id", "field", "term", "tf", "length")
+    return Index(postings, stats, _freq(spark, path, names))
 
 
-def _changes(postings: DataFrame, lengths: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
-    freq = postings.groupBy("field", "term").agg((F.count(F.lit(1)) * sign).cast("long").alias("df"))
-    stats = lengths.groupBy("field").agg(
+def _field_stats(lengths: DataFrame, sign: int) -> DataFrame:
+    return lengths.groupBy("field").agg(
         (F.count(F.lit(1)) * sign).cast("long").alias("n_docs"), (F.sum("length") * sign).cast("long").alias("total")
     )
-    return freq, stats
 
 
-def _write_postings(rows: DataFrame, place: str) -> None:
-    ordered = rows.selectExpr(*_POSTING.split(", ")).repartitionByRange("term", "_id").sortWithinPartitions("term", "field", "_id")
-    ordered.write.mode("overwrite").parquet(place)
+def _write_blocks(rows: DataFrame, place: str) -> None:
+    rows.sortWithinPartitions("term", "field", "segment").write.mode("overwrite").option("compression", "zstd").parquet(place)
+
+
+def _texts(docs: DataFrame, id_col: str, fields: Sequence[str], repeated: DataFrame | None) -> DataFrame:
+    """``(_id, texts of each field)`` of the rows with an id; rows of one id have all of its texts each."""
+    names = [f"_text{i}" for i in range(len(fields))]
+    rows = docs.select(F.col(id_col).alias("_id"), *[F.array(F.col(f)).alias(n) for f, n in zip(fields, names)]).filter("_id is not null")
+    if repeated is None:
+        return rows
+    together = rows.join(repeated, "_id").groupBy("_id").agg(F.count(F.lit(1)).alias("_n"), *[F.flatten(F.collect_list(n)).alias(n) for n in names])
+    copies = together.select("_id", *names, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_n")).drop("_n")
+    return rows.join(repeated, "_id", "left_anti").unionByName(copies)
 
 
 def change(
@@ -131,39 +178,50 @@ def change(
     def write(df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{part}/{name}")
 
-    gone = spark.createDataFrame([], "_id string") if docs is None else docs.select(F.col(id_col).alias("_id"))
+    named = lambda df, n: df.select(F.col(id_col).alias("_id"), F.lit(n).cast("long").alias("n"))
+    ids = spark.createDataFrame([], "_id string, n bigint") if docs is None else named(docs, 1)
     if deletes is not None:
-        removed = deletes.select(F.col(id_col).alias("_id"))
-        gone = removed if docs is None else gone.unionByName(removed)
-    write(gone.distinct(), "gone")
+        ids = named(deletes, 0) if docs is None else ids.unionByName(named(deletes, 0))
+    write(ids.groupBy("_id").agg(F.sum("n").alias("n")), "rows")
+    counted = spark.read.parquet(f"{path}/{part}/rows")
+    write(counted.select("_id"), "gone")
     gone = spark.read.parquet(f"{path}/{part}/gone")
     kind = gone.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, field string, term string, tf bigint, length bigint, places array<struct<pos:int,start:int,end:int>>"
     if docs is None:
-        write(spark.createDataFrame([], schema), "postings")
-        write(spark.createDataFrame([], f"_id {kind}, field string, length bigint"), "lengths")
+        write(spark.createDataFrame([], blocks.KIND), "postings")
+        write(spark.createDataFrame([], f"_id {kind}, field string, length bigint, segment bigint, no int"), "lengths")
     else:
-        # analyzed once: lengths, the ranges of the postings and the postings are made from the stored rows
-        write(term_places(docs, id_col, fields, stop_words), "terms")
-        counted = spark.read.parquet(f"{path}/{part}/terms")
+        # analyzed once, into the stored blocks and, in rows without a term, the lengths
+        repeated = counted.filter("n > 1 and _id is not null").select("_id")
+        texts = _texts(docs, id_col, fields, None if repeated.isEmpty() else repeated)
+        with small_batches(spark):
+            made = texts.mapInArrow(blocks.place_blocks(fields, stop_words, version << 44), f"{blocks.KIND}, ids array<{kind}>, lengths array<int>")
+            _write_blocks(made, f"{path}/{part}/postings")
+        segments = spark.read.parquet(f"{path}/{part}/postings").filter("term is null")
+        rows = segments.select("segment", "field", F.posexplode(F.arrays_zip("ids", "lengths")).alias("no", "_doc"))
+        lengths = rows.select(F.col("_doc.ids").alias("_id"), "field", F.col("_doc.lengths").cast("long").alias("length"), "segment", "no")
+        # a row without an id has a length and no postings
+        unnamed = counted.filter("_id is null and n > 0").select("_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_n"))
         each = F.explode(F.array(*[F.lit(f) for f in fields])).alias("field")
-        sums = counted.groupBy("_id", "field").agg(F.sum("tf").alias("length"))
-        lengths = docs.select(F.col(id_col).alias("_id"), each).join(sums, ["_id", "field"], "left")
-        write(lengths.select("_id", "field", F.coalesce("length", F.lit(0)).cast("long").alias("length")), "lengths")
-        _write_postings(counted.join(spark.read.parquet(f"{path}/{part}/lengths"), ["_id", "field"]), f"{path}/{part}/postings")
-        _remove(spark, f"{path}/{part}/terms")
-    freq, stats = _changes(*[spark.read.parquet(f"{path}/{part}/{n}") for n in ("postings", "lengths")], 1)
+        none = [F.lit(v).cast(k).alias(c) for c, v, k in (("length", 0, "long"), ("segment", None, "long"), ("no", None, "int"))]
+        write(lengths.unionByName(unnamed.select("_id", each, *none)), "lengths")
+    _remove(spark, f"{path}/{part}/rows")
+    stats, less = _field_stats(spark.read.parquet(f"{path}/{part}/lengths"), 1), spark.createDataFrame([], _FREQ)
     if before:
-        old = [_live(spark, path, [name for name, _ in before], kind).join(gone, "_id", "left_semi") for kind in ("postings", "lengths")]
-        less_freq, less_stats = _changes(*old, -1)
-        freq, stats = freq.unionByName(less_freq), stats.unionByName(less_stats)
-    write(freq.groupBy("field", "term").agg(F.sum("df").alias("df")), "freq")
+        names = [name for name, _ in before]
+        replaced = _lengths(spark, path, names).join(gone, "_id", "left_semi")
+        _write_marks(replaced, f"{path}/{part}/marks")
+        less = _marked_counts(spark, path, names, f"{path}/{part}/marks")
+        stats = stats.unionByName(_field_stats(replaced, -1))
+    write(less, "freq")
     write(stats.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("total").alias("total")), "stats")
     size = gone.count() + spark.read.parquet(f"{path}/{part}/lengths").count()
     after = [*before, (part, size)]
     if merge:
         after = _merged(spark, path, after, f"{part}-merged")
     _publish(spark, path, version, after)
+    if (part, size) not in after:
+        _remove(spark, f"{path}/{part}")  # merged at once, no version names it
     return version
 
 
@@ -181,12 +239,19 @@ def _merged(spark: SparkSession, path: str, names: list[tuple[str, int]], new: s
     if first == len(names) - 1:
         return names
     run = [name for name, _ in names[first:]]
-    lengths = _live(spark, path, run, "lengths")
-    lengths.write.mode("overwrite").parquet(f"{path}/{new}/lengths")
-    _write_postings(_live(spark, path, run, "postings"), f"{path}/{new}/postings")
+    _lengths(spark, path, run).write.mode("overwrite").parquet(f"{path}/{new}/lengths")
+    _write_marks(_lengths(spark, path, run, live=False), f"{path}/{new}/marks")
+    kept = _blocks(spark, path, run).mapInArrow(blocks.without_marked(f"{path}/{new}/marks"), blocks.KIND)
+    _write_blocks(kept, f"{path}/{new}/postings")
     gone = _read(spark, path, run, "gone").select("_id").distinct()
     (gone if first else gone.limit(0)).write.mode("overwrite").parquet(f"{path}/{new}/gone")
-    _freq(spark, path, run).write.mode("overwrite").parquet(f"{path}/{new}/freq")
+    if first:
+        # what is left out was taken away by the run itself
+        taken = _read(spark, path, run, "freq").drop("_place").unionByName(_marked_counts(spark, path, run, f"{path}/{new}/marks").withColumn("df", -F.col("df")))
+        freq = taken.groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df <> 0")
+    else:
+        freq = spark.createDataFrame([], _FREQ)
+    freq.write.mode("overwrite").parquet(f"{path}/{new}/freq")
     _stats(spark, path, run).write.mode("overwrite").parquet(f"{path}/{new}/stats")
     size = sum(spark.read.parquet(f"{path}/{new}/{kind}").count() for kind in ("lengths", "gone"))
     return [*names[:first], (new, size)]
@@ -198,8 +263,8 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     rows = spark.read.schema(T.StructType([T.StructField("part", T.StringType()), T.StructField("version", T.IntegerType())])).parquet(f"{path}/manifest")
     kept = F.max(F.col("version") > last - keep)
     old = [r["part"] for r in rows.groupBy("part").agg(kept.alias("kept")).filter("not kept").collect()]
-    # a new part that was merged at once is in no manifest
-    old += [f"part-{v}" for v in range(1, last + 1) if _exists(spark, f"{path}/part-{v}-merged") and f"part-{v}" not in old]
+    # a new part that was merged at once is in no manifest, and there only if its change was broken off
+    old += [f"part-{v}" for v in range(1, last + 1) if _exists(spark, f"{path}/part-{v}-merged") and _exists(spark, f"{path}/part-{v}") and f"part-{v}" not in old]
     numbers = [r["version"] for r in rows.select("version").distinct().collect() if r["version"] <= last - keep]
     for name in [*[f"manifest/version={v}" for v in numbers], *old]:
         _remove(spark, f"{path}/{name}")

@@ -6,9 +6,11 @@ import io
 import json
 import math
 import random
+import re
 import tarfile
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -824,3 +826,75 @@ def test_postings_move_in_blocks(spark, tmp_path, monkeypatch, dictionary):
     made = sorted((i, r["term"], tf, n) for r in rows_ if r["term"] for i, tf, n in zip(r["ids"], r["tfs"], r["lengths"]))
     assert made == [(0, "b", 1, 3), (0, "d", 2, 3), (1, "b", 1, 1), (3, "b", 90, 90), (4, "b", 1, 2), (4, "b", 1, 2), (4, "c", 1, 2), (4, "c", 1, 2)]
     assert sum(r["n"] for r in rows_ if r["term"] is None) == 6 and sum(r["total"] for r in rows_ if r["term"] is None) == 98
+
+
+def test_live_index_in_blocks(spark, tmp_path):
+    """Many postings of a term are one stored row; repeated and null ids, a merge of the last parts, against plain counts."""
+    path = str(tmp_path / "blocks")
+    data = [(i, f"Der Arzt the {'Herz' if i % 3 else 'Auge'} 甲{i % 2} É der arzt", None if i % 4 else "t") for i in range(60)]
+    data += [(7, "arzt Ende", None), (None, "arzt", "x"), (None, "y", "x")]
+    make = lambda rows_: spark.createDataFrame(rows_, "_id int, text string, title string")
+
+    def check(live):
+        texts, places, lengths = defaultdict(list), defaultdict(list), defaultdict(list)
+        for i, *values in live:
+            for field, value in zip(("text", "title"), values):
+                texts[i, field].append(value or "")
+        for (i, field), of_id in texts.items():
+            found = [(m.group(), p, *m.span()) for t in of_id for p, m in enumerate(re.finditer(tx.token_pattern(), t.lower())) if m.group() not in tx.STOP_WORDS]
+            lengths[field] += [0 if i is None else len(found)] * len(of_id)
+            for term in {f[0] for f in found} if i is not None else ():
+                at = sorted(f[1:] for f in found if f[0] == term)
+                places[field, term] += [(i, len(at), len(found), at)] * len(of_id)
+        got = defaultdict(list)
+        for r in live_index.live_postings(spark, path).collect():
+            got[r.field, r.term].append((r._id, r.tf, r.length, [tuple(p) for p in r.places]))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in places.items()}
+        index = live_index.read_index(spark, path)
+        assert {(r.field, r.term): r.df for r in index.freq.collect()} == {k: len(v) for k, v in places.items()}
+        assert {r.field: (r.n_docs, r.avg_length) for r in index.stats.collect()} == {f: (len(n), sum(n) / len(n)) for f, n in lengths.items()}
+        return sum(map(len, places.values()))
+
+    live_index.change(spark, path, make(data).coalesce(1), ["text", "title"])
+    total = check(data)
+    assert spark.read.parquet(f"{path}/part-1/postings").count() < total / 10
+    new = [(3, "anders", "neu"), (7, "der Arzt", None)]
+    live_index.change(spark, path, make(new), ["text", "title"])
+    live_index.change(spark, path, deletes=make([(i, "", "") for i in (3, 5, 9, 11)]))
+    assert [name for name, _ in live_index.parts(spark, path)] == ["part-1", "part-3-merged"]
+    check([r for r in data if r[0] not in (3, 5, 7, 9, 11)] + new[1:])
+    wanted = live_index.live_postings(spark, path).filter("term = 'arzt'")
+    assert "EqualTo(term,arzt)" in wanted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_small_segments(monkeypatch):
+    """Numbers of any size in bytes; segments and blocks of few documents; marked documents go, others stay as they are."""
+    from corpusloom.functions import blocks
+
+    numbers = np.array([0, 1, 127, 128, 16383, 16384, 2**31, 2**40])
+    data, sizes = blocks.packed(numbers)
+    assert blocks.unpacked(data)[0].tolist() == numbers.tolist() and sizes.tolist() == [1, 1, 1, 2, 2, 3, 5, 6]
+    monkeypatch.setattr(blocks, "SEGMENT_DOCS", 3)
+    monkeypatch.setattr(tx, "BLOCK_DOCS", 2)
+    texts = [["b d d"], ["b"], [None], ["b " * 90], ["c b", "b"], [], ["😀b-Σ", "É b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.list_(pa.string()))], names=["_id", "_text0"])
+    made = list(blocks.place_blocks(["text"], (), 8)(iter([batch.slice(0, 0), batch.slice(0, 2), batch.slice(2)])))
+    assert [b.column("ids")[-1].as_py() for b in made] == [[0, 1, 2], [3, 4, 5], [6]] and [b.column("segment")[0].as_py() for b in made] == [8, 9, 10]
+    assert [b.column("lengths")[-1].as_py() for b in made] == [[3, 1, 0], [90, 3, 0], [4]]
+
+    def postings(b):
+        n = b.column("n").to_numpy().astype(int)
+        assert max(n) <= 2
+        no, tf = blocks._documents(n, b.column("docs"))
+        return sorted(zip(np.repeat(b.column("term").to_pylist(), n).tolist(), no.tolist(), tf.tolist()))
+
+    one, two, three = (b.slice(0, b.num_rows - 1).select(blocks.NAMES) for b in made)
+    assert postings(one) == [("b", 0, 1), ("b", 1, 1), ("d", 0, 2)] and postings(two) == [("b", 0, 90), ("b", 1, 2), ("c", 1, 1)]
+    assert postings(three) == [("b", 0, 2), ("é", 0, 1), ("σ", 0, 1)]
+    bits = np.zeros((1, 512), np.uint8)
+    bits[0, 0] = 0b01
+    monkeypatch.setattr(blocks, "_marks_at", lambda path: (np.array([9]), bits))
+    first, second = blocks.without_marked("")(iter([one, two]))
+    assert first is one and postings(second) == [("b", 1, 2), ("c", 1, 1)]
+    assert second.column("places")[0].as_py() == blocks._pack_places(np.array([0, 1]), np.array([0, 2]), np.array([2]), np.array([1]))[0].as_py()
+    assert [r for b in blocks.marked_counts("")(iter([one, two])) for r in b.to_pylist()] == [{"field": "text", "term": "b", "df": -1}]
