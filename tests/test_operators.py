@@ -898,3 +898,15 @@ def test_blocks_of_small_segments(monkeypatch):
     assert first is one and postings(second) == [("b", 1, 2), ("c", 1, 1)]
     assert second.column("places")[0].as_py() == blocks._pack_places(np.array([0, 1]), np.array([0, 2]), np.array([2]), np.array([1]))[0].as_py()
     assert [r for b in blocks.marked_counts("")(iter([one, two])) for r in b.to_pylist()] == [{"field": "text", "term": "b", "df": -1}]
+
+
+def test_radius_join_moves_narrow_rows(spark, monkeypatch):
+    """Places on the sphere are made behind the shuffles of both sides."""
+    from corpusloom.operators import joins
+
+    monkeypatch.setattr(joins, "PAIRS", 1000)
+    points = spark.createDataFrame([(i, 5.0 + i * 1e-5, 50.0) for i in range(200)], "member int, lon double, lat double")
+    near = geo.geo_radius_by_member(points, points.limit(100), 50_000.0)
+    _, left, right = near._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+    assert "_px" not in left + right and "_cx" not in right
+    assert near.count() == near.distinct().count() == 200 * 100
